@@ -79,8 +79,8 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, SLICE + 1)
-            up, down = np.full(n, _U(_BASE)), np.full(n, _U(_BASE_INV))
+            size = max(n, SLICE + 1)
+            up, down = np.full(size, _U(_BASE)), np.full(size, _U(_BASE_INV))
             up[0] = down[0] = 1
             self.up, self.down = np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
         return self.up[:n], self.down[:n]

@@ -7,19 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
+from .substring import drop_repeated_windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the 20-word windows that also start earlier."""
+    return drop_repeated_windows(table(spark, sf_dir, "documents"), length=20)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose 3-word shingle sets are at least 85 % similar, by smallest doc_id reachable."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op2_substring_dedup, op9_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
