@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .common import stored
+from .decontaminate import contaminated
+from .lines import drop_repeated_lines
 from .minhash import near_duplicates
+from .packing import pack_documents
 from .substring import drop_repeated_windows
+from .tokens import flat_token_files, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +25,34 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_windows(table(spark, sf_dir, "documents"), length=20)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item of which a window is at least 80 % similar to the item."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the later copies of repeated line runs."""
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_deleted", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose 3-word shingle sets are at least 85 % similar, by smallest doc_id reachable."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, from flat token files of them that are written first."""
+    return token_counts(stored(flat_token_files(table(spark, sf_dir, "documents")), "flat"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_benchmark_decontamination, op4_line_dedup, op5_best_fit_packing, op9_minhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
