@@ -160,12 +160,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     text = doc_text(docs)
     sketch = stored(text.mapInArrow(_sketch(words, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, sig array<long>"), "sketch")
     usable = sketch.filter("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # written by themselves, so that the joins below deal out both sides anew and Spark can split a hot key
+    classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     member = stored(usable.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2"]).select("doc_id", "rep", "k1", "n_shingles"), "members")
     # one row for each class: that of its smallest document
     reps = usable.select("doc_id", "k1", "n_shingles", "sig").join(member.filter("doc_id = rep").select("doc_id", "k1").distinct(), ["doc_id", "k1"], "left_semi").dropDuplicates(["doc_id", "k1"])
     banded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("sig").alias("band", "bucket"))
-    heads = banded.groupBy("band", "bucket").agg(F.min("doc_id").alias("head"), F.countDistinct("doc_id").alias("m")).filter("m > 1")
+    heads = stored(banded.groupBy("band", "bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail"), F.count("*").alias("m")).filter("head < tail"), "heads")
     buckets = stored(banded.join(heads, ["band", "bucket"]), "buckets")
 
     seen = stored(buckets.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
@@ -174,7 +175,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     links = stored(_linked(seen, sets, percent), "links")
     found = stored(components(links), "components")
 
-    more = stored(_cross_pairs(buckets, found, sets, percent, small).join(seen, ["a", "b"], "left_anti"), "pairs")
+    more = stored(_cross_pairs(buckets, reps.select("doc_id", "sig"), found, sets, percent, small).join(seen, ["a", "b"], "left_anti"), "pairs")
     late = stored(_linked(more, sets, percent), "links")
     # nodes now: the components found so far
     of = found.select(F.col("node"), "component")
@@ -203,17 +204,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _verify(it, percent), "a long, b long").distinct()
 
 
-def _cross_pairs(buckets: DataFrame, found: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
-    """Pairs (a > b) of one bucket in different components, at least one outside the component of the bucket's head."""
+def _cross_pairs(buckets: DataFrame, signed: DataFrame, found: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
+    """Pairs (a > b) of one bucket in different components, at least one outside the component of the bucket's head.
+
+    A pair comes from the first band that it shares, and once."""
     of = found.select(F.col("node").alias("doc_id"), "component")
     labelled = buckets.select("band", "bucket", "doc_id", "n", "head", "m").distinct().join(of, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
     heads = of.select(F.col("doc_id").alias("head"), F.col("component").alias("hc"))
     labelled = labelled.join(heads, "head", "left").withColumn("out", F.col("c") != F.coalesce("hc", "head"))
     open_ = labelled.filter("out").select("band", "bucket").distinct()
-    live = stored(labelled.join(open_, ["band", "bucket"], "left_semi").select("band", "bucket", "doc_id", "n", "c", "out", "m"), "open")
+    live = labelled.join(open_, ["band", "bucket"], "left_semi").select("band", "bucket", "doc_id", "n", "c", "out", "m")
+    live = stored(live.join(signed.dropDuplicates(["doc_id"]), "doc_id"), "open")
 
     def paired(probe: DataFrame, build: DataFrame, on: list[str], cond: str) -> DataFrame:
-        p = probe.alias("p").join(build.alias("q"), on).filter("p.c <> q.c and p.doc_id <> q.doc_id and 100 * least(p.n, q.n) >= " + f"{percent} * greatest(p.n, q.n)" + cond)
+        p = probe.alias("p").join(build.alias("q"), on).filter(f"p.c <> q.c and (p.doc_id > q.doc_id or not q.out and p.doc_id <> q.doc_id) and 100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n){cond}" + " and array_position(zip_with(p.sig, q.sig, (x, y) -> x = y), true) - 1 = band")
         return p.select(F.greatest("p.doc_id", "q.doc_id").alias("a"), F.least("p.doc_id", "q.doc_id").alias("b"))
 
     few, many = live.filter(f"m <= {small}"), live.filter(f"m > {small}")
@@ -229,6 +233,6 @@ def _cross_pairs(buckets: DataFrame, found: DataFrame, sets: DataFrame, percent:
     shared = shared.withColumn("bin", F.floor(F.log("n") / width).cast("long"))
     lowest = F.floor(F.log(F.greatest(F.lit(1.0), F.col("n") * t)) / width).cast("long")
     highest = F.floor(F.log(F.greatest(F.lit(1.0), F.least(F.col("n") / t, F.col("s") * (1 + t) / t - F.col("n")) + 1e-6)) / width).cast("long")
-    probe = shared.filter("out").withColumn("bins", F.when(lowest <= highest, F.sequence(lowest, highest))).filter("bins is not null").select("band", "bucket", "doc_id", "n", "c", "s", F.explode("bins").alias("bin"))
+    probe = shared.filter("out").withColumn("bins", F.when(lowest <= highest, F.sequence(lowest, highest))).filter("bins is not null").select("band", "bucket", "doc_id", "n", "c", "s", "sig", "out", F.explode("bins").alias("bin"))
     far = paired(probe, shared, ["band", "bucket", "bin"], f" and (100 + {percent}) * least(p.s, q.s) >= {percent} * (p.n + q.n)")
     return near.union(far).distinct()
