@@ -1,14 +1,52 @@
-"""A training corpus from documents: quality rules, line dedup, near-duplicates, decontamination, packing."""
+"""A training corpus from documents: quality rules, line dedup, near-duplicates, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of documents, with their decisions applied; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftworks.llm.common import stored
+from siftworks.llm.decontaminate import contaminated
+from siftworks.llm.lines import without_repeated_lines
+from siftworks.llm.minhash import near_duplicates
+from siftworks.llm.packing import pack_documents
+from siftworks.llm.quality import keep_good
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the proved cutoffs keep."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of repeated line runs; n_chars follows the text."""
+    return without_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of near-duplicates (five words, similarity 0.8)."""
+    copies = near_duplicates(docs, words=5, percent=80).filter("not kept").select(F.col("doc_id").alias("copy_id")).distinct()
+    return docs.join(copies, docs["doc_id"] == F.col("copy_id"), "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leak_id")).distinct()
+    return docs.join(found, docs["doc_id"] == F.col("leak_id"), "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of at most 2048."""
+    return pack_documents(docs, capacity=2048)
+
 
-STAGES = []
+STAGES = [("quality", quality_rules), ("lines", line_dedup), ("near_duplicates", near_dedup), ("benchmark", decontaminate), ("packing", packing)]
 
-#: The stages hash shingles, compare sets and pack bins, which SQL can't express; tests/llm holds them against brute force.
+#: The stages compare sets, fingerprint windows and pack bins, which SQL can't express; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 

@@ -62,23 +62,28 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     document: places are counted in each, equal places are not earlier than each other, and what is deleted at a
     place goes from all of them. An empty table gives an empty result; other columns are ignored.
     """
-    gone = repeated_lines(docs, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_list("i")).alias("gone"))
+    gone = _gone(docs, min_words)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, "doc_id", "left")
-    return rows.select("doc_id", n_lines().alias("n_lines"), n_deleted().alias("n_deleted"), kept_text().alias("kept_text"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long")
+    return rows.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_deleted"), _kept("text", "__gone").alias("kept_text"))
 
 
-def n_lines() -> Column:
-    return F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long")
+def without_repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+    """docs with the texts of drop_repeated_lines() and all other columns as they are; rows that lose all their words
+    are dropped, as everything they say stands in earlier rows."""
+    rows = docs.join(_gone(docs, min_words).withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left")
+    rows = rows.withColumn("text", _kept("text", "__gone")).filter(F.col("__gone").isNull() | F.col("text").rlike(_HAS_WORD))
+    return rows.select(*docs.columns)
 
 
-def n_deleted() -> Column:
-    return F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+def _gone(docs: DataFrame, min_words: int) -> DataFrame:
+    return repeated_lines(docs, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_list("i")).alias("__gone"))
 
 
-def kept_text() -> Column:
+def _kept(text: str, gone: str) -> Column:
     """text without the lines numbered in gone (from 0), which may be null."""
-    lines = F.split("text", "\n")
+    lines = F.split(text, "\n")
     # numbers of lines to keep, by a hash set rather than a search for each line
-    keep = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), F.col("gone"))
+    keep = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), F.col(gone))
     kept = F.transform(F.array(F.struct(lines.alias("l"), keep.alias("k"))), lambda s: F.array_join(F.transform(s["k"], lambda i: F.get(s["l"], i.cast("int"))), "\n"))[0]
-    return F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
+    return F.when(F.col(gone).isNull() | F.col(text).isNull(), F.col(text)).otherwise(kept)

@@ -12,14 +12,23 @@ from .decontaminate import contaminated
 from .lines import drop_repeated_lines
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .quality import judged, quality_sql
+from .secrets import scan_secrets, secrets_sql
 from .substring import drop_repeated_windows
 from .tokens import flat_token_files, token_counts
+from .toxicity import score_toxicity
+from .urls import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in each document: base patterns, and weak parts that stand near complementary ones."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without the 20-word windows that also start earlier."""
     return drop_repeated_windows(table(spark, sf_dir, "documents"), length=20)
@@ -41,6 +50,21 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of each document; cutoffs are proved on the labelled ones."""
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("h")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learnt from the labels that aren't held out."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's URL: by the longest rule that fits, else by the model."""
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose 3-word shingle sets are at least 85 % similar, by smallest doc_id reachable."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
@@ -52,8 +76,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_benchmark_decontamination, op4_line_dedup, op5_best_fit_packing, op9_minhash_near_dedup, op10_token_counts)}
+    ops = (op1_secret_scans, op2_substring_dedup, op3_benchmark_decontamination, op4_line_dedup, op5_best_fit_packing, op6_quality_rules, op7_toxicity, op8_url_filters, op9_minhash_near_dedup, op10_token_counts)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the whole result; tests/llm holds the others against brute force."""
+    return {"op1_secret_scans": secrets_sql(), "op6_quality_rules": quality_sql()}
