@@ -103,9 +103,9 @@ def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     pick = lambda c, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (c % len(v) + 1).cast("int"))
     res = F.when(F.col("l_returnflag") == "A", "internal").when(F.col("l_returnflag") == "N", "external").otherwise("unresolved")
-    return l.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), (F.col("l_linenumber") % 3).cast("string")).alias("call_id"), F.concat(F.lit("p"), (F.col("l_suppkey") % 2).cast("string")).alias("producer"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target"), res.alias("resolution"), F.when(F.col("l_linestatus") == "F", "fresh").otherwise("stale").alias("freshness"), pick(F.col("l_partkey"), "direct", "virtual", "constructor").alias("dispatch"), F.concat_ws("-", F.lit("prov"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("provenance_id"))
+    return l.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), (F.col("l_linenumber") % 3).cast("string")).alias("call_id"), F.concat(F.lit("p"), (F.col("l_suppkey") % 2).cast("string")).alias("producer"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target"), res.alias("resolution"), F.when(F.col("l_linestatus") == "F", "fresh").otherwise("stale").alias("freshness"), pick(F.col("l_partkey"), "direct", "virtual", "constructor").alias("dispatch"), F.concat_ws("-", F.lit("prov"), *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")]).alias("provenance_id"))
 
 
 BINDINGS = """bind as (select l_orderkey || '-' || (l_linenumber % 3) as call_id, 'p' || (l_suppkey % 2) as producer, 'part:' || l_partkey as target,
   case l_returnflag when 'A' then 'internal' when 'N' then 'external' else 'unresolved' end as resolution, case l_linestatus when 'F' then 'fresh' else 'stale' end as freshness,
-  ['direct', 'virtual', 'constructor'][(l_partkey % 3 + 1)::int] as dispatch, 'prov-' || l_orderkey || '-' || l_linenumber as provenance_id from lineitem)"""
+  ['direct', 'virtual', 'constructor'][(l_partkey % 3 + 1)::int] as dispatch, concat_ws('-', 'prov', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus, l_returnflag) as provenance_id from lineitem)"""
