@@ -91,7 +91,7 @@ def r4_relevant_signals(spark, d):
     return R.relevant_signals(_signals(spark, d)).select("source_set_id", "path")
 
 
-@query("""with e as (select (user_id % 20)::varchar as s, epoch_ms(ts) as t, event_id, case when event_id % 17 = 0 then 'urgent' when event_id % 11 = 0 then 'create' when event_id % 5 = 0 then 'access' else 'modify' end as k from events where user_id is not null and ts is not null),
+@query("""with e as (select (user_id % 20)::varchar as s, floor(epoch_us(ts) / 1000)::bigint as t, event_id, case when event_id % 17 = 0 then 'urgent' when event_id % 11 = 0 then 'create' when event_id % 5 = 0 then 'access' else 'modify' end as k from events where user_id is not null and ts is not null),
 l as (select *, lag(t) over w as pt, lag(k) over w as pk from e where k <> 'access' window w as (partition by s order by t, k, event_id::varchar)), g as (select *, sum(case when pt is null or t >= pt + 3600000 or pk = 'urgent' then 1 else 0 end) over (partition by s order by t, k, event_id::varchar) as grp from l),
 b as (select s, grp, min(t) as opened_ms, count(*) as signals, count(distinct event_id) as paths, bool_or(k = 'create') or count(distinct event_id) > 256 as "full", max(t) as last, bool_or(k = 'urgent') as urgent from g group by 1, 2)
 select s as source_set_id, (row_number() over (partition by s order by grp) - 1)::bigint as generation, opened_ms, case when urgent then last else last + 3600000 end as closed_ms, signals, paths, "full" from b""")
