@@ -4,8 +4,8 @@ For every benchmark item, windows of the item's length slide over every text. A
 weighted sum of its shingles' bits) is looked up in a multi-index: fingerprints are cut into eight blocks of a byte,
 and two fingerprints within radius 8 * d + 7 agree to within d bits in at least one block, so the union over blocks of
 the items whose byte is within d finds all fingerprints within the radius. Candidates are then compared exactly:
-similarity is the weighted Jaccard similarity of the two shingle multisets, a shingle weighing 1 / (number of items
-that have it), or 1 if none has.
+similarity is the weighted Jaccard similarity of the two shingle multisets, a shingle weighing its share of different
+words, so that stretches of one repeated word say little.
 
 A window that shares no shingle with an item has similarity 0 with it, so only windows around shared shingles are
 fingerprinted; this loses nothing.
@@ -36,6 +36,21 @@ def _shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return grams(hashes, size) if len(hashes) >= size else grams(hashes, len(hashes)) if len(hashes) else hashes
 
 
+def shingle_weights(hashes: np.ndarray, size: int) -> np.ndarray:
+    """For each shingle the share of its words that are different; a shorter sequence is a shingle by itself."""
+    size = min(size, len(hashes))
+    n = len(hashes) - size + 1
+    if size == 0:
+        return np.zeros(0)
+    new = np.ones(n)
+    for j in range(1, size):
+        seen = np.zeros(n, bool)
+        for i in range(j):
+            seen |= hashes[i : i + n] == hashes[j : j + n]
+        new += ~seen
+    return new / size
+
+
 def simhash(sums: np.ndarray) -> np.ndarray:
     """64-bit fingerprints from rows of 64 weighted sums: bit b is set where sum b is positive."""
     return np.packbits(sums > 0, axis=-1).view(">u8").astype(_U).reshape(-1)
@@ -57,27 +72,25 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str], shingle: int, radius: int):
         hasher = WordHasher(seed=3, lower=True, white=_PARTS)
         self.ids, self.radius = ids, radius
-        self.words, bags = [], []
+        self.words, self.bags, self.weight, self.total = [], [], {}, []
         for t in texts:
             data = np.frombuffer((t or "").lower().encode(), np.uint8)
             h = hasher.words(data, np.array([0, len(data)]))[0]
+            sh, w = _shingles(h, shingle).tolist(), shingle_weights(h, shingle).tolist()
             self.words.append(len(h))
-            bags.append(Counter(_shingles(h, shingle).tolist()))
-        self.bags = bags
-        df = Counter(x for b in bags for x in b)
-        self.weight = {x: 1 / n for x, n in df.items()}
-        self.total = [sum(self.weight[x] * n for x, n in b.items()) for b in bags]
-        self.known = np.array(sorted(df), _U)
-        self.weights = np.array([self.weight[int(x)] for x in self.known], np.float64)
+            self.bags.append(Counter(sh))
+            self.weight.update(zip(sh, w, strict=True))
+            self.total.append(sum(w))
+        self.known = np.array(sorted(self.weight), _U)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known & _U((1 << 20) - 1)).astype(np.int64)] = True
         owners = {int(x): [] for x in self.known}
-        for i, b in enumerate(bags):
+        for i, b in enumerate(self.bags):
             for x in b:
                 owners[x].append(i)
         self.owners = [np.array(owners[int(x)]) for x in self.known]
         self.prints = np.zeros(len(ids), _U)
-        for i, b in enumerate(bags):
+        for i, b in enumerate(self.bags):
             if b:
                 x = np.array(list(b), _U)
                 w = np.array([self.weight[k] * n for k, n in b.items()])
@@ -105,7 +118,7 @@ def _matches(items: Items, shingle: int, threshold: float):
         size = np.array(items.words)
         short = sorted({int(n) for n in size if 0 < n < shingle})
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").to_pylist()
             out: list[tuple] = []
             for at, count, data, bounds in slices(batch):
                 hashes, _, _, firsts = hasher.words(data, bounds)
@@ -146,16 +159,14 @@ def _best(items: Items, i: int, words: np.ndarray, places: np.ndarray, k: int, t
         part = starts[lo : lo + 4096]
         a, b = int(part[0]), int(part[-1]) + m
         local = sh[a:b]
-        slot = np.minimum(np.searchsorted(items.known, local), len(items.known) - 1)
-        known = items.known[slot] == local
-        weight = np.where(known, items.weights[slot], 1.0)
+        weight = shingle_weights(words[a : b + k - 1], k)
         sums = np.zeros((len(local) + 1, 64))
         np.cumsum(signs(local, weight), axis=0, dtype=np.float64, out=sums[1:])
         prints = simhash(sums[part - a + m] - sums[part - a])
         for s in part[items.candidates(prints, i)].tolist():
             bag = Counter(sh[s : s + m].tolist())
             both = sum(items.weight[x] * min(c, items.bags[i][x]) for x, c in bag.items() if x in items.bags[i])
-            either = items.total[i] + sum(items.weight.get(x, 1.0) * c for x, c in bag.items()) - both
+            either = items.total[i] + float(weight[s - a : s - a + m].sum()) - both
             value = both / either
             if value >= threshold - 1e-12 and (best is None or value > best[2]):
                 best = (s, n, value)

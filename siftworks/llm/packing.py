@@ -107,13 +107,18 @@ def best_filling(counts: np.ndarray, room: int, nodes: int = SEARCH_NODES) -> li
                 return True
         return False
 
-    if best_waste:
+    if best_waste and nodes:
         search(room, room)
     return best
 
 
 def fillings(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, how many such sequences) that hold counts[length] pieces of each length."""
+    """(lengths in a sequence, how many such sequences) that hold counts[length] pieces of each length: of the searched
+    fillings and the incumbents alone, whichever needs fewer sequences."""
+    return min((_filled(counts, capacity, n) for n in (SEARCH_NODES, 0)), key=lambda f: sum(n for _, n in f))
+
+
+def _filled(counts: dict[int, int], capacity: int, nodes: int) -> list[tuple[tuple[int, ...], int]]:
     have = np.zeros(capacity + 1, np.int64)
     for size, n in counts.items():
         have[size] = n
@@ -124,7 +129,7 @@ def fillings(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
             return out
         largest = int(sizes[-1])
         have[largest] -= 1
-        rest = best_filling(have, capacity - largest)
+        rest = best_filling(have, capacity - largest, nodes)
         have[largest] += 1
         one = (largest, *sorted(rest, reverse=True))
         use, need = np.unique(one, return_counts=True)
