@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,23 +36,26 @@ class ByteBpe:
     def __init__(self, json_path: str | None = None, ranks_path: str | None = None):
         self.json_path = json_path or vocabulary("byte_bpe_50k.json")
         self.ranks_path = ranks_path or vocabulary("byte_bpe_50k.tiktoken")
+        self._exact = self._fast = None
 
     @property
-    @lru_cache(1)  # noqa: B019
     def exact(self):
-        from tokenizers import Tokenizer
+        if self._exact is None:
+            from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(self.json_path)
+            self._exact = Tokenizer.from_file(self.json_path)
+        return self._exact
 
     @property
-    @lru_cache(1)  # noqa: B019
     def fast(self):
-        import public_tokenizers
-        import tiktoken
-
-        with open(self.ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if self._fast is None:
+            import public_tokenizers
+            import tiktoken
+
+            with open(self.ranks_path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self._fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return self._fast
 
     def ids(self, text: str) -> np.ndarray:
         if _ODD.search(text):
