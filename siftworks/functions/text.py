@@ -6,9 +6,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Extensions of the languages that are measured.
-LANGUAGES = {"js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "rs": "rust", "java": "java", "py": "python"}
+LANGUAGES = {"js": "javascript", "mjs": "javascript", "cjs": "javascript", "rs": "rust", "java": "java", "py": "python"}
+# Fixed values of the evidence contract.
 #: Declaration kinds and their kinds in the graph.
-GRAPH_KINDS = {"module": "module", "class": "class", "interface": "class", "enum": "class", "record": "class", "trait": "class", "function": "function", "method": "method", "constructor": "method"}
+GRAPH_KINDS = {
+    "module": "module", "namespace": "module", "type": "class", "implementation": "class", "method": "method", "constructor": "method", "function": "function", "anonymousFunction": "function",
+    "field": "field", "variable": "variable", "parameter": "parameter", "typeParameter": "typeParameter", "alias": "alias",
+}
+#: Grammar nodes that declare something, by language. Rust functions in an implementation or trait are methods, Java
+#: variable declarators in a field declaration fields, and Python assignments count only to a plain identifier.
+NODE_KINDS = {
+    "java": {
+        "class_declaration": "type", "interface_declaration": "type", "enum_declaration": "type", "record_declaration": "type", "annotation_type_declaration": "type", "method_declaration": "method",
+        "annotation_type_element_declaration": "method", "constructor_declaration": "constructor", "compact_constructor_declaration": "constructor", "lambda_expression": "anonymousFunction",
+        "variable_declarator": "variable", "formal_parameter": "parameter", "spread_parameter": "parameter",
+    },
+    "python": {"class_definition": "type", "function_definition": "function", "lambda": "anonymousFunction", "assignment": "variable", "typed_parameter": "parameter", "default_parameter": "parameter"},
+    "rust": {
+        "struct_item": "type", "enum_item": "type", "trait_item": "type", "union_item": "type", "impl_item": "implementation", "mod_item": "namespace", "function_item": "function", "function_signature_item": "function",
+        "closure_expression": "anonymousFunction", "field_declaration": "field", "type_item": "alias", "const_item": "variable", "static_item": "variable", "parameter": "parameter",
+    },
+    "javascript": {
+        "class_declaration": "type", "class": "type", "method_definition": "method", "function_declaration": "function", "function_expression": "function", "generator_function_declaration": "function",
+        "generator_function": "function", "arrow_function": "anonymousFunction", "variable_declarator": "variable", "field_definition": "field", "formal_parameter": "parameter",
+    },
+}
+#: Grammar nodes that call something, by language.
+CALL_NODES = {
+    "java": ("method_invocation", "object_creation_expression", "explicit_constructor_invocation"), "rust": ("call_expression", "method_call_expression"),
+    "python": ("call",), "javascript": ("call_expression", "new_expression"),
+}
+#: Roles of references in order; Java has no alias.
+ROLES = ("definition", "read", "write", "call", "type", "import", "alias")
 #: Words that carry no focus in a question.
 STOP_WORDS = "the and are does how what where when which why this that with from for into calls call function".split()
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,6 +57,23 @@ def graph_kind(kind: Column) -> Column:
     return _lookup(GRAPH_KINDS, kind)
 
 
+def node_kind(lang: Column, node: Column, in_container: Column) -> Column:
+    """Declaration kind of a grammar node; null for nodes that declare nothing. in_container: whether it stands in a
+    Rust implementation or trait, or in a Java field declaration."""
+    table = F.create_map(*[F.lit(x) for lg, kinds in NODE_KINDS.items() for n, k in kinds.items() for x in (f"{lg}/{n}", k)])
+    kind = F.element_at(table, F.concat_ws("/", lang, node))
+    return F.when(in_container & (lang == "rust") & (kind == "function"), "method").when(in_container & (lang == "java") & (node == "variable_declarator"), "field").otherwise(kind)
+
+
+def is_call_node(lang: Column, node: Column) -> Column:
+    return F.coalesce(F.array_contains(F.element_at(F.create_map(*[x for lg, ns in CALL_NODES.items() for x in (F.lit(lg), F.array(*[F.lit(n) for n in ns]))]), lang), node), F.lit(False))
+
+
+def applicable_roles(lang: Column) -> Column:
+    every = [F.lit(r) for r in ROLES]
+    return F.when(lang == "java", F.array(*every[:-1])).when(lang.isin("rust", "python", "javascript"), F.array(*every))
+
+
 def valid_path(path: Column) -> Column:
     """Relative POSIX path: no backslash, colon or NUL, and no empty, . or .. segment."""
     clean = ~path.rlike(r"[\\:\x00]")
@@ -47,8 +93,8 @@ def display_key(path: Column, names: Column, kind: Column, ordinal: Column, star
 
 
 def node_name(kind: Column, name: Column, path: Column, start: Column) -> Column:
-    """A module is named by its path, an unnamed declaration by <kind@start>."""
-    return F.when(kind == "module", path).otherwise(F.coalesce(name, F.concat(F.lit("<"), kind, F.lit("@"), start.cast("string"), F.lit(">"))))
+    """A declaration without a name is named by its path if it is a module, else by <kind@start>."""
+    return F.coalesce(name, F.when(kind == "module", path).otherwise(F.concat(F.lit("<"), kind, F.lit("@"), start.cast("string"), F.lit(">"))))
 
 
 def region_label(text: Column, n: int = 140) -> Column:
@@ -95,7 +141,7 @@ def symbol_contains(name: Column, qualified: Column, query: Column) -> Column:
 def focus_terms(question: Column, given: Column) -> Column:
     """Given terms, trimmed and lower-cased; without any, the question's distinct words, sorted: letters, digits and _,
     more than two bytes, without stop words."""
-    words = F.filter(F.split(F.lower(question), r"[^\p{L}\p{N}_]+"), lambda w: (F.octet_length(w) > 2) & ~w.isin(STOP_WORDS))
+    words = F.filter(F.split(F.lower(question), r"[^\p{IsAlphabetic}\p{N}_]+"), lambda w: (F.octet_length(w) > 2) & ~w.isin(STOP_WORDS))
     return F.when(F.size(given) > 0, F.transform(given, lambda t: F.lower(F.trim(t)))).otherwise(F.array_sort(F.array_distinct(words)))
 
 
@@ -111,7 +157,7 @@ def identifier_words(name: Column) -> Column:
 
 
 def is_dotted(name: Column) -> Column:
-    return name.rlike(r"^[\p{L}_$][\p{L}\p{N}_$]*(\.[\p{L}_$][\p{L}\p{N}_$]*)*$")
+    return name.rlike(r"^[\p{IsAlphabetic}_$][\p{IsAlphabetic}\p{N}_$]*(\.[\p{IsAlphabetic}_$][\p{IsAlphabetic}\p{N}_$]*)*\z")
 
 
 def module_name(path: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftworks.functions.text import focus_terms, identifier_words, literal_contains, literal_match, probability_status, symbol_contains
+from siftworks.functions.text import focus_terms, literal_contains, literal_match, probability_status, symbol_contains
 
 from .stats import admit_by_budget, admit_details, page
 
@@ -85,8 +85,8 @@ def answer_problems(claims: DataFrame) -> DataFrame:
 def baseline(candidates: DataFrame) -> DataFrame:
     """Adds relevance by distance and shared words: the seed and its neighbours essential, two away supporting, a word
     of four letters or more in common uncertain, all others incidental. question, name, distance, is_seed."""
-    words = lambda c: F.filter(identifier_words(c), lambda w: w.rlike("^[a-z]{4,}$"))
-    shared = F.arrays_overlap(words(F.col("name")), F.filter(F.split(F.lower("question"), "[^a-z]+"), lambda w: F.length(w) >= 4))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0))
+    shared = F.arrays_overlap(words(F.regexp_replace("name", "([a-z])([A-Z])", "$1 $2")), words(F.col("question")))
     return candidates.withColumn("relevance", F.when(F.col("is_seed") | (F.col("distance") == 1), "essential").when(F.col("distance") <= 2, "supporting").when(F.coalesce(shared, F.lit(False)), "uncertain").otherwise("incidental"))
 
 

@@ -95,17 +95,30 @@ def answer_flags(requests: DataFrame, edges: DataFrame, frontier: DataFrame, inc
     return j.select("request_id", F.coalesce("_t", no).alias("truncated"), (F.coalesce("_t", no) | F.coalesce("_b", no) | F.coalesce("_i", no)).alias("partial"))
 
 
-#: Warnings in the order in which they are listed.
-WARNING_ORDER = ("coverageIncomplete", "staleEvidence", "ambiguousTarget", "unresolvedTarget", "externalTarget", "dynamicDispatch", "truncated")
-_WARNS = {"missingEvidence": "coverageIncomplete", "stale": "staleEvidence", "ambiguous": "ambiguousTarget", "unresolved": "unresolvedTarget", "external": "externalTarget", "dispatch": "dynamicDispatch"}
-
-
-def warnings(edges: DataFrame, frontier: DataFrame) -> DataFrame:
-    """request_id, code, place: the distinct warnings of each answer, in fixed order."""
-    code = F.element_at(F.create_map(*[F.lit(x) for kv in _WARNS.items() for x in kv]), F.col("reason"))
-    one = edges.select("request_id", code.alias("code")).filter("code is not null").union(frontier.select("request_id", F.lit("truncated").alias("code"))).distinct()
+#: Warning codes in their fixed order.
+WARNING_ORDER = ("syntaxOnly", "coverageIncomplete", "staleEvidence", "staleTarget", "bindingAmbiguous")
+
+
+def warnings(requests: DataFrame, coverage: DataFrame, provenance: DataFrame, bindings: DataFrame) -> DataFrame:
+    """request_id, code, provenance_id, place: exactly the warnings that an answer's rows call for, in order of code,
+    without a provenance first.
+
+    requests: request_id, producer_id. coverage: request_id, selected, state. provenance: request_id, provenance_id,
+    freshness. bindings (of returned edges): request_id, provenance_id, resolution, stale_target. Each holds returned
+    rows alone. A stale provenance warns by itself, possibly stale ones warn once together."""
+    none = F.lit(None).cast("string").alias("provenance_id")
+    one = lambda df, cond, code, pid: df.filter(cond).select("request_id", F.lit(code).alias("code"), pid)
+    found = (
+        one(requests, "producer_id is null", "syntaxOnly", none)
+        .union(one(coverage, "selected and state <> 'complete'", "coverageIncomplete", none))
+        .union(one(provenance, "freshness = 'stale'", "staleEvidence", F.col("provenance_id")))
+        .union(one(provenance, "freshness = 'possiblyStale'", "staleEvidence", none))
+        .union(one(bindings, "stale_target", "staleTarget", F.col("provenance_id")))
+        .union(one(bindings, "resolution = 'ambiguous'", "bindingAmbiguous", F.col("provenance_id")))
+        .distinct()
+    )
     rank = F.array_position(F.array(*[F.lit(x) for x in WARNING_ORDER]), F.col("code"))
-    return one.withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy(rank)).cast("long"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy(rank, F.col("provenance_id").asc_nulls_first())).cast("long"))
 
 
 def distances(seeds: DataFrame, edges: DataFrame, most: int = 20, allowed: DataFrame | None = None) -> DataFrame:

@@ -46,10 +46,20 @@ def g1_reach_unbounded(spark, d):
     return nodes.select("request_id", "node_id", "depth")
 
 
-@query()
+@query("with " + V.BINDINGS + """, w as (select 'q' || n_nationkey as request_id, 'syntaxOnly' as code, null as provenance_id, 1 as r from nation where n_nationkey % 4 = 0 union
+select 'q' || c_nationkey, 'coverageIncomplete', null, 2 from customer where c_custkey % 3 = 0 and c_acctbal < 0 union
+select 'q' || (l_orderkey % 25), 'staleEvidence', case when l_linestatus = 'F' then 'p' || l_suppkey end, 3 from lineitem where l_linenumber > 5 union
+select 'q' || (l_orderkey % 25), 'staleTarget', 'p' || l_suppkey, 4 from lineitem where l_linenumber = 6 union select 'q' || (l_orderkey % 25), 'bindingAmbiguous', 'p' || l_suppkey, 5 from lineitem where l_returnflag = 'R' and l_quantity > 45)
+select request_id, code, provenance_id, row_number() over (partition by request_id order by r, provenance_id nulls first) as place from w""")
 def a18_warnings(spark, d):
-    _, edges, frontier = G.graph_answers(_requests(spark, d), _calls(spark, d))
-    return G.warnings(edges, frontier)
+    s = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    n, c, l = (V.table(spark, d, x) for x in ("nation", "customer", "lineitem"))  # noqa: E741
+    req = n.select(s("q", F.col("n_nationkey")).alias("request_id"), F.when(F.col("n_nationkey") % 4 != 0, "p").alias("producer_id"))
+    cov = c.select(s("q", F.col("c_nationkey")).alias("request_id"), (F.col("c_custkey") % 3 == 0).alias("selected"), F.when(F.col("c_acctbal") < 0, "partial").otherwise("complete").alias("state"))
+    rid, pid = s("q", F.col("l_orderkey") % 25).alias("request_id"), s("p", F.col("l_suppkey")).alias("provenance_id")
+    prov = l.select(rid, pid, F.when(F.col("l_linenumber") <= 5, "fresh").when(F.col("l_linestatus") == "F", "stale").otherwise("possiblyStale").alias("freshness"))
+    bind = l.select(rid, pid, F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), "ambiguous").otherwise("internal").alias("resolution"), (F.col("l_linenumber") == 6).alias("stale_target"))
+    return G.warnings(req, cov, prov, bind)
 
 
 @query()

@@ -36,7 +36,7 @@ def p9_display_key(spark, d):
     return ln.select(key.otherwise(T.display_key(F.col("path"), names, F.lit("line"), F.lit(None).cast("long"), F.col("start"))).alias("display_key"))
 
 
-@query("with " + V.LINES + " select path, line_no, case when line_no = 1 then path else coalesce(name, '<line@' || start || '>') end as node_name from ln")
+@query("with " + V.LINES + " select path, line_no, coalesce(name, case when line_no = 1 then path else '<line@' || start || '>' end) as node_name from ln")
 def p10_node_name(spark, d):
     return V.lines(spark, d).select("path", "line_no", T.node_name(F.when(F.col("line_no") == 1, "module").otherwise("line"), F.col("name"), F.col("path"), F.col("start")).alias("node_name"))
 
@@ -46,12 +46,47 @@ def p11_region_label(spark, d):
     return V.lines(spark, d).select("path", "line_no", T.region_label(F.col("line")).alias("label"))
 
 
-@query("select p_partkey, k as kind, case k when 'function' then 'function' when 'constructor' then 'method' when 'interface' then 'class' when 'module' then 'module' end as graph_kind from (select p_partkey, ['function', 'constructor', 'interface', 'module', 'macro'][(p_partkey % 5 + 1)::int] as k from part)")
+@query("select p_partkey, k as kind, case k when 'function' then 'function' when 'constructor' then 'method' when 'type' then 'class' when 'namespace' then 'module' end as graph_kind from (select p_partkey, ['function', 'constructor', 'type', 'namespace', 'macro'][(p_partkey % 5 + 1)::int] as k from part)")
 def p12_graph_kind(spark, d):
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("function", "constructor", "interface", "module", "macro")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("function", "constructor", "type", "namespace", "macro")]), (F.col("p_partkey") % 5 + 1).cast("int"))
     return V.table(spark, d, "part").select("p_partkey", kind.alias("kind")).select("p_partkey", "kind", T.graph_kind(F.col("kind")).alias("graph_kind"))
 
 
+@query("select p_partkey, ['method', 'type', null, 'variable'][(p_partkey % 4 + 1)::int] as kind, p_partkey % 4 = 2 as call from part")
+def p16_node_kinds(spark, d):
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    p = V.table(spark, d, "part").select("p_partkey", pick("rust", "java", "python", "javascript").alias("l"), pick("function_item", "record_declaration", "call", "variable_declarator").alias("n"))
+    return p.select("p_partkey", T.node_kind(F.col("l"), F.col("n"), F.lit(True)).alias("kind"), T.is_call_node(F.col("l"), F.col("n")).alias("call"))
+
+
+@query("select p_partkey, case p_partkey % 3 when 0 then 'definition,read,write,call,type,import' when 1 then 'definition,read,write,call,type,import,alias' end as roles from part")
+def p17_applicable_roles(spark, d):
+    lang = F.element_at(F.array(F.lit("java"), F.lit("rust"), F.lit("cobol")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return V.table(spark, d, "part").select("p_partkey", F.array_join(T.applicable_roles(lang), ",").alias("roles"))
+
+
+@query("select p_partkey, p_size % 3 <> 0 and p_size % 7 <> 0 as callable from part where p_size % 3 <> 0 and p_brand in (select p_brand from part where p_size = 7) and p_size % 7 <> 0")
+def p15_callables(spark, d):
+    """Functions and methods of classes that have a given member: a kind filter and a semi-join."""
+    p = V.table(spark, d, "part").withColumn("kind", F.when(F.col("p_size") % 3 == 0, "class").when(F.col("p_size") % 7 == 0, "variable").otherwise("method"))
+    has = p.filter("p_size = 7").select("p_brand").distinct()
+    return p.filter(F.col("kind").isin("function", "method")).join(has, "p_brand", "left_semi").select("p_partkey", F.lit(True).alias("callable"))
+
+
+@query("select p_partkey, sha256(encode('siftworks.header.v1') || '\\x00'::blob || encode('{\"modifiers\":[\"static\",\"' || p_brand || '\"],\"name\":\"' || p_name || '\"}')) as header_hash from part")
+def i8_header_hash(spark, d):
+    c = T.json_object(name=T.json_string(F.col("p_name")), modifiers=T.json_array(F.array(F.lit("static"), F.col("p_brand")), T.json_string))
+    return V.table(spark, d, "part").select("p_partkey", T.domain_digest(I.HEADER_DOMAIN, c).alias("header_hash"))
+
+
+@query("with " + V.WORDS + """, a as (select path, count(*) as facts, sha256(string_agg(line_no || ':' || name, chr(10) order by line_no || ':' || name)) as w from ln where name is not null group by 1), b as (select path, sha256(string_agg(line_no || ':' || word_no || ':' || word, chr(10) order by line_no || ':' || word_no || ':' || word)) as w from wd group by 1)
+select path, a.facts, sha256(a.w || b.w) as fingerprint from a join b using (path)""")
+def i10_fingerprint(spark, d):
+    a = I.document_witness(V.lines(spark, d).filter("name is not null"), "path", ["line_no", "name"])
+    b = I.document_witness(V.words(spark, d), "path", ["line_no", "word_no", "word"]).select("path", F.col("witness").alias("w"))
+    return a.join(b, "path").select("path", "facts", F.sha2(F.concat("witness", "w"), 256).alias("fingerprint"))
+
+
 @query("select p_partkey, p_partkey % 3 = 0 as accessor from part")
 def p13_accessor(spark, d):
     mods = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("static"), F.lit("get"))).otherwise(F.array(F.lit("static")))

@@ -88,9 +88,18 @@ def test_against_a_plain_queue(spark):
         assert got[rid] == queue(root, depth, mn, mc, calls), rid
 
 
-def test_flags_and_warnings(spark):
+def test_flags(spark):
     req = spark.createDataFrame([("a", "A", 1, 5, 5), ("b", "B", 1, 5, 5)], REQ)
     calls = spark.createDataFrame([("A", "1", 0, 0, "X", "external"), ("A", "2", 1, 1, "Y", "stale")], CALL)
     _, edges, frontier = graph_answers(req, calls)
     assert {(r.request_id, r.truncated, r.partial) for r in answer_flags(req, edges, frontier).collect()} == {("a", False, True), ("b", False, False)}
-    assert [r.code for r in warnings(edges, frontier).orderBy("place").collect()] == ["staleEvidence", "externalTarget"]
+
+
+def test_warnings(spark):
+    """One stale and two possibly stale provenances, two ambiguous bindings of one provenance, and syntax alone."""
+    req = spark.createDataFrame([("a", "p"), ("b", None)], "request_id string, producer_id string")
+    cov = spark.createDataFrame([("a", False, "omitted"), ("b", True, "complete")], "request_id string, selected boolean, state string")
+    prov = spark.createDataFrame([("a", "p1", "possiblyStale"), ("a", "p3", "possiblyStale"), ("a", "p2", "stale"), ("b", "p9", "fresh")], "request_id string, provenance_id string, freshness string")
+    bind = spark.createDataFrame([("a", "pA", "ambiguous", False)] * 2, "request_id string, provenance_id string, resolution string, stale_target boolean")
+    got = [(r.request_id, r.code, r.provenance_id) for r in warnings(req, cov, prov, bind).orderBy("request_id", "place").collect()]
+    assert got == [("a", "staleEvidence", None), ("a", "staleEvidence", "p2"), ("a", "bindingAmbiguous", "pA"), ("b", "syntaxOnly", None)]

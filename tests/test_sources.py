@@ -34,7 +34,7 @@ def test_publish_pin_and_release(spark, tmp_path):
 
 
 def test_scan_and_extract(spark, tmp_path):
-    for path, text in {"a.py": "class K(B):\n    def m(self, é=1):\n        for x in y:\n            g(h(x))\n", "bad.py": "def (", "c.rs": "fn x() {}", "node_modules/d.py": "x", "target/e.py": "x", "src/main/java/target/F.java": "x", "g.txt": "x"}.items():
+    for path, text in {"a.py": "class K(B):\n    def m(self, é=1):\n        for x in y:\n            g(h(x))\n", "bad.py": "def (", "c.rs": "fn x() {}", "node_modules/d.py": "x", "target/e.py": "x", "src/main/java/target/F.java": "x", "target/src/main/java/H.java": "x", ".hid/i.py": "x", "g.txt": "x"}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(text)
     docs = corpus.scan_corpus(spark, str(tmp_path))
