@@ -34,10 +34,10 @@ def a4_corpus_counts(spark, d):
     return spark.sql("select source_set_id, count(distinct word) as distinct_references, count(*) as calls, count(distinct path) as documents from corpus_words group by grouping sets ((source_set_id), ())")
 
 
-@query("select lang as language, metric, value, floor from (select lang, count(*) as docs, sum(n_chars)::bigint as chars from documents group by 1) c, lateral (select 'docs' as metric, docs as value, 40::bigint as floor union all select 'chars', chars, 200000) where value < floor")
+@query("select lang as language, metric, value, floor from (select lang, count(*) as docs, sum(n_chars)::bigint as chars from documents group by 1) c, lateral (select 'docs' as metric, docs as value, 4000::bigint as floor union all select 'chars', chars, 1000000) where value < floor")
 def a5_corpus_floors(spark, d):
     c = V.table(spark, d, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
-    return S.floor_violations(c, {"docs": 40, "chars": 200000}, "language")
+    return S.floor_violations(c, {"docs": 4000, "chars": 1000000}, "language")
 
 
 @query("with " + V.LINES + " select language, count(*) as facts from (select language from ln union all select language from docs) group by 1")
