@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftworks.functions.text import wilson_lower
+from siftworks.sources.tables import stored
 
 ALL_LANGUAGES = ("java", "javascript", "python", "rust")
 
@@ -91,7 +92,8 @@ def running_giant(df: DataFrame, order: str, value: str, parts: int = 64) -> Dat
 
     Ranges of the order are dealt out, each sums up by itself, and their totals (one row for each range) are scanned.
     """
-    ranged = df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
+    # written, so that the totals and the rows see the same ranges even if tasks are run again
+    ranged = stored(df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy("_p").agg(F.sum(value).alias("_t"), F.min(order).alias("_o"))
     base = totals.withColumn("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
     by = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
