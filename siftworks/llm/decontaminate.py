@@ -25,7 +25,7 @@ from .common import WHITE, WordHasher, doc_text, grams, mix, slices, spread
 
 _U = np.uint64
 #: Items that are held by each task at once; a larger benchmark goes over the documents in as many blocks as needed.
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS = 5_000
 #: ASCII punctuation parts words too, so that quoting or another full stop doesn't hide an item.
 _PARTS = WHITE + bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
