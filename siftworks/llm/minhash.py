@@ -10,8 +10,9 @@ How groups of any size stay cheap and whole:
 * documents with the same shingle set are one class from the start;
 * in every bucket each class is compared with the bucket's smallest one (a star, linear in the bucket);
 * then, in buckets that still hold several components, the classes outside the component of the smallest one are
-  compared with the others. In a small bucket that is every such pair; in a large one a pair is left out only if the
-  shingles that no other document of such buckets has prove that its similarity is below the threshold.
+  compared with the others. In a small bucket that is every such pair; in a large one a pair is left out only if
+  counts prove that its similarity is below the threshold: how many shingles no other document of such buckets has,
+  and how many each of the two shares with the bucket's smallest one.
 
 So no pair of one bucket that could be a link between different components goes unchecked.
 """
@@ -122,7 +123,7 @@ def _sets(words: int):
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs with 100 * |a and b| >= percent * |a or b|. sa, sb: sorted distinct shingles."""
+    """a, b, common, linked: how many shingles two sets share, and whether 100 * |a and b| >= percent * |a or b|."""
     for batch in batches:
         ca, cb = batch.column("sa"), batch.column("sb")
         va, vb = (np.asarray(c.values).view(_U) for c in (ca, cb))
@@ -140,8 +141,7 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             common[i:j] = np.bincount(pair[1:][same], minlength=j - i)
             i = j
         union = np.diff(oa) + np.diff(ob) - common
-        hit = 100 * common >= percent * union
-        yield batch.filter(pa.array(hit)).select(["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common), pa.array(100 * common >= percent * union)], ["a", "b", "common", "linked"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 28, rows: int = 4, small: int = SMALL_BUCKET) -> DataFrame:
@@ -172,11 +172,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     seen = stored(buckets.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
     wanted = buckets.select("doc_id").distinct()
     sets = stored(text.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
-    links = stored(_linked(seen, sets, percent), "links")
-    found = stored(components(links), "components")
+    compared = stored(_compared(seen, sets, percent), "compared")
+    found = stored(components(compared.filter("linked")), "components")
 
-    more = stored(_cross_pairs(buckets, reps.select("doc_id", "sig"), found, sets, percent, small).join(seen, ["a", "b"], "left_anti"), "pairs")
-    late = stored(_linked(more, sets, percent), "links")
+    more = stored(_cross_pairs(buckets, reps.select("doc_id", "sig"), found, compared, sets, percent, small).join(seen, ["a", "b"], "left_anti"), "pairs")
+    late = stored(_compared(more, sets, percent).filter("linked"), "links")
     # nodes now: the components found so far
     of = found.select(F.col("node"), "component")
     up = late.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -197,23 +197,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes allow a link, compared."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(a, "a").join(b, "b").filter(f"100 * least(size(sa), size(sb)) >= {percent} * greatest(size(sa), size(sb))")
-    return both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _verify(it, percent), "a long, b long").distinct()
+    return both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _verify(it, percent), "a long, b long, common long, linked boolean")
 
 
-def _cross_pairs(buckets: DataFrame, signed: DataFrame, found: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
+def _cross_pairs(buckets: DataFrame, signed: DataFrame, found: DataFrame, compared: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
     """Pairs (a > b) of one bucket in different components, at least one outside the component of the bucket's head.
 
     A pair comes from the first band that it shares, and once."""
     of = found.select(F.col("node").alias("doc_id"), "component")
-    labelled = buckets.select("band", "bucket", "doc_id", "n", "head", "m").distinct().join(of, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    labelled = buckets.select("band", "bucket", "doc_id", "n", "head", "m").join(of, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
     heads = of.select(F.col("doc_id").alias("head"), F.col("component").alias("hc"))
     labelled = labelled.join(heads, "head", "left").withColumn("out", F.col("c") != F.coalesce("hc", "head"))
-    open_ = labelled.filter("out").select("band", "bucket").distinct()
-    live = labelled.join(open_, ["band", "bucket"], "left_semi").select("band", "bucket", "doc_id", "n", "c", "out", "m")
+    open_ = stored(labelled.filter("out").select("band", "bucket").distinct(), "open-buckets")
+    live = labelled.join(open_, ["band", "bucket"], "left_semi").select("band", "bucket", "doc_id", "n", "c", "out", "m", "head")
     live = stored(live.join(signed.dropDuplicates(["doc_id"]), "doc_id"), "open")
 
     def paired(probe: DataFrame, build: DataFrame, on: list[str], cond: str) -> DataFrame:
@@ -223,16 +224,24 @@ def _cross_pairs(buckets: DataFrame, signed: DataFrame, found: DataFrame, sets:
     few, many = live.filter(f"m <= {small}"), live.filter(f"m > {small}")
     near = paired(few.filter("out"), few, ["band", "bucket"], "")
     # shingles that one document alone has, among all of large open buckets, are in no intersection there
-    who = many.select("doc_id").distinct()
-    tokens = sets.join(who, "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct("shingles")).alias("token"))
+    # (what a document shares with a head isn't its own, so beside the heads' only the other shingles are listed)
+    chosen = stored(many.groupBy("doc_id").agg(F.min("head").alias("head")), "heads")
+    heads = chosen.select(F.col("head").alias("doc_id")).distinct()
+    whole = sets.join(heads, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("token"))
+    of_head = sets.select(F.col("doc_id").alias("head"), F.col("shingles").alias("common"))
+    beside = chosen.join(heads, "doc_id", "left_anti").join(sets, "doc_id").join(of_head, "head").select("doc_id", F.explode(F.array_except("shingles", "common")).alias("token"))
+    tokens = whole.unionByName(beside)
     alone = tokens.groupBy("token").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).filter("doc_id = other").groupBy("doc_id").agg(F.count("*").alias("own"))
     t = percent / 100
     # overlap of a linked pair >= t / (1 + t) * (n + n'), and neither shares more than it has in common with anyone
     shared = many.join(alone, "doc_id", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
+    # of what can be shared, at most h lies in the bucket's head and s - h outside of it
+    with_head = compared.select(F.col("a").alias("doc_id"), F.col("b").alias("head"), F.col("common").alias("h"))
+    shared = shared.join(with_head, ["doc_id", "head"], "left").withColumn("h", F.when(F.col("doc_id") == F.col("head"), F.col("s")).otherwise(F.col("h"))).drop("head")
     width = 0.02
     shared = shared.withColumn("bin", F.floor(F.log("n") / width).cast("long"))
     lowest = F.floor(F.log(F.greatest(F.lit(1.0), F.col("n") * t)) / width).cast("long")
     highest = F.floor(F.log(F.greatest(F.lit(1.0), F.least(F.col("n") / t, F.col("s") * (1 + t) / t - F.col("n")) + 1e-6)) / width).cast("long")
-    probe = shared.filter("out").withColumn("bins", F.when(lowest <= highest, F.sequence(lowest, highest))).filter("bins is not null").select("band", "bucket", "doc_id", "n", "c", "s", "sig", "out", F.explode("bins").alias("bin"))
-    far = paired(probe, shared, ["band", "bucket", "bin"], f" and (100 + {percent}) * least(p.s, q.s) >= {percent} * (p.n + q.n)")
+    probe = shared.filter("out").withColumn("bins", F.when(lowest <= highest, F.sequence(lowest, highest))).filter("bins is not null").select("band", "bucket", "doc_id", "n", "c", "s", "h", "sig", "out", F.explode("bins").alias("bin"))
+    far = paired(probe, shared, ["band", "bucket", "bin"], f" and (100 + {percent}) * coalesce(least(p.h, q.h) + least(p.s - p.h, q.s - q.h), least(p.s, q.s)) >= {percent} * (p.n + q.n)")
     return near.union(far).distinct()
