@@ -37,7 +37,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     place = level.select("doc_id", "p", "i")
     found, length = None, 1
     while True:
-        first = level.groupBy("n1", "n2").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+        # written by itself, so that the join deals out both sides anew and Spark can split a line that very many have
+        first = stored(level.groupBy("n1", "n2").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "firsts")
         alike = stored(level.join(first, ["n1", "n2"]).select("doc_id", "p", "n1", "n2", "w", "first"), "runs")
         later = alike.filter((F.struct("doc_id", "p") > F.col("first")) & (F.col("w") >= min_words))
         hit = later.select("doc_id", F.explode(F.sequence("p", F.col("p") + (length - 1))).alias("p"))
