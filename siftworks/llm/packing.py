@@ -1,11 +1,12 @@
 """Best-fit packing of tokenised documents into sequences, by bin completion over the table of lengths.
 
 Packing depends on lengths alone, and there are at most `capacity` of them, so the search runs on the table of how
-many pieces have each length: it is as small for 100 TB as for a test. Sequences are filled around the largest piece
-left. Its fillings are enumerated depth first, larger pieces first; a filling that another dominates (the same places
-filled by larger pieces) is never entered, and branches whose waste can't get below the best one's are cut. The best
-fit is the incumbent from the start, so the search can end at any time with a filling at least as good. A filling is
-then used for as many sequences as the counts allow.
+many pieces have each length: it is as small for 100 TB as for a test. It is a branch and bound over whole packings. It
+branches over the undominated fillings of a sequence with the largest piece left (none of the pieces left out could
+take the place of some of the filling's), least waste first, and over how many sequences get each filling. A branch is
+cut once its sequences and a lower bound of the rest aren't fewer than the best packing's. Best fit and a narrow search
+for each filling alone are the incumbents, for the whole and then for the rest each time this has halved. The search
+ends when the best packing meets the lower bound, when all is tried, or after PACKING_NODES; fillings() says more.
 
 The pieces of each length are numbered in the cluster (counts by task, a prefix sum, then numbers in each task) and
 take their places by looking up which filling their number falls to. No piece goes to the driver.
@@ -13,8 +14,10 @@ take their places by looking up which filling their number falls to. No piece go
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,12 @@ from pyspark.sql import functions as F
 from .common import doc_text, stored
 from .tokens import ByteBpe
 
-#: Branches that the search for one filling may enter before it takes the best one found.
+#: Branches that the search for one filling of an incumbent may enter before it takes the best one found.
 SEARCH_NODES = 4000
+#: Fillings that the search for the packing may look at or take in all before it ends with the best one found.
+PACKING_NODES = 40_000
+#: Depths of the search whose fillings are held at a time; the others are enumerated again when it gets back to them.
+OPEN_DEPTHS = 32
 
 
 def _pieces(capacity: int, json_path: str | None, ranks_path: str | None):
@@ -53,7 +60,8 @@ def pieces(docs: DataFrame, capacity: int = 2048, json_path: str | None = None,
 
 
 def best_filling(counts: np.ndarray, room: int, nodes: int = SEARCH_NODES) -> list[int]:
-    """Lengths to put into `room`, at most counts[length] of each: a filling of least waste among those searched."""
+    """Lengths to put into `room`, at most counts[length] of each: a good filling by a narrow search that
+    doesn't see all; fillings() takes it as an incumbent alone."""
     sizes = np.flatnonzero(counts[: room + 1])
     if not len(sizes) or sizes[-1] == 0:
         return []
@@ -96,7 +104,7 @@ def best_filling(counts: np.ndarray, room: int, nodes: int = SEARCH_NODES) -> li
             if s == 0 or not left[s]:
                 continue
             if rest - s >= best_waste and rest - s < smallest:
-                break  # nothing fits beside it, and smaller ones waste more: dominated
+                break  # narrow: two smaller ones may waste less, which fillings() tries
             budget -= 1
             chosen.append(s)
             left[s] -= 1
@@ -112,16 +120,9 @@ def best_filling(counts: np.ndarray, room: int, nodes: int = SEARCH_NODES) -> li
     return best
 
 
-def fillings(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, how many such sequences) that hold counts[length] pieces of each length: of the searched
-    fillings and the incumbents alone, whichever needs fewer sequences."""
-    return min((_filled(counts, capacity, n) for n in (SEARCH_NODES, 0)), key=lambda f: sum(n for _, n in f))
-
-
-def _filled(counts: dict[int, int], capacity: int, nodes: int) -> list[tuple[tuple[int, ...], int]]:
-    have = np.zeros(capacity + 1, np.int64)
-    for size, n in counts.items():
-        have[size] = n
+def _filled(have: np.ndarray, capacity: int, nodes: int) -> list[tuple[tuple[int, ...], int]]:
+    """A packing by best_filling, each filling as often as the counts allow: an incumbent of fillings()."""
+    have = have.copy()
     out: list[tuple[tuple[int, ...], int]] = []
     while True:
         sizes = np.flatnonzero(have)
@@ -138,6 +139,155 @@ def _filled(counts: dict[int, int], capacity: int, nodes: int) -> list[tuple[tup
         out.append((one, times))
 
 
+def lower_bound(have: np.ndarray, capacity: int) -> int:
+    """Sequences that have[length] pieces of each length need at least: tokens over capacity, and for each a the pieces
+    too long to share one with any of length a or more, with those over the half and what of the others they can't take."""
+    n, tokens = np.cumsum(have), np.cumsum(have * np.arange(capacity + 1))
+    half = capacity // 2
+    a = np.arange(half + 1)
+    alone = n[capacity] - n[capacity - a]
+    long, long_tokens = n[capacity - a] - n[half], tokens[capacity - a] - tokens[half]
+    short = tokens[half] - np.where(a > 0, tokens[a - 1], 0)
+    return int((alone + long + np.maximum(0, -((long * capacity - long_tokens - short) // capacity))).max())
+
+
+def _reach(have: np.ndarray, sizes: list[int], room: int) -> list[int]:
+    """For each i the sums up to room, as bits, that pieces of sizes[:i] (ascending) reach."""
+    mask, out = (1 << room + 1) - 1, [1]
+    for s in sizes:
+        bits, left, step = out[-1], min(int(have[s]), room // s), 1
+        while left > 0:
+            n = min(step, left)
+            bits |= bits << n * s & mask
+            left -= n
+            step *= 2
+        out.append(bits)
+    return out
+
+
+def _sums(have: np.ndarray, sizes: list[int], reach: list[int], total: int, upto: int) -> Iterator[tuple[int, ...]]:
+    """All ways to reach `total` with pieces of sizes[:upto], larger pieces first; no branch ends without one."""
+    if not total:
+        yield ()
+    while total and reach[upto] >> total & 1:
+        upto -= 1
+        s = sizes[upto]
+        for n in range(min(int(have[s]), total // s), 0, -1):
+            if reach[upto] >> total - n * s & 1:
+                for rest in _sums(have, sizes, reach, total - n * s, upto):
+                    yield (s,) * n + rest
+
+
+def _spread(bits: int, width: int) -> int:
+    """bits, each also at the `width` places above it."""
+    done = 0
+    while done < width:
+        step = min(done + 1, width - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def _dominated(have: np.ndarray, lengths: int, filling: tuple[int, ...], waste: int) -> bool:
+    """Whether a piece left out could take the place of some of the filling's pieces and of its waste, and those that
+    piece's place: a larger one for one piece or none, one at least as large for several. lengths: of `have`, as bits."""
+    for s in set(filling):
+        if have[s] == filling.count(s):
+            lengths ^= 1 << s
+    one = several = 0
+    for s in filling:
+        several |= (one | several) << s
+        one |= 1 << s
+    hit = _spread(several, waste) | (_spread((one | 1) << 1, waste - 1) if waste else 0)
+    return bool(hit & lengths)
+
+
+def _beside(have: np.ndarray, capacity: int) -> tuple[int, np.ndarray, list[int], list[int]]:
+    """The largest length, what stands beside one such piece, its lengths that fit, and their sums."""
+    largest = int(np.flatnonzero(have)[-1])
+    have = have.copy()
+    have[largest] -= 1
+    sizes = np.flatnonzero(have[: capacity - largest + 1]).tolist()
+    return largest, have, sizes, _reach(have, sizes, capacity - largest)
+
+
+def _moves(have: np.ndarray, capacity: int, slack: int, budget: list[int]) -> Iterator[tuple[tuple[int, ...], int]]:
+    """(filling, times) of the largest piece: all undominated fillings that waste at most slack, least waste first."""
+    largest, have, sizes, reach = _beside(have, capacity)
+    room, copies = capacity - largest, int(have[largest]) + 1
+    lengths = sum(1 << s for s in sizes)
+    for waste in range(min(slack, room) + 1):
+        if not reach[-1] >> room - waste & 1:
+            continue
+        for rest in _sums(have, sizes, reach, room - waste, len(sizes)):
+            if budget[0] <= 0:
+                return
+            budget[0] -= 1
+            if _dominated(have, lengths, rest, waste):
+                continue
+            times = min([copies // (1 + rest.count(largest)), *(int(have[s]) // rest.count(s) for s in set(rest) - {largest})])
+            for t in range(min(times, slack // waste) if waste else times, 0, -1):
+                yield (largest, *rest), t
+
+
+def fillings(counts: dict[int, int], capacity: int, nodes: int = PACKING_NODES) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, how many such sequences) that hold counts[length] pieces of each length, in the fewest
+    sequences. If `nodes` end the search before it is through, it is the best one found, at least as good as the first
+    incumbents, and may lie above lower_bound()."""
+    have = np.zeros(capacity + 1, np.int64)
+    for size, n in counts.items():
+        have[size] = n
+    count = lambda found: sum(n for _, n in found)
+    quick = lambda: min((_filled(have, capacity, n) for n in (SEARCH_NODES, 0)), key=count)
+    best = quick()
+    least, needed = lower_bound(have, capacity), count(best)
+    budget, used = [nodes], 0
+    path: list[tuple[tuple[int, ...], int]] = []
+    frames: list[list[int]] = [[0, 0]]  # at each depth the moves tried, and the waste that they were listed for
+    open_: dict[int, Iterator] = {}  # the deepest depths' moves
+    seen: dict[bytes, int] = {}
+    tried = least  # lower bound where the rest was last packed in the quick ways
+    while frames and needed > least and budget[0] > 0:
+        depth = len(frames) - 1
+        if len(path) > depth:  # back from the last move
+            filling, times = path.pop()
+            used -= times
+            np.add.at(have, list(filling), times)
+        if depth not in open_:
+            if not frames[depth][0]:
+                frames[depth][1] = (needed - 1 - used) * capacity - int((have * np.arange(capacity + 1)).sum())
+            open_[depth] = islice(_moves(have, capacity, frames[depth][1], budget), frames[depth][0], None)
+            open_.pop(depth - OPEN_DEPTHS, None)
+        move = next(open_[depth], None)
+        if move is None:
+            del open_[depth]
+            frames.pop()
+            continue
+        budget[0] -= 1
+        frames[depth][0] += 1
+        filling, times = move
+        path.append(move)
+        used += times
+        np.subtract.at(have, list(filling), times)
+        rest = lower_bound(have, capacity)
+        if used + rest >= needed:
+            continue
+        if not rest:
+            best, needed = path.copy(), used
+            continue
+        state = hashlib.sha256(have).digest()
+        if seen.get(state, used + 1) <= used:
+            continue
+        seen[state] = used
+        if rest * 2 <= tried:
+            tried = rest
+            tail = quick()
+            if used + count(tail) < needed:
+                best, needed = path + tail, used + count(tail)
+        frames.append([0, 0])
+    return best
+
+
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds to each row how many rows of its length the task saw before."""
     seen: dict[int, int] = {}

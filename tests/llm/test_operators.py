@@ -224,6 +224,36 @@ def test_bin_completion_reaches_the_best():
         assert sum(n for _, n in got) <= best + 1
 
 
+def fewest(sizes, capacity):
+    best = len(sizes)
+
+    def go(at, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if at == len(sizes):
+            best = len(rooms)
+            return
+        for i in {r: i for i, r in enumerate(rooms) if r >= sizes[at]}.values():
+            go(at + 1, [*rooms[:i], rooms[i] - sizes[at], *rooms[i + 1 :]])
+        go(at + 1, [*rooms, capacity - sizes[at]])
+
+    go(0, [])
+    return best
+
+
+def test_bin_completion_finds_the_fewest(monkeypatch):
+    monkeypatch.setattr(packing, "OPEN_DEPTHS", 1)  # so that moves are enumerated again too
+    rng = random.Random(9)
+    known = [[8, 8, 6, 6, 5, 5], [9, 7, 7, 5, 5, 5], [9, 8, 7, 6, 5, 4]]  # 2 sequences, where each filling alone gives 3
+    for sizes in known + [[rng.randrange(2, 13) for _ in range(rng.randrange(6, 13))] for _ in range(400)]:
+        sizes.sort(reverse=True)
+        got = packing.fillings(collections.Counter(sizes), 20)
+        assert sorted((x for f, n in got for x in f * n), reverse=True) == sizes and all(sum(f) <= 20 for f, _ in got)
+        have = np.bincount(sizes, minlength=21)
+        assert packing.lower_bound(have, 20) <= sum(n for _, n in got) == fewest(sizes, 20)
+
+
 def test_token_counts(spark, docs, none, odd):
     bpe = tokens.ByteBpe()
     want = sorted(len(bpe.ids(r[1] or "")) for r in ROWS)
