@@ -41,8 +41,8 @@ def s3_verify_manifest(spark, d):
 @query("with " + V.DOCS + " select v.name, d.path is not null as present, sha256(d.text) as content_hash from (select path as name from docs where doc_id % 50 = 0 union all select 'absent.lock') v left join docs d on d.path = v.name")
 def s5_capture_inputs(spark, d):
     docs = V.documents(spark, d)
-    names = [r["path"] for r in docs.filter("doc_id % 50 = 0").select("path").orderBy("path").limit(1000).collect()]
-    return corpus.capture_inputs(corpus.documents_from_table(docs, "path", "text"), [*names, "absent.lock"])
+    names = docs.filter("doc_id % 50 = 0").select(F.col("path").alias("name")).union(spark.range(1).select(F.lit("absent.lock")))
+    return corpus.capture_inputs(corpus.documents_from_table(docs, "path", "text"), names)
 
 
 @query("with " + V.REVISIONS + " select path, hash as version_id from revs where revision = 1996")

@@ -124,3 +124,19 @@ def test_ranges_in_other_units(spark):
     req = spark.createDataFrame([("a", "p", 1, 1), ("b", "p", 2, 2), ("c", "p", 3, 3)], "request_id string, path string, first int, last int")
     got = {r.request_id: (r.slice, r.valid) for r in R.read_lines(req, raw).collect()}
     assert got == {"a": ("ok", True), "b": (None, False), "c": ("end", True)}
+
+
+def test_capture_inputs_of_many_names(spark, tmp_path):
+    from siftworks.plans.q_streams import s5_capture_inputs
+    from siftworks.plans.views import documents
+
+    n = 60_000
+    text = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("t"), F.col("doc_id").cast("string")))
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang")).withColumn("text", text).write.parquet(str(tmp_path / "documents.parquet"))
+    got = s5_capture_inputs(spark, str(tmp_path)).collect()
+    assert sorted(r.name for r in got) == sorted(["absent.lock", *(f"s/en/{i}.txt" for i in range(0, n, 50))])
+    assert [r.name for r in got if not r.present] == ["absent.lock"]
+    docs = documents(spark, str(tmp_path))
+    names = docs.select(F.col("path").alias("name")).union(spark.range(1).select(F.lit("absent.lock")))
+    every = corpus.capture_inputs(corpus.documents_from_table(docs, "path", "text"), names)
+    assert every.agg(F.count("*"), F.count_if("present"), F.count("content_hash"), F.countDistinct("name")).first() == (n + 1, n, n, n + 1)
