@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from siftworks.sources.tables import stored
 
 #: Depths that a request may ask for.
 MAX_DEPTH = 5
+#: Steps of a fixpoint after which what it found is written as one table.
+MERGE_STEPS = 16
 
 
 def validate_requests(requests: DataFrame, denied: DataFrame, revisions: DataFrame, roots: DataFrame, producers: DataFrame) -> DataFrame:
@@ -121,35 +126,47 @@ def warnings(requests: DataFrame, coverage: DataFrame, provenance: DataFrame, bi
     return found.withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy(rank, F.col("provenance_id").asc_nulls_first())).cast("long"))
 
 
-def distances(seeds: DataFrame, edges: DataFrame, most: int = 20, allowed: DataFrame | None = None) -> DataFrame:
-    """id, distance: the least number of edges from any seed, up to `most`, over allowed nodes alone if given."""
+def _steps(most: int | None) -> Iterable[int]:
+    return count(1) if most is None else range(1, most + 1)
+
+
+def _grown(found: DataFrame, front: DataFrame, step: int, name: str) -> DataFrame:
+    """found and front, written as one table now and then, so that the plan stays small however many steps there are."""
+    both = found.unionByName(front)
+    return both if step % MERGE_STEPS else stored(both, name)
+
+
+def distances(seeds: DataFrame, edges: DataFrame, most: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """id, distance: the least number of edges from any seed, over allowed nodes alone if given; up to `most` if given,
+    else until no step finds a node."""
     if allowed is not None:
         edges = edges.join(allowed.select(F.col("id").alias("dst")), "dst", "left_semi")
     edges = edges.select("src", "dst").distinct()
     found = stored(seeds.select("id").distinct().withColumn("distance", F.lit(0)), "distances")
     front = found
-    for step in range(1, most + 1):
+    for step in _steps(most):
         front = stored(front.select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti").withColumn("distance", F.lit(step)), "front")
         if not front.limit(1).count():
             break
-        found = found.unionByName(front)
+        found = _grown(found, front, step, "distances")
     return found
 
 
-def closure(seeds: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
-    """seed, id, distance of all nodes that each seed reaches, itself at 0; each level drops what the seed has."""
+def closure(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """seed, id, distance of all nodes that each seed reaches, itself at 0; each level drops what the seed has. Up to
+    `most` edges if given, else until no step finds a node."""
     edges = edges.select("src", "dst").distinct()
     found = stored(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("distance", F.lit(0)), "closure")
     front = found
-    for step in range(1, most + 1):
+    for step in _steps(most):
         front = stored(front.select("seed", F.col("id").alias("src")).join(edges, "src").select("seed", F.col("dst").alias("id")).distinct().join(found, ["seed", "id"], "left_anti").withColumn("distance", F.lit(step)), "front")
         if not front.limit(1).count():
             break
-        found = found.unionByName(front)
+        found = _grown(found, front, step, "closure")
     return found
 
 
-def hierarchy(seeds: DataFrame, relations: DataFrame, most: int = 20) -> DataFrame:
+def hierarchy(seeds: DataFrame, relations: DataFrame, most: int | None = None) -> DataFrame:
     """seed, id, direction, distance: ancestors and descendants over extends and implements with evidence. The two are
     closed apart, so no sibling comes in through a shared ancestor."""
     r = relations.filter("kind in ('extends', 'implements') and provenance_id is not null").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
@@ -158,10 +175,8 @@ def hierarchy(seeds: DataFrame, relations: DataFrame, most: int = 20) -> DataFra
     return up.unionByName(down).filter("distance > 0").select("seed", "id", "direction", "distance")
 
 
-def on_cycle(edges: DataFrame, most: int = 64) -> DataFrame:
-    """Nodes that reach themselves. Nodes without incoming or outgoing edges are peeled off until none is left to peel;
-    what stays is cycles and what lies between them, and only this is closed."""
-    live = stored(edges.select("src", "dst").distinct(), "live")
+def _peeled(live: DataFrame) -> DataFrame:
+    """live without the edges of nodes that lack incoming or outgoing ones, again and again until none is left."""
     n = live.count()
     while n:
         both = live.select(F.col("src").alias("id")).intersect(live.select(F.col("dst").alias("id")))
@@ -170,20 +185,50 @@ def on_cycle(edges: DataFrame, most: int = 64) -> DataFrame:
         if m == n:
             break
         n = m
-    seeds = live.select(F.col("src").alias("id")).distinct()
-    back = closure(seeds, live, most).select("seed", F.col("id").alias("src")).join(live, "src").filter("dst = seed")
-    return back.select(F.col("seed").alias("id")).distinct()
+    return live
+
+
+def _least_source(live: DataFrame) -> DataFrame:
+    """id, label: for each node the least of itself and all nodes that reach it."""
+    ids = live.select(F.col("src").alias("id")).union(live.select("dst")).distinct()
+    labels = stored(ids.select("id", F.col("id").alias("label"), F.lit(True).alias("moved")), "labels")
+    while labels.filter("moved").limit(1).count():
+        sent = labels.filter("moved").select(F.col("id").alias("src"), "label").join(live, "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("least"))
+        lower = F.coalesce(F.col("least") < F.col("label"), F.lit(False))
+        labels = stored(labels.join(sent, "id", "left").select("id", F.least("label", "least").alias("label"), lower.alias("moved")), "labels")
+    return labels.select("id", "label")
 
 
-def region_closure(ids: DataFrame, regions: DataFrame, most: int = 64) -> DataFrame:
-    """group, id: the regions of each group and all that enclose them."""
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves. Nodes without incoming or outgoing edges are peeled off until none is left to peel;
+    what stays is cycles and what lies between them. In this each node gets the least node that reaches it as a label:
+    those with a label that reach its node over edges within the label are strongly connected. They are taken out, and
+    the rest, whose cycles lie within a label too, goes through the same again until no edge is left."""
+    live = stored(edges.select("src", "dst").distinct(), "live")
+    found = live.filter("src = dst").select(F.col("src").alias("id"))
+    live = _peeled(live.filter("src <> dst"))
+    for step in count(1):
+        if not live.limit(1).count():
+            return found.distinct()
+        labels = _least_source(live)
+        within = live.join(labels.select(F.col("id").alias("src"), F.col("label").alias("_s")), "src").join(labels.select(F.col("id").alias("dst"), F.col("label").alias("_d")), "dst").filter("_s = _d")
+        within = stored(within.select("src", "dst"), "live")
+        part = stored(distances(labels.filter("id = label"), within.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("id").join(labels, "id"), "parts")
+        several = part.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
+        found = _grown(found, part.join(several, "label", "left_semi").select("id"), step, "cycles")
+        out = lambda end: part.select(F.col("id").alias(end))  # noqa: B023, E731
+        live = _peeled(stored(within.join(out("src"), "src", "left_anti").join(out("dst"), "dst", "left_anti").select("src", "dst"), "live"))
+
+
+def region_closure(ids: DataFrame, regions: DataFrame, most: int | None = None) -> DataFrame:
+    """group, id: the regions of each group and all that enclose them, `most` levels up if given."""
     found = stored(ids.select("group", "id").distinct(), "regions")
     front = found
-    for _ in range(most):
+    for step in _steps(most):
         front = stored(front.join(regions.select("id", "parent_id"), "id").filter("parent_id is not null").select("group", F.col("parent_id").alias("id")).distinct().join(found, ["group", "id"], "left_anti"), "front")
         if not front.limit(1).count():
             break
-        found = found.unionByName(front)
+        found = _grown(found, front, step, "regions")
     return found
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from siftworks.operators.graph import answer_flags, graph_answers, warnings
+from siftworks.operators.graph import answer_flags, distances, graph_answers, hierarchy, on_cycle, region_closure, warnings
 
 REQ = "request_id string, root_id string, depth int, max_nodes int, max_calls int"
 CALL = "owner_id string, call_id string, pos long, ordinal long, target_id string, reason string"
@@ -103,3 +103,30 @@ def test_warnings(spark):
     bind = spark.createDataFrame([("a", "pA", "ambiguous", False)] * 2, "request_id string, provenance_id string, resolution string, stale_target boolean")
     got = [(r.request_id, r.code, r.provenance_id) for r in warnings(req, cov, prov, bind).orderBy("request_id", "place").collect()]
     assert got == [("a", "staleEvidence", None), ("a", "staleEvidence", "p2"), ("a", "bindingAmbiguous", "pA"), ("b", "syntaxOnly", None)]
+
+
+def test_deep_distances_and_closures(spark):
+    far = spark.createDataFrame([(i, i + 1) for i in range(24)], "src long, dst long")
+    seed = spark.createDataFrame([(0,)], "id long")
+    assert {r.id: r.distance for r in distances(seed, far).collect()} == {i: i for i in range(25)}
+    assert {r.id for r in distances(seed, far, 3).collect()} == set(range(4))
+    rel = far.selectExpr("'extends' as kind", "src as source_id", "dst as target_id", "'p' as provenance_id")
+    got = {(r.id, r.direction, r.distance) for r in hierarchy(spark.createDataFrame([(1,)], "id long"), rel).collect()}
+    assert got == {(i, "ancestor", i - 1) for i in range(2, 25)} | {(0, "descendant", 1)}
+    regions = spark.createDataFrame([(i, i + 1 if i < 70 else None) for i in range(71)], "id long, parent_id long")
+    assert {r.id for r in region_closure(spark.createDataFrame([("g", 0)], "group string, id long"), regions).collect()} == set(range(71))
+
+
+def test_cycle_of_many_nodes(spark):
+    ring = [(i, (i + 1) % 70) for i in range(70)]
+    df = spark.createDataFrame([*ring, (5, 100), (100, 101), (101, 200), (200, 201), (201, 200), (300, 300), (300, 0)], "src long, dst long")
+    assert {r.id for r in on_cycle(df).collect()} == {*range(70), 200, 201, 300}
+
+
+def test_cycles_of_random_graphs(spark):
+    rng = random.Random(3)
+    edges = [(1000 * g + rng.randrange(12), 1000 * g + rng.randrange(12)) for g in range(12) for _ in range(14)]
+    reach = set(edges)
+    while more := {(a, d) for a, b in reach for c, d in edges if b == c} - reach:
+        reach |= more
+    assert {r.id for r in on_cycle(spark.createDataFrame(edges, "src long, dst long")).collect()} == {a for a, b in reach if a == b}
