@@ -25,12 +25,16 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder for intermediate tables: spark.checkpoint.dir, or the folder given to setCheckpointDir.
+
+    Where neither is set, local mode gets a folder of its own; on a cluster executors couldn't see one, so that fails."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         hadoop = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = hadoop.get() if hadoop.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-stages-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -51,6 +55,11 @@ def doc_text(docs: DataFrame, *more: str | Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """docs as one column `row`, so that none of its columns can clash with helper columns; back by select("row.*")."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 # --- hashing ---------------------------------------------------------------------------------------------------------
 
 
@@ -189,7 +198,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
 
     def step(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u"))) if large else e.select("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        # written apart, so that the join deals out both sides anew and Spark can split a hub's neighbours
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
         moved = both.join(low, "u")
         if large:  # larger neighbours go to the smallest one
             return moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -134,10 +134,11 @@ def test_simhash_index_finds_all_within_radius():
 
 
 def brute_lines(rows, min_words):
+    """All runs of all lengths."""
     seqs = {r[0]: [(i, x) for i, x in enumerate((r[1] or "").split("\n")) if re.search(r"[^ \t\n\x0b\f\r]", x)] for r in rows}
     gone = {k: set() for k in seqs}
-    length = 1
-    while True:
+    length, again = 1, True
+    while again:
         seen, again = set(), False
         for doc_id in sorted(seqs):
             s = seqs[doc_id]
@@ -148,26 +149,62 @@ def brute_lines(rows, min_words):
                     if sum(len(x.split()) for x in key) >= min_words:
                         gone[doc_id] |= {i for i, _ in s[p : p + length]}
                 seen.add(key)
-        length *= 2
-        if not again:
-            return gone
+        length += 1
+    return gone
 
 
-@pytest.mark.parametrize("min_words", [5, 12])
-def test_lines(docs, min_words):
-    want = brute_lines(ROWS, min_words)
-    text = {r[0]: r[1] for r in ROWS}
-    for r in lines.drop_repeated_lines(docs, min_words).collect():
+def held_against_brute_lines(df, rows, min_words):
+    want = brute_lines(rows, min_words)
+    text = {r[0]: r[1] for r in rows}
+    got = lines.drop_repeated_lines(df, min_words).collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    for r in got:
         assert r.n_deleted == len(want[r.doc_id])
         kept = None if text[r.doc_id] is None else "\n".join(x for i, x in enumerate(text[r.doc_id].split("\n")) if i not in want[r.doc_id])
         assert r.kept_text == kept
 
 
-def test_lines_odd(docs, none, odd):
+@pytest.mark.parametrize("min_words", [1, 5, 12])
+def test_lines(docs, min_words):
+    held_against_brute_lines(docs, ROWS, min_words)
+
+
+@pytest.mark.parametrize(("min_words", "parts"), [(3, 8), (5, 40), (9, 3)])
+def test_lines_of_few_words(spark, min_words, parts):
+    """Short lines from a small set, so that runs of all lengths repeat, over many ranges."""
+    rng = random.Random(min_words)
+    line = ["yes", "no", "ok", "so it is", "aa bb", "cc dd", "", " ", *(f"x{i}" for i in range(6))]
+    rows = [(i, "\n".join(rng.choice(line) for _ in range(rng.randrange(30))), "en", "s", 0) for i in range(80)]
+    rows += [(200 + i, rows[0][1], "en", "s", 0) for i in range(30)] + [(300 + i, "ok\nyes\n" * 20, "en", "s", 0) for i in range(4)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held_against_brute_lines(frame(spark, rows), rows, min_words)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_lines_whole_runs(spark):
+    """Runs of which only the whole has five words."""
+    one = "one two three four five six\nok\nyes"
+    rows = [(1, one, "en", "s", 0), (2, one + "\nother end", "en", "s", 0), (3, "aa bb\ncc dd\nee", "en", "s", 0), (4, "start\naa bb\ncc dd\nee", "en", "s", 0)]
+    got = {r.doc_id: r.kept_text for r in lines.drop_repeated_lines(frame(spark, rows)).collect()}
+    assert got == {1: one, 2: "other end", 3: "aa bb\ncc dd\nee", 4: "start"}
+
+
+def test_lines_odd(spark, docs, none, odd):
     assert lines.drop_repeated_lines(none).count() == 0
     got = sorted((r.doc_id or 0, r.n_lines, r.n_deleted) for r in lines.drop_repeated_lines(odd).collect())
     assert got == [(0, 1, 0), (1, 1, 0), (1, 1, 0), (2, 0, 0)]
     assert lines.without_repeated_lines(docs).columns == docs.columns
+    # rows that repeat a doc_id and its text are one document; with another text they are a document of their own
+    long = "\n".join(f"line number {i} of a long text" for i in range(40))
+    rows = [(7, long, "en", "s", 0)] * 3 + [(7, long + "\nmore words than that, five or six", "en", "s", 0), (9, long, "en", "s", 0)]
+    got = sorted((r.doc_id, r.n_lines, r.n_deleted) for r in lines.drop_repeated_lines(frame(spark, rows)).collect())
+    assert got in ([(7, 40, 0)] * 3 + [(7, 41, 40), (9, 40, 40)], [(7, 40, 40)] * 3 + [(7, 41, 0), (9, 40, 40)])
+    twins = docs.withColumns({c: F.lit("x") for c in ("row", "runs", "id", "t", "p", "part", "rank", "many")})
+    assert lines.without_repeated_lines(twins).columns == twins.columns
 
 
 # --- 5 packing and 10 token counts -----------------------------------------------------------------------------------
