@@ -1,17 +1,22 @@
-"""Toxicity by compression distance: two zstandard dictionaries, and how much shorter one makes each window.
+"""Toxicity by compression distance: two trained zstandard dictionaries, and how much shorter one makes each window.
 
-The ordinary dictionary is trained on windows of ordinary text. The toxic dictionary holds the same content and, in
-front of it, the segments (words and beginnings of words) that toxic training documents share and ordinary ones lack;
-near copies among the training documents count once, or one copied text would pass for common usage. Windows of a few
-words are compressed with both. Ordinary windows get the same length twice; a window with a toxic segment gets shorter
-with the toxic dictionary. A document's counts of windows beyond several gains are then turned into a probability by a
-logistic fit on labelled documents that the dictionaries weren't trained on.
+Labels mark whole documents, most of whose words are ordinary. So the toxic text that a dictionary is trained on are
+the words of toxic documents that begin with a segment which marks such documents (far more frequent in them than in
+ordinary ones); near copies among the training documents count once, or one copied text would pass for common usage.
+The ordinary dictionary is trained by the same zstandard trainer, with the same parameters, on as many words of
+ordinary documents, and both are cut to the same size. Both stand before the same background, a dictionary trained on
+windows of ordinary text, which keeps common words from drowning the difference.
+
+Windows of a few words are compressed with both. Ordinary windows get about the same length twice; a window with toxic
+words gets shorter with the toxic dictionary. A document's counts of windows beyond several gains are then turned into
+a probability by a logistic fit on labelled documents that the dictionaries weren't trained on.
 
 Only the fit runs on the driver, on samples of bounded size; every window of every text is compressed in the cluster.
 """
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,16 +25,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_text
+from .common import doc_text, stored
 
 #: Labelled documents that the fit uses at most: toxic and ordinary ones for the dictionaries, any for the calibration.
 TRAIN_TOXIC, TRAIN_ORDINARY, CALIBRATE = 1500, 3000, 5000
-#: Labelled documents with longer texts aren't used for the fit (they are scored like all others).
-TRAIN_CHARS = 50_000
+#: Characters of text that each of these three samples has at most.
+TRAIN_CHARS = 20_000_000
 WINDOW_WORDS = 8
+#: Bytes that the trainer is asked for: for a class, and for the background; its segments, and the strings it counts.
+CLASS_BYTES, BACKGROUND_BYTES, SEGMENT, COUNTED = 4096, 16384, 32, 6
+#: Windows that the background is trained on at most.
+BACKGROUND_WINDOWS = 40_000
 _STEMS = (4, 5, 6, 7, 8, 10, 12)
 
 
@@ -123,18 +132,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40)
     return w
 
 
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """The content of a dictionary that zstandard trains on the samples; of too few samples, these themselves."""
+    try:
+        whole = zstandard.train_dictionary(size, samples, k=SEGMENT, d=COUNTED).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
+    # the content stands behind the entropy tables, which end with the three repeat offsets
+    return whole[whole.rfind(b"\x01\0\0\0\x04\0\0\0\x08\0\0\0") + 12 :]
+
+
 def fit(toxic: list[str], ordinary: list[str], calibrate: list[tuple[str, int]], size: int = WINDOW_WORDS) -> Model:
-    """A model from texts. Without toxic or ordinary texts there is no toxic segment, and every score is the prior."""
+    """A model from texts. Without toxic or ordinary texts both dictionaries are alike, and every score is the prior."""
     tox, plain = _apart([_lower(t) for t in toxic]), _apart([_lower(t) for t in ordinary])
-    samples = [w for words in plain for w in windows(words, size)]
-    try:
-        common = zstandard.train_dictionary(8192, samples, k=32, d=6).as_bytes()[-8000:]
-    except zstandard.ZstdError:  # too little text to train on
-        common = b"".join(samples)[-8000:]
-    marks = toxic_segments(tox, plain) if plain else []
-    # the most common ones stand last, nearest to the content that both share
-    front = b"".join(b" " + s for s in reversed(marks))[-4000:]
-    model = Model(common or b" " * 8, front + (common or b" " * 8), [], size)
+    rng = random.Random(1)
+    marks = tuple(b" " + s for s in toxic_segments(tox, plain)) if plain else ()
+    padded = lambda docs: [b" " + w + b" " for words in docs for w in words]
+    marked, common = [w for w in padded(tox) if w.startswith(marks)], padded(plain)
+    windowed = [w for words in plain for w in windows(words, size)]
+    background = _trained(rng.sample(windowed, min(len(windowed), BACKGROUND_WINDOWS)), BACKGROUND_BYTES) or b" " * 8
+    one, other = _trained(marked, CLASS_BYTES), _trained(rng.sample(common, min(len(common), len(marked))), CLASS_BYTES)
+    most = min(len(one), len(other))
+    model = Model(other[len(other) - most :] + background, one[len(one) - most :] + background, [], size)
     pair = model.pair()
     x = np.array([features(gains(t, pair, size)) for t, _ in calibrate] or [features(np.zeros(0, np.int64))])
     y = np.array([v for _, v in calibrate] or [0], float)
@@ -155,12 +174,13 @@ def _score(model: Model):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, size: int = WINDOW_WORDS, most: tuple[int, int, int] = (TRAIN_TOXIC, TRAIN_ORDINARY, CALIBRATE)) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, size: int = WINDOW_WORDS, most: tuple[int, int, int] = (TRAIN_TOXIC, TRAIN_ORDINARY, CALIBRATE), chars: int = TRAIN_CHARS) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text, ...); labels: doc_id, toxic.
 
     held_out: crc32 of the doc_id as text leaves 2 when divided by four. Labels of such documents are never read; of
-    the others, those that leave 0 or 1 train the dictionaries and those that leave 3 calibrate, at most `most` of
-    each by order of a hash of their doc_id. predicted is 1 from a score of 0.3.
+    the others, those that leave 0 or 1 train the dictionaries and those that leave 3 calibrate: in order of a hash of
+    their doc_id at most `most` of each, and as many of these as have `chars` characters of text together. predicted
+    is 1 from a score of 0.3.
 
     A null text counts as empty and gets the score of a text without toxic windows. A null doc_id is scored, not held
     out, and has no label. Repeated rows are scored alike; of contradicting labels the toxic one counts. Without
@@ -169,13 +189,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, size: int = WINDOW_WORDS,
     part = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 4
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("fold", part("doc_id")).filter("fold <> 2")
-    order = F.xxhash64("doc_id", F.lit(7))
+    order = (F.xxhash64("doc_id", F.lit(7)), F.col("doc_id"))
     chosen = []
-    for cond, n in zip(("fold < 2 and toxic = 1", "fold < 2 and toxic = 0", "fold = 3"), most, strict=True):
-        chosen.append(known.filter(cond).orderBy(order, "doc_id").limit(n))
+    for k, (cond, n) in enumerate(zip(("fold < 2 and toxic = 1", "fold < 2 and toxic = 0", "fold = 3"), most, strict=True)):
+        chosen.append(known.filter(cond).orderBy(*order).limit(n).withColumn("sample", F.lit(k)))
     ids = chosen[0].unionByName(chosen[1]).unionByName(chosen[2])  # as many as `most` says
     text = doc_text(docs)
-    rows = text.filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic", "fold").collect()
+    sizes = text.select("doc_id", F.length("text").cast("long").alias("n")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "fold", "sample").agg(F.sum("n").alias("n"))
+    # over the few rows of a sample
+    so_far = F.sum("n").over(Window.partitionBy("sample").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    fits = stored(sizes.filter(F.col("n") <= chars).withColumn("total", so_far).filter(F.col("total") <= chars).select("doc_id", "toxic", "fold"), "toxic-labels")
+    rows = text.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "toxic", "fold").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     train = [r for r in rows if r["fold"] < 2]
     model = fit([r["text"] for r in train if r["toxic"]], [r["text"] for r in train if not r["toxic"]], [(r["text"], r["toxic"]) for r in rows if r["fold"] == 3], size)
