@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     # nodes now: the components found so far
     of = found.select(F.col("node"), "component")
     up = late.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    merged = components(up.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    # written apart too: very many documents may have one component
+    merged = stored(components(up.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "merged")
     same = member.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # rows of one doc_id with different texts tie their classes together
     twice = member.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
