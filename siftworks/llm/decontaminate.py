@@ -1,31 +1,37 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-For every benchmark item, windows of the item's length slide over every text. A window's SimHash (64 signs of the
-weighted sum of its shingles' bits) is looked up in a multi-index: fingerprints are cut into eight blocks of a byte,
-and two fingerprints within radius 8 * d + 7 agree to within d bits in at least one block, so the union over blocks of
-the items whose byte is within d finds all fingerprints within the radius. Candidates are then compared exactly:
+For every length that benchmark items have, windows of that many words slide over every text. A window's SimHash (64
+signs of the weighted sum of its shingles' bits) is looked up in a multi-index of the items of that length:
+fingerprints are cut into eight blocks of a byte, and two fingerprints within radius 8 * d + 7 agree to within d bits in
+at least one block, so the union over blocks of the items whose byte is within d holds every item within the radius.
+These pairs of window and item, and no others, are confirmed by the full Hamming distance and then compared exactly:
 similarity is the weighted Jaccard similarity of the two shingle multisets, a shingle weighing its share of different
 words, so that stretches of one repeated word say little.
 
-A window that shares no shingle with an item has similarity 0 with it, so only windows around shared shingles are
-fingerprinted; this loses nothing.
+Two steps before that lose nothing. A window of which less than the threshold's share (by weight) are shingles of any
+item at all can't reach the threshold with one, so it gets no fingerprint. And windows of one text with the same
+sequence of shingles are looked up once.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WordHasher, doc_text, grams, mix, slices, spread
+from .common import WHITE, Powers, WordHasher, grams, mix, slices, stored
 
 _U = np.uint64
-#: Items that are held by each task at once; a larger benchmark goes over the documents in as many blocks as needed.
-BLOCK_ITEMS = 5_000
+#: Items, and characters of their texts, that each task holds at once; a larger benchmark goes over the documents in as
+#: many blocks as needed.
+BLOCK_ITEMS, BLOCK_CHARS = 5_000, 16_000_000
+#: Windows that are fingerprinted, and pairs of window and item that are looked up, at once.
+BATCH_WINDOWS, BATCH_PAIRS = 4096, 1 << 21
 #: ASCII punctuation parts words too, so that quoting or another full stop doesn't hide an item.
 _PARTS = WHITE + bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -66,114 +72,148 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _BITS[(a ^ b).view(np.uint8).reshape(-1, 8)].sum(axis=1)
 
 
+class Group:
+    """Items of one length in words: their shingles and fingerprints, and the multi-index of these."""
+
+    def __init__(self, words: int, size: int, members: list[tuple[int, np.ndarray, np.ndarray]], radius: int):
+        self.words, self.size, self.radius = words, size, radius
+        self.ids = [i for i, _, _ in members]
+        self.bags = [Counter(sh.tolist()) for _, sh, _ in members]
+        self.total = [float(w.sum()) for _, _, w in members]
+        self.prints = np.array([simhash(signs(sh, w).sum(axis=0, dtype=np.float64)[None, :])[0] for _, sh, w in members], _U)
+        # for block k and byte value v, the items whose byte k differs from v in at most d bits
+        blocks = self.prints.view(np.uint8).reshape(-1, 8)
+        near = _BITS[np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]] <= radius // 8
+        self.index = [near[:, blocks[:, k]] for k in range(8)]  # 256 x items each
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (fingerprint, item) that the multi-index brings together and the radius confirms."""
+        windows, items = [], []
+        step = max(1, BATCH_PAIRS // len(self.ids))
+        for lo in range(0, len(prints), step):
+            part = prints[lo : lo + step]
+            bytes_ = part.view(np.uint8).reshape(-1, 8)
+            met = self.index[0][bytes_[:, 0]]
+            for k in range(1, 8):
+                met = met | self.index[k][bytes_[:, k]]
+            w, i = np.nonzero(met)
+            sure = hamming(part[w], self.prints[i]) <= self.radius
+            windows.append(w[sure] + lo)
+            items.append(i[sure])
+        return (np.concatenate(windows), np.concatenate(items)) if windows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 class Items:
-    """A block of benchmark items: their shingles, weights, fingerprints and the multi-index."""
+    """A block of benchmark items by length, and all their shingles. Texts are in lower case."""
 
     def __init__(self, ids: list[int], texts: list[str], shingle: int, radius: int):
         hasher = WordHasher(seed=3, lower=True, white=_PARTS)
-        self.ids, self.radius = ids, radius
-        self.words, self.bags, self.weight, self.total = [], [], {}, []
-        for t in texts:
-            data = np.frombuffer((t or "").lower().encode(), np.uint8)
+        by_length: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        self.weight: dict[int, float] = {}
+        known: dict[int, list[np.ndarray]] = {}
+        for item, t in zip(ids, texts, strict=True):
+            data = np.frombuffer(t.encode(), np.uint8)
             h = hasher.words(data, np.array([0, len(data)]))[0]
-            sh, w = _shingles(h, shingle).tolist(), shingle_weights(h, shingle).tolist()
-            self.words.append(len(h))
-            self.bags.append(Counter(sh))
-            self.weight.update(zip(sh, w, strict=True))
-            self.total.append(sum(w))
-        self.known = np.array(sorted(self.weight), _U)
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.known & _U((1 << 20) - 1)).astype(np.int64)] = True
-        owners = {int(x): [] for x in self.known}
-        for i, b in enumerate(self.bags):
-            for x in b:
-                owners[x].append(i)
-        self.owners = [np.array(owners[int(x)]) for x in self.known]
-        self.prints = np.zeros(len(ids), _U)
-        for i, b in enumerate(self.bags):
-            if b:
-                x = np.array(list(b), _U)
-                w = np.array([self.weight[k] * n for k, n in b.items()])
-                self.prints[i] = simhash(signs(x, w).sum(axis=0, dtype=np.float64)[None, :])[0]
-        # the multi-index: for block k and byte value v, the items whose byte k differs from v in at most d bits
-        d = radius // 8
-        self.blocks = self.prints.view(np.uint8).reshape(-1, 8)
-        near = _BITS[np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]] <= d
-        self.index = [near[:, self.blocks[:, k]] for k in range(8)]  # 256 x items each
-
-    def candidates(self, prints: np.ndarray, item: int) -> np.ndarray:
-        """Which fingerprints the multi-index brings together with the item, and the radius then confirms."""
-        bytes_ = prints.view(np.uint8).reshape(-1, 8)
-        met = np.zeros(len(prints), bool)
-        for k in range(8):
-            met |= self.index[k][bytes_[:, k], item]
-        out = np.zeros(len(prints), bool)
-        out[met] = hamming(prints[met], np.full(int(met.sum()), self.prints[item], _U)) <= self.radius
-        return out
-
-
-def _matches(items: Items, shingle: int, threshold: float):
+            if len(h):
+                sh, w = _shingles(h, shingle), shingle_weights(h, shingle)
+                by_length.setdefault(len(h), []).append((item, sh, w))
+                self.weight.update(zip(sh.tolist(), w.tolist(), strict=True))
+                known.setdefault(min(shingle, len(h)), []).append(sh)
+        self.groups = [Group(n, min(shingle, n), members, radius) for n, members in sorted(by_length.items())]
+        #: by shingle size: all shingles in order, and a filter of their low bits
+        self.known = {k: np.unique(np.concatenate(x)) for k, x in known.items()}
+        self.filter = {}
+        for k, x in self.known.items():
+            self.filter[k] = np.zeros(1 << 20, bool)
+            self.filter[k][(x & _LOW).astype(np.int64)] = True
+
+    def has(self, shingles: np.ndarray, size: int) -> np.ndarray:
+        """Which shingles any item has."""
+        hit = self.filter[size][(shingles & _LOW).astype(np.int64)]
+        maybe = np.flatnonzero(hit)
+        slot = np.minimum(np.searchsorted(self.known[size], shingles[maybe]), len(self.known[size]) - 1)
+        hit[maybe] = self.known[size][slot] == shingles[maybe]
+        return hit
+
+
+_LOW = _U((1 << 20) - 1)
+
+
+def _fingerprints(sh: np.ndarray, weight: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """Of the windows of m shingles from each place `at` (rising) on."""
+    out = []
+    lo = 0
+    while lo < len(at):
+        hi = min(lo + BATCH_WINDOWS, int(np.searchsorted(at, at[lo] + 4 * BATCH_WINDOWS, "right")))
+        a, b = int(at[lo]), int(at[hi - 1]) + m
+        sums = np.zeros((b - a + 1, 64))
+        np.cumsum(signs(sh[a:b], weight[a:b]), axis=0, dtype=np.float64, out=sums[1:])
+        out.append(simhash(sums[at[lo:hi] - a + m] - sums[at[lo:hi] - a]))
+        lo = hi
+    return np.concatenate(out)
+
+
+def _in_text(items: Items, words: np.ndarray, sizes: list[int], threshold: float, powers: Powers) -> Iterator[tuple[int, int, int, float]]:
+    """(item, start, words, similarity) of the window of the text that is most like each item, the first of equals."""
+    by_size = {}
+    for k in sizes:
+        if k <= len(words):
+            sh, weight = grams(words, k), shingle_weights(words, k)
+            up, down = powers.get(len(sh) + 1)
+            sums = np.zeros((2, len(sh) + 1))
+            np.cumsum(np.where(items.has(sh, k), weight, 0), out=sums[0, 1:])
+            np.cumsum(weight, out=sums[1, 1:])
+            order = np.zeros(len(sh) + 1, _U)
+            np.cumsum(sh * up[: len(sh)], dtype=_U, out=order[1:])
+            by_size[k] = sh, weight, sums, order, down
+    for group in items.groups:
+        if group.size not in by_size:
+            continue
+        sh, weight, sums, order, down = by_size[group.size]
+        n = min(group.words, len(words))  # a text shorter than the item is one window
+        m = n - group.size + 1
+        shared, whole = sums[:, m:] - sums[:, : len(sh) - m + 1]
+        at = np.flatnonzero(shared >= (threshold - 1e-9) * whole - 1e-9)
+        if not len(at):
+            continue
+        at = np.sort(at[np.unique((order[at + m] - order[at]) * down[at], return_index=True)[1]])
+        best: dict[int, tuple[float, int]] = {}
+        for w, i in zip(*(x.tolist() for x in group.candidates(_fingerprints(sh, weight, at, m))), strict=True):
+            s = int(at[w])
+            bag, own = Counter(sh[s : s + m].tolist()), group.bags[i]
+            both = sum(items.weight[x] * min(c, own[x]) for x, c in bag.items() if x in own)
+            value = both / (group.total[i] + float(weight[s : s + m].sum()) - both)
+            if value >= threshold - 1e-12 and (i not in best or value > best[i][0]):
+                best[i] = (value, s)
+        for i, (value, s) in best.items():
+            yield group.ids[i], s, n, value
+
+
+def _matches(items: Items, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(seed=3, lower=True, white=_PARTS)
-        size = np.array(items.words)
-        short = sorted({int(n) for n in size if 0 < n < shingle})
+        hasher, powers = WordHasher(seed=3, lower=True, white=_PARTS), Powers()
+        sizes = sorted(items.known)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             out: list[tuple] = []
             for at, count, data, bounds in slices(batch):
                 hashes, _, _, firsts = hasher.words(data, bounds)
-                for k in [shingle, *short]:  # items shorter than a shingle are one shingle of their own length
+                hits = np.zeros(count, bool)  # texts with a shingle of some item
+                for k in sizes:
                     g = grams(hashes, k)
-                    maybe = np.flatnonzero(items.filter[(g & _U((1 << 20) - 1)).astype(np.int64)])
-                    slot = np.searchsorted(items.known, g[maybe])
-                    slot[slot == len(items.known)] = 0
-                    sure = items.known[slot] == g[maybe] if len(items.known) else np.zeros(0, bool)
-                    maybe, slot = maybe[sure], slot[sure]
-                    doc = np.searchsorted(firsts, maybe, "right") - 1
-                    inside = maybe + k <= firsts[doc + 1]
-                    hits: dict[tuple[int, int], list[int]] = {}
-                    for p, s, d in zip(maybe[inside].tolist(), slot[inside].tolist(), doc[inside].tolist(), strict=True):
-                        for i in items.owners[s].tolist():
-                            if (items.words[i] < shingle) == (k < shingle) and (k == shingle or items.words[i] == k):
-                                hits.setdefault((d, i), []).append(p)
-                    for (d, i), places in hits.items():
-                        best = _best(items, i, hashes[firsts[d] : firsts[d + 1]], np.array(places) - firsts[d], k, threshold)
-                        if best:
-                            out.append((ids[at + d], items.ids[i], *best))
+                    where = np.flatnonzero(items.has(g, k))
+                    doc = np.searchsorted(firsts, where, "right") - 1
+                    hits[doc[where + k <= firsts[doc + 1]]] = True
+                for d in np.flatnonzero(hits).tolist():
+                    out += [(ids[at + d], *found) for found in _in_text(items, hashes[firsts[d] : firsts[d + 1]], sizes, threshold, powers)]
             if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64())], ["doc_id", "item_id", "start", "n_words", "similarity"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "start", "n_words", "similarity"])
 
     return run
 
 
-def _best(items: Items, i: int, words: np.ndarray, places: np.ndarray, k: int, threshold: float):
-    """(start, words, similarity) of the text's window that is most like item i, the first of equals; or None."""
-    n = min(items.words[i], len(words))
-    # starts of item-sized windows with a shared shingle; a text shorter than the item is one window
-    starts = np.unique(np.clip(spread(places - (n - k), np.full(len(places), n - k + 1)), 0, len(words) - n))
-    sh = grams(words, k)
-    m = n - k + 1  # shingles in a window
-    best = None
-    for lo in range(0, len(starts), 4096):
-        part = starts[lo : lo + 4096]
-        a, b = int(part[0]), int(part[-1]) + m
-        local = sh[a:b]
-        weight = shingle_weights(words[a : b + k - 1], k)
-        sums = np.zeros((len(local) + 1, 64))
-        np.cumsum(signs(local, weight), axis=0, dtype=np.float64, out=sums[1:])
-        prints = simhash(sums[part - a + m] - sums[part - a])
-        for s in part[items.candidates(prints, i)].tolist():
-            bag = Counter(sh[s : s + m].tolist())
-            both = sum(items.weight[x] * min(c, items.bags[i][x]) for x, c in bag.items() if x in items.bags[i])
-            either = items.total[i] + float(weight[s - a : s - a + m].sum()) - both
-            value = both / either
-            if value >= threshold - 1e-12 and (best is None or value > best[2]):
-                best = (s, n, value)
-    return best
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 23, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 23, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, start, n_words, similarity: for each document and item the most similar window, if any window
     of the item's length reaches the threshold; the first of equals.
 
@@ -182,28 +222,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, thresh
     Rows are matched each by itself, so a repeated or null doc_id gives rows of its own; rows that repeat an item
     match twice. Empty tables give an empty result; other columns are ignored.
 
-    The benchmark is read in blocks of block_items items, each small enough to go to every task; documents are read
-    once for each block and are never shuffled.
+    The benchmark is read in blocks of block_items items and block_chars characters (or one longer item), each small
+    enough to go to every task; documents are read once for each block and are never shuffled. The driver holds one
+    block at a time: where there are several, each one's matches are written before the next is read.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, start long, n_words long, similarity double"
-    lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
-    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found, ids, texts = None, [], []
-
-    def flush():
-        nonlocal found, ids, texts
-        items = Items(ids, texts, shingle, radius)
-        if len(items.known):
-            one = lowered.mapInArrow(_matches(items, shingle, threshold), schema)
-            found = one if found is None else found.unionByName(one)
-        ids, texts = [], []
-
-    for row in wanted.orderBy("item_id", "text").toLocalIterator():
-        ids.append(row["item_id"])
-        texts.append(row["text"])
-        if len(ids) == block_items:
-            flush()
-    if ids:
-        flush()
-    return found if found is not None else spark.createDataFrame([], schema)
+    text = F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text")
+    lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text).orderBy("item_id", "text")
+    found: list[DataFrame] = []
+
+    def search(block: list) -> DataFrame:
+        items = Items([r["item_id"] for r in block], [r["text"] for r in block], shingle, radius)
+        return lowered.mapInArrow(_matches(items, threshold), schema)
+
+    block, chars = [], 0
+    for row in wanted.toLocalIterator():
+        if block and (len(block) >= block_items or chars + len(row["text"]) > block_chars):
+            found.append(stored(search(block), "leaks"))
+            block, chars = [], 0
+        block.append(row)
+        chars += len(row["text"])
+    if block:
+        found.append(search(block))
+    if not found:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, found)

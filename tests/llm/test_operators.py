@@ -124,10 +124,45 @@ def test_decontamination(spark, docs, none, odd):
 
 def test_simhash_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
-    items = decontaminate.Items([0], ["one two three four five six seven eight"], 5, 23)
+    group = decontaminate.Items([0, 1], ["one two three four five six seven eight", "a b c d e f g h"], 5, 23).groups[0]
     flips = [np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in range(40) for _ in range(20)]
-    prints = np.array([items.prints[0] ^ f for f in flips], np.uint64)
-    assert (items.candidates(prints, 0) == (decontaminate.hamming(prints, np.full(len(prints), items.prints[0])) <= 23)).all()
+    prints = np.array([group.prints[0] ^ f for f in flips], np.uint64)
+    met = set(zip(*(x.tolist() for x in group.candidates(prints)), strict=True))
+    assert met == {(w, i) for i in (0, 1) for w in range(len(prints)) if decontaminate.hamming(prints[w : w + 1], group.prints[i : i + 1])[0] <= 23}
+
+
+def test_decontamination_recall(spark):
+    """Items of 20 to 60 words with some words changed, among other text: all windows that reach the threshold are found."""
+    rng = random.Random(5)
+    v = [f"w{i}" for i in range(3000)]
+    items = [[rng.choice(v) for _ in range(rng.randrange(20, 60))] for _ in range(60)]
+    rows, near = [], 0
+    for n in range(300):
+        w = list(items[n % 60])
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((n, " ".join([rng.choice(v) for _ in range(rng.randrange(80))] + w + [rng.choice(v) for _ in range(rng.randrange(80))]), "en", "s", 0))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    for n, text, *_ in rows:
+        item, w = items[n % 60], text.split()
+        bag = collections.Counter(tuple(item[j : j + 5]) for j in range(len(item) - 4))
+        best = 0
+        for s in range(len(w) - len(item) + 1):
+            b = collections.Counter(tuple(w[j : j + 5]) for j in range(s, s + len(item) - 4))
+            both, either = sum((bag & b).values()), sum((bag | b).values())
+            best = max(best, both / either)
+        if abs(best - 0.8) > 0.05:  # words repeat in a few shingles only
+            near += best > 0.8
+            assert ((n, n % 60) in got) == (best > 0.8)
+    assert near > 50
+
+
+def test_decontamination_of_long_repeats(spark):
+    text = "a b c d e f g " * 30_000
+    bench = spark.createDataFrame([(1, "a b c d e f g " * 140), (2, " ".join(f"x{i}" for i in range(980)))], "item_id long, text string")
+    got = decontaminate.contaminated(frame(spark, [(1, text, "en", "s", 0)]), bench).collect()
+    assert [(r.doc_id, r.item_id, r.start, r.n_words) for r in got] == [(1, 1, 0, 980)] and got[0].similarity == pytest.approx(1)
 
 
 # --- 4 line dedup ----------------------------------------------------------------------------------------------------
