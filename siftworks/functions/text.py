@@ -39,7 +39,7 @@ CALL_NODES = {
 #: Roles of references in order; Java has no alias.
 ROLES = ("definition", "read", "write", "call", "type", "import", "alias")
 #: Words that carry no focus in a question.
-STOP_WORDS = "the and are does how what where when which why this that with from for into calls call function".split()
+STOP_WORDS = ("the", "and", "are", "does", "how", "what", "where", "when", "which", "why", "this", "that", "with", "from", "for", "into", "calls", "call", "function")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -229,25 +229,38 @@ def read_lines(requests: DataFrame, docs: DataFrame) -> DataFrame:
 
 def to_byte_offsets(facts: DataFrame, docs: DataFrame) -> DataFrame:
     """fact_id, byte_at of offsets in utf8, utf16 or scalar units (column encoding); null (invalid range) where an
-    offset doesn't stand between two characters. Lengths come from the document's own prefix, so no table of
-    characters is made."""
+    offset doesn't stand between two characters. The prefix up to the offset is cut in its own unit and measured in
+    bytes, once for each fact, and no table of characters is made."""
     j = facts.join(docs.select("path", "text"), "path")
-    astral = r"[\x{10000}-\x{10FFFF}]"
-    # UTF-16: try the scalar offsets that the number of astral characters before allows
-    scalar = F.when(F.col("encoding") == "scalar", F.col("at"))
-    n16 = lambda s: F.length(s) + F.regexp_count(s, F.lit(astral))
-    guess = F.filter(F.sequence(F.floor(F.col("at") / 2).cast("int"), F.least(F.col("at"), F.length("text")).cast("int")), lambda k: n16(F.left(F.col("text"), k)) == F.col("at"))
-    guess8 = F.filter(F.sequence(F.floor(F.col("at") / 4).cast("int"), F.least(F.col("at"), F.length("text")).cast("int")), lambda k: F.octet_length(F.left(F.col("text"), k)) == F.col("at"))
-    k = F.coalesce(scalar, F.when(F.col("encoding") == "utf16", F.get(guess, F.lit(0))), F.when(F.col("encoding") == "utf8", F.get(guess8, F.lit(0)))).cast("int")
-    return j.select("fact_id", F.when((k >= 0) & (k <= F.length("text")), F.octet_length(F.left("text", k)).cast("long")).alias("byte_at"))
-
-
-def verify_witness(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """row_id, ok: whether the bytes [start, end) of the document are the claimed text and lie inside the owner's range."""
-    j = rows.join(docs.select("path", F.encode("text", "UTF-8").alias("_b")), "path", "left")
-    got = F.substring("_b", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    at, text = F.col("at").cast("int"), F.col("text")
+    # a prefix that ends inside of a character isn't valid, or has a lone half of a surrogate pair
+    utf8 = F.substring(F.encode(text, "UTF-8"), F.lit(1), at)
+    utf16 = F.substring(F.encode(text, "UTF-16BE"), F.lit(1), at * 2)
+    half = F.conv(F.hex(F.substring(utf16, -2, 2)), 16, 10).cast("int").between(0xD800, 0xDBFF)
+    inside = lambda n: (at >= 0) & (at <= n)
+    scalar = F.when(inside(F.length(text)), F.octet_length(F.left(text, at)))
+    eight = F.when(inside(F.octet_length(text)) & F.is_valid_utf8(utf8.cast("string")), at)
+    sixteen = F.when(inside(F.octet_length(F.encode(text, "UTF-16BE")) / 2) & F.when(at == 0, True).otherwise(~half), F.octet_length(F.decode(utf16, "UTF-16BE")))
+    unit = F.col("encoding")
+    return j.select("fact_id", F.when(unit == "scalar", scalar).when(unit == "utf8", eight).when(unit == "utf16", sixteen).cast("long").alias("byte_at"))
+
+
+def verify_witness(rows: DataFrame, docs: DataFrame, width: int = 4096) -> DataFrame:
+    """row_id, ok: whether the bytes [start, end) of the document are the claimed text and lie inside the owner's range.
+
+    Documents are cut into slices of `width` bytes and rows into the parts that they have in each, so that a row meets
+    the few slices that it touches and never the whole text."""
+    data, w = F.encode("text", "UTF-8"), F.lit(width)
+    slices = docs.select("path", data.alias("_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.octet_length(data) / w))).alias("_bin"))
+    slices = slices.select("path", "_bin", F.substring("_b", (F.col("_bin") * w + 1).cast("int"), w).alias("_s"))
+    touched = F.sequence(F.floor(F.col("start") / w), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / w))
+    parts = rows.withColumn("_c", F.encode("claimed", "UTF-8")).withColumn("_bin", F.explode(F.when((F.col("start") >= 0) & (F.col("start") <= F.col("end")), touched).otherwise(F.array(F.lit(-1).cast("long")))))
+    j = parts.join(slices, ["path", "_bin"], "left")
+    lo, hi = F.greatest("start", F.col("_bin") * w), F.least("end", (F.col("_bin") + 1) * w)
+    piece = lambda b, origin: F.substring(b, (lo - origin + 1).cast("int"), (hi - lo).cast("int"))
+    same = (piece(F.col("_s"), F.col("_bin") * w) == piece(F.col("_c"), F.col("start"))) & (F.octet_length("_c") == F.col("end") - F.col("start"))
     inside = (F.col("owner_start") <= F.col("start")) & (F.col("end") <= F.col("owner_end"))
-    return j.select("row_id", F.coalesce((got == F.encode("claimed", "UTF-8")) & inside, F.lit(False)).alias("ok"))
+    return j.groupBy("row_id").agg(F.bool_and(F.coalesce(same & inside, F.lit(False))).alias("ok"))
 
 
 def exclude_paths(calls: DataFrame, prefixes: list[str], seed: Column) -> DataFrame:

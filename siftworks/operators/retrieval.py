@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftworks.functions.text import identifier_words
+from siftworks.sources.tables import shared_dir, stored
 
 
 def symbol_cards(decls: DataFrame) -> DataFrame:
@@ -30,20 +33,29 @@ def trivial(decls: DataFrame, calls: DataFrame, regions: DataFrame, max_statemen
     return j.select("id", ((F.col("statements") <= max_statements) & F.col("c").isNull() & F.col("r").isNull()).alias("trivial"))
 
 
-def terms(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    return df.select(id_col, F.explode(F.flatten(F.transform(F.split(text, r"\s+"), identifier_words))).alias("term"))
+def _terms(text: str) -> Column:
+    return F.flatten(F.transform(F.split(text, r"\s+"), identifier_words))
+
+
+#: Distinct terms of queries up to which they are sent to every task; more are met by a join on the term.
+SMALL_TERMS = 100_000
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, score, rank: the k best documents of each query over split identifiers.
 
-    queries: query_id, text. docs: id, text. Only postings of the queries' terms are shuffled by document."""
-    tf = terms(docs, "id", "text").groupBy("id", "term").agg(F.count("*").alias("tf"))
-    length = tf.groupBy("id").agg(F.sum("tf").alias("dl"))
-    stats = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
+    queries: query_id, text. docs: id, text; id is unique. Lengths are counted in place, and only postings of the
+    queries' terms go on, so nothing else of a document is shuffled."""
+    q = stored(queries.select("query_id", F.explode(_terms("text")).alias("term")).distinct(), "query-terms")
+    wanted = q.select("term").distinct()
+    bag = docs.select("id", _terms("text").alias("terms")).withColumn("dl", F.size("terms").cast("long"))
+    stats = bag.filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
+    if wanted.limit(SMALL_TERMS + 1).count() <= SMALL_TERMS:
+        wanted = F.broadcast(wanted)
+    every = bag.select("id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+    tf = stored(every.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    q = terms(queries, "query_id", "text").distinct()
-    hit = q.join(df, "term").join(tf, "term").join(length, "id").crossJoin(F.broadcast(stats))  # stats is one row
+    hit = q.join(df, "term").join(tf, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
     score = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
@@ -64,18 +76,23 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 256) -> DataFrame:
     """query_id, id, score, rank: exact nearest vectors by cosine, a scan of all vectors for each block of queries.
 
-    queries: query_id, vec. vectors: id, vec. The queries go out in blocks of `block` rows, so that what is broadcast
-    is bounded; each task keeps the best k for each query before anything is shuffled."""
-    total = queries.count()
-    blocks = max(1, -(-total // block))
+    queries: query_id, vec. vectors: id, vec. The queries go out in blocks of about `block` rows, so that what is
+    broadcast is bounded; each task keeps the best k for each query before anything is shuffled. Where there are
+    several blocks, each one's answer is written before the next starts, so that no plan grows with the queries."""
+    blocks = max(1, -(-queries.count() // block))
     numbered = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
+
+    def answer(part: DataFrame) -> DataFrame:
+        one = F.broadcast(part.select("query_id", F.col("vec").alias("_q")))
+        return top(vectors.crossJoin(one).select("query_id", "id", F.round(cosine(F.col("vec"), F.col("_q")), 9).alias("score")), k)
+
+    if blocks == 1:
+        return answer(numbered)
+    numbered, path = stored(numbered, "queries"), f"{shared_dir(queries.sparkSession)}/cosine-{uuid.uuid4().hex}"
     for i in range(blocks):
-        one = F.broadcast(numbered.filter(F.col("_b") == i).select("query_id", F.col("vec").alias("_q")))
-        s = vectors.crossJoin(one).select("query_id", "id", F.round(cosine(F.col("vec"), F.col("_q")), 9).alias("score"))
-        best = top(s, k)
-        out = best if out is None else out.unionByName(best)
-    return out
+        best = answer(numbered.filter(F.col("_b") == i))
+        best.write.mode("append").parquet(path)
+    return queries.sparkSession.read.schema(best.schema).parquet(path)
 
 
 def hybrid(lexical: DataFrame, vector: DataFrame, k: int, weight: float = 0.5, c: int = 60) -> DataFrame:

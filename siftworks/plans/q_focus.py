@@ -159,21 +159,20 @@ def x3_trivial(spark, d):
 
 _TERMS = "list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')"
 _BM = """tf as (select id, term, count(*) as tf from (select doc_id as id, unnest(""" + _TERMS + """) as term from (select doc_id, coalesce(text, '') as text from documents)) group by 1, 2), dl as (select id, sum(tf) as dl from tf group by 1), st as (select count(*) as n, avg(dl) as a from dl), df as (select term, count(*) as df from tf group by 1),
-q as (select distinct item_id as query_id, unnest(""" + _TERMS + """) as term from benchmark where item_id < 10),
+q as (select distinct item_id as query_id, unnest(""" + _TERMS + """) as term from benchmark),
 sc as (select query_id, id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / a))), 9) as score from q join df using (term) join tf using (term) join dl using (id), st group by 1, 2),
 bm as (select *, row_number() over (partition by query_id order by score desc, id) as rank from sc)"""
 
 
 def _bm(spark, d, k=5):
-    b = V.table(spark, d, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), "text")
+    b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = V.documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     return X.bm25(b, docs, k)
 
 
-@query("with " + _BM + " select query_id, rank, round(score, 4) as score from bm where rank <= 5")
+@query("with " + _BM + " select query_id, rank, id, round(score, 4) as score from bm where rank <= 5")
 def x4_bm25(spark, d):
-    """Scores at each rank; documents of equal score may stand either way, so ids aren't compared."""
-    return _bm(spark, d).select("query_id", "rank", F.round("score", 4).alias("score"))
+    return _bm(spark, d).select("query_id", "rank", "id", F.round("score", 4).alias("score"))
 
 
 def _vec(spark, d):
@@ -181,10 +180,10 @@ def _vec(spark, d):
     return v, v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "vec")
 
 
-@query("with v as (select vec_id as id, embedding::double[] as vec from embeddings), s as (select a.id as query_id, b.id, round(list_cosine_similarity(a.vec, b.vec), 9) as score from v a, v b where a.id % 100 = 0), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, rank, round(score, 5) as score from r where rank <= 5")
+@query("with v as (select vec_id as id, embedding::double[] as vec from embeddings), s as (select a.id as query_id, b.id, round(list_cosine_similarity(a.vec, b.vec), 9) as score from v a, v b where a.id % 100 = 0), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, rank, id, round(score, 5) as score from r where rank <= 5")
 def x5_cosine_topk(spark, d):
     v, q = _vec(spark, d)
-    return X.cosine_topk(q, v, 5).select("query_id", "rank", F.round("score", 5).alias("score"))
+    return X.cosine_topk(q, v, 5).select("query_id", "rank", "id", F.round("score", 5).alias("score"))
 
 
 @query("select p_brand as query_id, p_partkey as id, round(coalesce(0.5 / (a + 60), 0) + coalesce(0.5 / (b + 60), 0), 9) as score from (select p_brand, p_partkey, case when a <= 5 then a end as a, case when b <= 5 then b end as b from (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_size, p_partkey) as a, row_number() over (partition by p_brand order by p_retailprice, p_partkey) as b from part)) where a is not null or b is not null")

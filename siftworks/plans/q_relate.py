@@ -29,19 +29,21 @@ def p6_source_slice(spark, d):
     return R.read_lines(req, docs)
 
 
-@query("select item_id || '-' || k as fact_id, strlen(text[1:k])::bigint as byte_at from benchmark, unnest([0, 5, 17, 40]) t(k)")
+@query("with " + V.DOCS + " select path || '-' || share as fact_id, strlen(text[1:k])::bigint as byte_at from (select path, text, share, (length(text) * share // 8)::bigint as k from docs, range(9) t(share))")
 def p7_coordinates(spark, d):
-    docs = V.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("path"), "text")
-    at = docs.select("path", "text", F.explode(F.array(F.lit(0), F.lit(5), F.lit(17), F.lit(40))).alias("k"))
-    enc = F.element_at(F.array(F.lit("scalar"), F.lit("utf16"), F.lit("utf8")), (F.col("k") % 3 + 1).cast("int"))
-    off = F.when(enc == "utf8", F.octet_length(F.left("text", F.col("k")))).otherwise(F.col("k"))
-    facts = at.select(F.concat_ws("-", "path", F.col("k").cast("string")).alias("fact_id"), "path", enc.alias("encoding"), off.alias("at"))
+    """Nine offsets over the whole length of every document, in three units."""
+    docs = V.documents(spark, d).select("path", "text")
+    at = docs.select("path", "text", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("share")).withColumn("k", F.floor(F.length("text") * F.col("share") / 8).cast("int"))
+    enc = F.element_at(F.array(F.lit("scalar"), F.lit("utf16"), F.lit("utf8")), (F.col("share") % 3 + 1).cast("int"))
+    prefix = F.left("text", F.col("k"))
+    off = F.when(enc == "utf8", F.octet_length(prefix)).when(enc == "utf16", F.octet_length(F.encode(prefix, "UTF-16BE")) / 2).otherwise(F.col("k")).cast("long")
+    facts = at.select(F.concat_ws("-", "path", F.col("share").cast("string")).alias("fact_id"), "path", enc.alias("encoding"), off.alias("at"))
     return R.to_byte_offsets(facts, docs)
 
 
-@query("with " + V.WORDS + " select path || '@' || start as row_id, word_no % 3 <> 0 as ok from wd where line_no = 1")
+@query("with " + V.WORDS + " select path || '@' || start as row_id, word_no % 3 <> 0 as ok from wd")
 def p8_witness(spark, d):
-    w = V.words(spark, d).filter("line_no = 1")
+    w = V.words(spark, d)
     rows = w.select(F.concat_ws("@", "path", F.col("start").cast("string")).alias("row_id"), "path", "start", "end", F.when(F.col("word_no") % 3 == 0, F.concat("word", F.lit("x"))).otherwise(F.col("word")).alias("claimed"), F.lit(0).alias("owner_start"), F.lit(10**9).alias("owner_end"))
     return R.verify_witness(rows, V.documents(spark, d))
 
@@ -81,13 +83,13 @@ def j4_ordered_members(spark, d):
     return out.select("l_orderkey", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "n")
 
 
-@query("with " + V.WORDS + " select wd.path || '@' || wd.start as point_id, wd.path || '#' || wd.line_no as range_id from wd where wd.line_no <= 20")
+@query("with " + V.WORDS + " select wd.path || '@' || wd.start as point_id, wd.path || '#' || wd.line_no as range_id from wd")
 def j6_enclosing(spark, d):
     """Smallest range around each word: its line, not the document that also holds it."""
-    ln = V.lines(spark, d).filter("line_no <= 20")
+    ln = V.lines(spark, d)
     ranges = ln.select("path", F.concat_ws("#", "path", F.col("line_no").cast("string")).alias("range_id"), "start", "end")
     whole = V.documents(spark, d).select("path", F.concat(F.lit("doc:"), "path").alias("range_id"), F.lit(0).cast("long").alias("start"), (F.octet_length("text") + 1).cast("long").alias("end"))
-    pts = V.words(spark, d).filter("line_no <= 20").select(F.concat_ws("@", "path", F.col("start").cast("string")).alias("point_id"), "path", F.col("start").alias("at"))
+    pts = V.words(spark, d).select(F.concat_ws("@", "path", F.col("start").cast("string")).alias("point_id"), "path", F.col("start").alias("at"))
     return R.enclosing(pts, ranges.unionByName(whole), "point_id")
 
 
@@ -235,9 +237,9 @@ def j22_unreferenced(spark, d):
     return R.unreferenced(r.select("version_id").distinct(), r.filter("revision >= 1997"))
 
 
-@query("with " + V.BINDINGS + " select distinct 'r' || (o_custkey % 10) as request_id, provenance_id from orders join lineitem on l_orderkey = o_orderkey join bind on bind.target = 'part:' || l_partkey where o_custkey <= 30")
+@query("with " + V.BINDINGS + " select distinct 'r' || (o_custkey % 10) as request_id, provenance_id from orders join lineitem on l_orderkey = o_orderkey join bind on bind.target = 'part:' || l_partkey ")
 def j24_historical_provenance(spark, d):
-    o = V.table(spark, d, "orders").filter("o_custkey <= 30").join(V.table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    o = V.table(spark, d, "orders").join(V.table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     answers = o.select(F.concat(F.lit("r"), (F.col("o_custkey") % 10).cast("string")).alias("request_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("node_id")).distinct()
     return R.historical_provenance(answers, V.bindings(spark, d).select(F.col("target").alias("node_id"), "provenance_id"))
 

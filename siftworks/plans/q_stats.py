@@ -177,9 +177,9 @@ def w11_selection_rank(spark, d):
     return V.table(spark, d, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("rank"))
 
 
-@query("select p_partkey, 'c' || lpad((row_number() over (partition by p_brand order by p_size, p_partkey))::varchar, 3, '0') as alias from part where p_partkey < 500")
+@query("select p_partkey, 'c' || case when r < 1000 then lpad(r::varchar, 3, '0') else r::varchar end as alias from (select p_partkey, row_number() over (partition by p_brand order by p_size, p_partkey) as r from part)")
 def w12_aliases(spark, d):
-    return S.aliases(V.table(spark, d, "part").filter("p_partkey < 500"), ["p_brand"], ["p_size", "p_partkey"]).select("p_partkey", "alias")
+    return S.aliases(V.table(spark, d, "part"), ["p_brand"], ["p_size", "p_partkey"]).select("p_partkey", "alias")
 
 
 @query("with " + V.WORDS + " select path, word, start from (select *, row_number() over (partition by path order by start, \"end\") as r from wd) where r <= 3")

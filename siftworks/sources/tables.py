@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder for intermediate tables: the cluster's spark.checkpoint.dir. Where it is unset, local mode gets a folder
+    of its own; on a cluster executors couldn't see one, so that fails."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         hadoop = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = hadoop.get() if hadoop.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-stages-")
         spark.sparkContext.setCheckpointDir(found)
     return found
