@@ -38,10 +38,12 @@ def graph_answers(requests: DataFrame, calls: DataFrame) -> tuple[DataFrame, Dat
 
     A queue is served level by level, so a level's work is one join: its nodes in order of admission with their calls
     in order. The call budget cuts this order first; then the first call that reaches a node admits it, as long as the
-    node budget lasts; a refused target is refused again each time. Levels are at most six; each is written to the
-    shared folder, so that no level is computed twice.
+    node budget lasts; a refused target is refused again each time. Levels are at most six; the calls, the reached
+    calls of each level and its edges are written to the shared folder, so that nothing is computed twice. Of an
+    owner's calls only those that the budget leaves room for come out of the join.
     """
     spark = requests.sparkSession
+    calls = stored(calls.select("owner_id", "call_id", "pos", "ordinal", "target_id", "reason"), "calls")
     sizes = calls.groupBy("owner_id").agg(F.count("*").alias("n_calls"))
     limits = requests.select("request_id", F.col("depth").alias("max_depth"), "max_nodes", "max_calls")
     admitted = stored(requests.select("request_id", F.col("root_id").alias("node_id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank")), "nodes")
@@ -57,7 +59,8 @@ def graph_answers(requests: DataFrame, calls: DataFrame) -> tuple[DataFrame, Dat
         # how many calls stand before each node's in the level: the budget left decides what a node may emit
         before = Window.partitionBy("request_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
         open_ = open_.withColumn("prior", F.coalesce(F.sum("n_calls").over(before), F.lit(0)) + F.col("used")).withColumn("room", F.greatest(F.lit(0).cast("long"), F.least(F.col("n_calls"), F.col("max_calls") - F.col("prior"))))
-        joined = open_.join(calls.withColumnRenamed("owner_id", "node_id"), "node_id")
+        near = open_.alias("o").join(calls.alias("c"), (F.col("o.node_id") == F.col("c.owner_id")) & (F.col("c.pos") <= F.col("o.room")))
+        joined = stored(near.select("o.*", "call_id", "pos", "ordinal", "target_id", "reason"), "reached")
         cut = joined.filter("room < n_calls and pos = room").select("request_id", (F.col("rank") * 1000 + 999).alias("seq"), F.lit("callLimit").alias("kind"), "node_id", F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("target_id"), F.when(F.col("room") > 0, F.col("ordinal")).otherwise(0).cast("long").alias("next_ordinal"), (F.col("n_calls") - F.col("room")).alias("omitted_calls"))
         taken = joined.filter("pos < room").select("request_id", "node_id", "rank", "max_nodes", "n_nodes", (F.col("prior") + F.col("pos")).alias("at"), "pos", "call_id", "target_id", "reason")
         seen = admitted.select("request_id", F.col("node_id").alias("target_id"), F.lit(True).alias("known"))
@@ -141,7 +144,7 @@ def distances(seeds: DataFrame, edges: DataFrame, most: int | None = None, allow
     else until no step finds a node."""
     if allowed is not None:
         edges = edges.join(allowed.select(F.col("id").alias("dst")), "dst", "left_semi")
-    edges = edges.select("src", "dst").distinct()
+    edges = stored(edges.select("src", "dst").distinct(), "steps")
     found = stored(seeds.select("id").distinct().withColumn("distance", F.lit(0)), "distances")
     front = found
     for step in _steps(most):
@@ -155,7 +158,7 @@ def distances(seeds: DataFrame, edges: DataFrame, most: int | None = None, allow
 def closure(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """seed, id, distance of all nodes that each seed reaches, itself at 0; each level drops what the seed has. Up to
     `most` edges if given, else until no step finds a node."""
-    edges = edges.select("src", "dst").distinct()
+    edges = stored(edges.select("src", "dst").distinct(), "steps")
     found = stored(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("distance", F.lit(0)), "closure")
     front = found
     for step in _steps(most):
@@ -223,6 +226,7 @@ def on_cycle(edges: DataFrame) -> DataFrame:
 def region_closure(ids: DataFrame, regions: DataFrame, most: int | None = None) -> DataFrame:
     """group, id: the regions of each group and all that enclose them, `most` levels up if given."""
     found = stored(ids.select("group", "id").distinct(), "regions")
+    regions = stored(regions.select("id", "parent_id").filter("parent_id is not null"), "parents")
     front = found
     for step in _steps(most):
         front = stored(front.join(regions.select("id", "parent_id"), "id").filter("parent_id is not null").select("group", F.col("parent_id").alias("id")).distinct().join(found, ["group", "id"], "left_anti"), "front")

@@ -20,13 +20,13 @@ def _calls(spark, d):
 
 
 def _requests(spark, d, depth=3, nodes=40, calls=60):
-    c = V.table(spark, d, "customer").filter("c_custkey % 10 = 0")
+    c = V.table(spark, d, "customer")
     return c.select(F.concat(F.lit("q"), F.col("c_custkey").cast("string")).alias("request_id"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("root_id"), F.lit(depth).alias("depth"), F.lit(nodes).alias("max_nodes"), F.lit(calls).alias("max_calls"))
 
 
 @query()
 def g1_graph_answers(spark, d):
-    """Edges of bounded answers for a tenth of the customers; tests/test_graph.py holds them against a plain queue."""
+    """Edges of bounded answers, one rooted at each customer; tests/test_graph.py holds them against a plain queue."""
     return G.graph_answers(_requests(spark, d), _calls(spark, d))[1]
 
 
@@ -38,7 +38,7 @@ def g2_frontier(spark, d):
 _FOLLOW = V.GRAPH + """, f as (select src, dst from edges where not regexp_matches(dst, '^part:.*[057]$'))"""
 
 
-@query("with recursive " + _FOLLOW + """, reach as (select 'customer:' || c_custkey as root, 'customer:' || c_custkey as id, 0 as depth from customer where c_custkey % 10 = 0 union select root, dst, depth + 1 from reach join f on f.src = reach.id where depth < 2)
+@query("with recursive " + _FOLLOW + """, reach as (select 'customer:' || c_custkey as root, 'customer:' || c_custkey as id, 0 as depth from customer union select root, dst, depth + 1 from reach join f on f.src = reach.id where depth < 2)
 select 'q' || string_split(root, ':')[2] as request_id, id as node_id, min(depth) as depth from reach group by 1, 2""")
 def g1_reach_unbounded(spark, d):
     """Nodes of answers whose budgets can't run out at this depth: plain reachability."""
@@ -77,9 +77,11 @@ def g3_validate_requests(spark, d):
     return G.validate_requests(req, one("source_set_id int", 3), one("revision_id int", 0, 1, 2, 3), c.select(F.col("c_custkey").alias("root_id")), one("producer_id string", "p"))
 
 
-@query("with recursive " + V.GRAPH + ", reach as (select id, 0 as distance from nodes where kind = 'customer' and id in ('customer:1', 'customer:2') union select dst, distance + 1 from reach join edges on src = id) select id, min(distance) as distance from reach group by 1")
+@query("with recursive " + V.GRAPH + ", reach as (select 'customer:' || c_custkey as id, 0 as distance from customer where c_mktsegment = 'BUILDING' union select dst, distance + 1 from reach join edges on src = id) select id, min(distance) as distance from reach group by 1")
 def g4_distances(spark, d):
-    return G.distances(V.nodes(spark, d).filter("id in ('customer:1', 'customer:2')"), V.edges(spark, d))
+    """From all customers of one market segment."""
+    seeds = V.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'")
+    return G.distances(seeds.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id")), V.edges(spark, d))
 
 
 _HIER = "rel as (select 'supplier:' || s_suppkey as s, 'nation:' || s_nationkey as t from supplier union all select 'nation:' || n_nationkey, 'region:' || n_regionkey from nation)"
@@ -113,7 +115,7 @@ def g7_cycles(spark, d):
     return G.on_cycle(s.select(F.col("s_nationkey").cast("long").alias("src"), (F.col("s_suppkey") % 25).alias("dst")))
 
 
-@query("with c as (select 'q' || c_custkey as request_id, 'customer:' || c_custkey || '>order:' || o_orderkey || '>' || o_orderkey as call_id, row_number() over (partition by c_custkey order by o_orderkey) as r, count(*) over (partition by c_custkey) as n from customer join orders on o_custkey = c_custkey where c_custkey % 10 = 0 and o_orderkey % 10 <> 3) select request_id, call_id, greatest(n - 5, 0)::bigint as omitted from c where r <= 5")
+@query("with c as (select 'q' || c_custkey as request_id, 'customer:' || c_custkey || '>order:' || o_orderkey || '>' || o_orderkey as call_id, row_number() over (partition by c_custkey order by o_orderkey) as r, count(*) over (partition by c_custkey) as n from customer join orders on o_custkey = c_custkey where o_orderkey % 10 <> 3) select request_id, call_id, greatest(n - 5, 0)::bigint as omitted from c where r <= 5")
 def g8_view_query(spark, d):
     calls = _calls(spark, d).withColumn("path", F.when(F.col("ordinal") % 10 == 3, "skip/x").otherwise("keep/x"))
     return G.view_query(_requests(spark, d).select("request_id", F.col("root_id").alias("seed")), calls, ["skip/"], 5)
@@ -133,10 +135,10 @@ def g10_fan(spark, d):
     return G.fan(V.edges(spark, d))
 
 
-@query("select 'o' || o_orderkey as \"group\", id from orders, lateral (select 'n' || c_nationkey as id from customer where c_custkey = o_custkey union all select 'r' || n_regionkey from customer join nation on n_nationkey = c_nationkey where c_custkey = o_custkey) where o_orderkey % 20 = 0")
+@query("select 'o' || o_orderkey as \"group\", id from orders, lateral (select 'n' || c_nationkey as id from customer where c_custkey = o_custkey union all select 'r' || n_regionkey from customer join nation on n_nationkey = c_nationkey where c_custkey = o_custkey)")
 def j5_region_closure(spark, d):
     n, r = V.table(spark, d, "nation"), V.table(spark, d, "region")
     s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     regions = n.select(s("n", "n_nationkey").alias("id"), s("r", "n_regionkey").alias("parent_id")).union(r.select(s("r", "r_regionkey"), F.lit(None).cast("string")))
-    ids = V.table(spark, d, "orders").filter("o_orderkey % 20 = 0").join(V.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(s("o", "o_orderkey").alias("group"), s("n", "c_nationkey").alias("id"))
+    ids = V.table(spark, d, "orders").join(V.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(s("o", "o_orderkey").alias("group"), s("n", "c_nationkey").alias("id"))
     return G.region_closure(ids, regions)
