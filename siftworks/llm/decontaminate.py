@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Powers, WordHasher, grams, mix, slices, stored
+from .common import WHITE, Powers, WordHasher, boxed, grams, mix, slices, stored
 
 _U = np.uint64
 #: Items, and characters of their texts, that each task holds at once; a larger benchmark goes over the documents in as
@@ -249,3 +249,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, thresh
     if not found:
         return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, found)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs without a window that contaminated() finds, with all their columns. Rows that share a doc_id go
+    together; rows with a null doc_id are judged as one document as well."""
+    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("id")).distinct()
+    return boxed(docs).join(found, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")), "left_anti").select("row.*")

@@ -216,7 +216,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 5) -> DataFrame:
     one = doc_text(docs, F.xxhash64("text").alias("t")).filter("doc_id is not null")
     split = one.select("doc_id", "t", F.posexplode(_lines(F.col("text"))).alias("p", "line"))
     names = split.select(*PLACE, F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(7)).alias("b"), F.array(_words(F.col("line"))).alias("w"))
-    level = _ranked(names).filter("many").select(*PLACE, "w", "rank", F.array("rank").alias("ids"))
+    level = _ranked(stored(names, "lines")).filter("many").select(*PLACE, "w", "rank", F.array("rank").alias("ids"))
     have = 1
     while True:
         level = stored(level, "suffixes")

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import boxed, stored
 
 _SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
@@ -135,9 +135,9 @@ def _small(strata: DataFrame, most: int = 10_000) -> bool:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that judged() keeps, with all their columns."""
-    kept = judged(docs, labels, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    cond = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
-    return docs.join(kept, cond, "left_semi")
+    kept = judged(docs, labels, **options).filter("kept").select(F.col("doc_id").alias("id"), "h").distinct()
+    cond = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("h"))
+    return boxed(docs).join(kept, cond, "left_semi").select("row.*")
 
 
 QUALITY_SQL = """

@@ -568,3 +568,29 @@ def test_pipeline(spark, sf_dir):
         docs = after
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and columns with the names of helper columns, through every stage."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    v = [f"word{i}" for i in range(500)]
+    long = " ".join(rng.choice(v) for _ in range(60))
+    near = long.split()
+    near[30] = "changed"
+    item = " ".join(rng.choice(v) for _ in range(30))
+    texts = [(1, long), (1, long), (2, long + "\n"), (3, " ".join(near)), (4, None), (5, ""), (None, " ".join(rng.choice(v) for _ in range(50))), (6, " ".join(rng.choice(v) for _ in range(40)) + " " + item), (7, " ".join(rng.choice(v) for _ in range(20_000))), (8, "short text")]
+    names = ("id", "h", "row", "key", "k", "_id", "_h", "copy_id", "leak_id", "runs", "kept", "t", "p", "n", "part")
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in texts], SCHEMA).withColumns({c: F.lit("x") for c in names})
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = [[1, 1, 2, 3, 6, 7, None], [1, 1, 3, 6, 7, None], [1, 6, 7, None], [1, 7, None]]
+    for (_, stage), want in zip(corpus_pipeline.STAGES, kept, strict=False):
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        docs_after = stage(spark, docs, str(tmp_path))
+        assert docs_after.columns == docs.columns == empty.columns and docs_after.dtypes == docs.dtypes and empty.count() == 0
+        docs = spark.createDataFrame(docs_after.collect(), docs.schema)
+        assert sorted((r.doc_id for r in docs.collect()), key=lambda x: (x is None, x)) == want
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {1, 7, None}
