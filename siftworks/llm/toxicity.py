@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, stored
+from .common import doc_text
 
 #: Labelled documents that the fit uses at most: toxic and ordinary ones for the dictionaries, any for the calibration.
 TRAIN_TOXIC, TRAIN_ORDINARY, CALIBRATE = 1500, 3000, 5000
@@ -179,8 +179,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, size: int = WINDOW_WORDS,
 
     held_out: crc32 of the doc_id as text leaves 2 when divided by four. Labels of such documents are never read; of
     the others, those that leave 0 or 1 train the dictionaries and those that leave 3 calibrate: in order of a hash of
-    their doc_id at most `most` of each, and as many of these as have `chars` characters of text together. predicted
-    is 1 from a score of 0.3.
+    their doc_id at most `most` of each, and of these one after the other as long as it fits into `chars` characters of
+    text together. predicted is 1 from a score of 0.3.
 
     A null text counts as empty and gets the score of a text without toxic windows. A null doc_id is scored, not held
     out, and has no label. Repeated rows are scored alike; of contradicting labels the toxic one counts. Without
@@ -196,9 +196,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, size: int = WINDOW_WORDS,
     ids = chosen[0].unionByName(chosen[1]).unionByName(chosen[2])  # as many as `most` says
     text = doc_text(docs)
     sizes = text.select("doc_id", F.length("text").cast("long").alias("n")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "fold", "sample").agg(F.sum("n").alias("n"))
-    # over the few rows of a sample
-    so_far = F.sum("n").over(Window.partitionBy("sample").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    fits = stored(sizes.filter(F.col("n") <= chars).withColumn("total", so_far).filter(F.col("total") <= chars).select("doc_id", "toxic", "fold"), "toxic-labels")
+    # as many rows as `most` says, of a number each: taken in order as long as there is room
+    fitting, room = [], [chars] * len(most)
+    for r in sizes.orderBy(*order).collect():
+        if r["n"] <= room[r["sample"]]:
+            room[r["sample"]] -= r["n"]
+            fitting.append((r["doc_id"], r["toxic"], r["fold"]))
+    fits = docs.sparkSession.createDataFrame(fitting, "doc_id long, toxic int, fold long")
     rows = text.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "toxic", "fold").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     train = [r for r in rows if r["fold"] < 2]
