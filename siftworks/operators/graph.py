@@ -261,7 +261,19 @@ def view_query(requests: DataFrame, calls: DataFrame, prefixes: list[str], max_c
     return one.filter(F.col("_r") <= max_calls).select("request_id", "call_id", F.greatest(F.col("_n") - max_calls, F.lit(0).cast("long")).alias("omitted"))
 
 
-def sequence_steps(calls: DataFrame, regions: DataFrame, max_steps: int = 200, max_participants: int = 20) -> DataFrame:
+def view_caps(view: DataFrame, max_nodes: int = 150, max_calls: int = 500) -> DataFrame:
+    """request_id, kind (node or call), id, place (from 1), omitted, truncated of what a view shows: the first max_calls
+    calls in order, the first max_nodes targets of these, how many of the kind were left out, and whether any of the
+    request was. view: request_id, at (order), call_id, target_id."""
+    by = Window.partitionBy("request_id")
+    calls = view.withColumn("place", F.row_number().over(by.orderBy("at", "call_id"))).withColumn("omitted", F.greatest(F.count("*").over(by) - max_calls, F.lit(0).cast("long"))).filter(F.col("place") <= max_calls)
+    first = calls.filter("target_id is not null").groupBy("request_id", F.col("target_id").alias("id")).agg(F.min("place").alias("p"))
+    nodes = first.withColumn("place", F.row_number().over(by.orderBy("p"))).withColumn("omitted", F.greatest(F.count("*").over(by) - max_nodes, F.lit(0).cast("long"))).filter(F.col("place") <= max_nodes)
+    out = calls.select("request_id", F.lit("call").alias("kind"), F.col("call_id").alias("id"), "place", "omitted").unionByName(nodes.select("request_id", F.lit("node").alias("kind"), "id", "place", "omitted"))
+    return out.withColumn("truncated", F.max(F.col("omitted") > 0).over(by))
+
+
+def sequence_steps(calls: DataFrame, max_steps: int = 200, max_participants: int = 20) -> DataFrame:
     """owner_id, step, call_id, participant, nesting: calls of each owner in evaluation order (an argument before the
     call that takes it), within the enclosing branches and loops. Steps beyond max_steps, and those whose receiver is
     beyond the first max_participants, are left out. calls: owner_id, call_id, start, end, receiver, region_path."""

@@ -92,8 +92,27 @@ def table_digest(df: DataFrame, keys: list[str], buckets: int = 1024) -> DataFra
     return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"]), ""), 256).alias("digest"))
 
 
+def keyed_digest(df: DataFrame, key: str, columns: list[str], name: str, buckets: int = 1024) -> DataFrame:
+    """key and name: a digest of each key's rows, whatever their order; rows are hashed, then buckets of hashes, then the
+    buckets' digests, so a key of very many rows is spread over its buckets."""
+    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
+    one = df.select(key, row.alias("h")).withColumn("b", F.conv(F.left("h", F.lit(8)), 16, 10).cast("long") % buckets)
+    per = one.groupBy(key, "b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+    return per.groupBy(key).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"]), ""), 256).alias(name))
+
+
+def catalog_id(packages: DataFrame, sources: DataFrame, fingerprints: DataFrame, key: str, parser_version: str, generation: str, revision: int) -> DataFrame:
+    """key, catalog_id: a digest of the versions and of each catalog's packages, sources and fingerprints (key, ...)."""
+    parts = [(packages, "packages"), (sources, "sources"), (fingerprints, "fingerprints")]
+    digests = [keyed_digest(df, key, sorted(c for c in df.columns if c != key), name) for df, name in parts]
+    j = digests[0].join(digests[1], key, "full_outer").join(digests[2], key, "full_outer")
+    text = F.concat_ws("\n", F.lit(parser_version), F.lit(generation), F.lit(str(revision)), *[F.coalesce(n, F.lit("")) for _, n in parts])
+    return j.select(key, F.concat(F.lit("catalog:"), F.sha2(text, 256)).alias("catalog_id"))
+
+
 def manifest_hashes(docs: DataFrame, data: str = "text") -> DataFrame:
-    """source_set_id, files, manifest_hash: SHA-256 over 'path NUL hash LF' of the files in order of path."""
+    """source_set_id, files, manifest_hash: SHA-256 over the lines 'path:hash' of the files in order of path, joined by LF.
+    One hash over a whole list is one row for each source set: paths and hashes alone, about 100 bytes a file."""
     one = docs.select("source_set_id", "path", content_hash(F.encode(F.col(data), "UTF-8")).alias("h"))
     listed = one.groupBy("source_set_id").agg(F.array_sort(F.collect_list(F.struct("path", "h"))).alias("m"))
     text = F.array_join(F.transform("m", lambda s: F.concat(s["path"], F.lit(":"), s["h"])), "\n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +17,34 @@ def symbol_cards(decls: DataFrame) -> DataFrame:
     return decls.select("id", F.concat_ws("\n", F.concat_ws(" ", "kind", "name"), "signature", "doc", "path").alias("card"))
 
 
+def _gathered(sizes: list[int], budget: int) -> list[dict]:
+    """first, last (places in sizes), n of each chunk."""
+    out: list[dict] = []
+    open_ = False
+    for i, n in enumerate(sizes):
+        if n > budget:
+            out += [{"first": i, "last": i, "n": min(budget, n - k)} for k in range(0, n, budget)]
+            open_ = False
+        elif open_ and out[-1]["n"] + n <= budget:
+            out[-1] = {"first": out[-1]["first"], "last": i, "n": out[-1]["n"] + n}
+        else:
+            out.append({"first": i, "last": i, "n": n})
+            open_ = True
+    return out
+
+
 def chunks(lines: DataFrame, budget: int) -> DataFrame:
-    """path, chunk, first, last, n_bytes, header: lines in order gathered while their bytes fill buckets of the budget;
-    a line of more than the budget stands alone in as many buckets as it takes."""
-    by = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    one = lines.withColumn("_n", F.octet_length("line") + 1).withColumn("_b", F.floor(F.coalesce(F.sum("_n").over(by), F.lit(0)) / budget))
-    out = one.groupBy("path", F.col("_b").alias("chunk")).agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.sum("_n").alias("n_bytes"))
+    """path, chunk, first, last, n_bytes, header: lines in order, merged as long as they fit into the budget (bytes, line
+    feeds included). A line beyond the budget is split into chunks of its own, all but the last of budget bytes. So no
+    chunk is over the budget. A document's lines go as one row of numbers; texts don't move."""
+
+    @F.pandas_udf("array<struct<first: int, last: int, n: long>>")
+    def gathered(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda x: _gathered([int(n) for n in x], budget))
+
+    one = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", (F.octet_length("line") + 1).cast("long").alias("n")))).alias("l"))
+    flat = one.select("path", F.col("l.line_no").alias("no"), F.posexplode(gathered(F.col("l.n"))).alias("chunk", "c"))
+    out = flat.select("path", F.col("chunk").cast("long").alias("chunk"), F.get("no", F.col("c.first")).alias("first"), F.get("no", F.col("c.last")).alias("last"), F.col("c.n").alias("n_bytes"))
     return out.withColumn("header", F.concat_ws("#", "path", F.concat_ws("-", F.col("first").cast("string"), F.col("last").cast("string"))))
 
 

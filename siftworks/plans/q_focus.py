@@ -146,7 +146,12 @@ def x1_symbol_cards(spark, d):
     return X.symbol_cards(p.select(F.col("p_partkey").alias("id"), F.lit("part").alias("kind"), F.col("p_name").alias("name"), F.col("p_type").alias("signature"), F.lit(None).cast("string").alias("doc"), F.col("p_brand").alias("path")))
 
 
-@query("with " + V.LINES + ", b as (select path, line_no, strlen(line) + 1 as n, floor(coalesce(sum(strlen(line) + 1) over (partition by path order by line_no rows between unbounded preceding and 1 preceding), 0) / 1000)::bigint as chunk from ln) select path, chunk, min(line_no) as first, max(line_no) as last, sum(n)::bigint as n_bytes, path || '#' || min(line_no) || '-' || max(line_no) as header from b group by path, chunk")
+@query("with recursive " + V.LINES + """, b as materialized (select path, line_no, strlen(line) + 1 as n from ln),
+g as (select path, line_no, n, 0::bigint as c, ceil(n / 1000)::bigint as k, case when n > 1000 then 1000 else n end as used from b where line_no = 1
+  union all select b.path, b.line_no, b.n, g.c + g.k - case when b.n <= 1000 and g.used + b.n <= 1000 then 1 else 0 end, ceil(b.n / 1000)::bigint, case when b.n > 1000 then 1000 when g.used + b.n <= 1000 then g.used + b.n else b.n end from g join b on b.path = g.path and b.line_no = g.line_no + 1),
+o as (select path, c as chunk, min(line_no) as first, max(line_no) as last, sum(n)::bigint as n_bytes from g where n <= 1000 group by 1, 2
+  union all select path, c + i, line_no, line_no, least(1000, n - i * 1000)::bigint from g, unnest(range(k)) t(i) where n > 1000)
+select *, path || '#' || first || '-' || last as header from o""")
 def x2_chunks(spark, d):
     return X.chunks(V.lines(spark, d), 1000)
 

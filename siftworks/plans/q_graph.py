@@ -127,7 +127,20 @@ def g9_sequence_steps(spark, d):
     l = V.table(spark, d, "lineitem")  # noqa: E741
     r = F.concat(F.lit("r"), (F.col("l_suppkey") % 4).cast("string"))
     c = l.select(F.col("l_orderkey").alias("owner_id"), F.concat_ws("/", *[F.col(x).cast("string") for x in ("l_linenumber", "l_partkey", "l_suppkey")]).alias("call_id"), (F.col("l_partkey") % 100).cast("double").alias("start"), (F.col("l_partkey") % 100 + F.col("l_quantity")).alias("end"), r.alias("receiver"), F.array(F.lit("loop"), r).alias("region_path"))
-    return G.sequence_steps(c, l)
+    return G.sequence_steps(c)
+
+
+@query("""with v as (select 's' || l_suppkey as request_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey as call_id, 'part:' || l_partkey as target_id, l_orderkey as o from lineitem),
+c as (select *, row_number() over (partition by request_id order by o, call_id) as place, greatest(count(*) over (partition by request_id) - 40, 0)::bigint as omitted from v),
+n as (select request_id, target_id as id, row_number() over (partition by request_id order by min(place)) as place, greatest(count(*) over (partition by request_id) - 30, 0)::bigint as omitted from c where place <= 40 group by 1, 2),
+x as (select request_id, 'call' as kind, call_id as id, place, omitted from c where place <= 40 union all select request_id, 'node', id, place, omitted from n where place <= 30)
+select request_id, kind, id, place::int as place, omitted, bool_or(omitted > 0) over (partition by request_id) as truncated from x""")
+def t7_view_caps(spark, d):
+    """Caps of 40 calls and 30 nodes, which these tables exceed."""
+    l = V.table(spark, d, "lineitem")  # noqa: E741
+    s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    view = l.select(s("s", "l_suppkey").alias("request_id"), F.col("l_orderkey").alias("at"), F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]).alias("call_id"), s("part:", "l_partkey").alias("target_id"))
+    return G.view_caps(view, 30, 40)
 
 
 @query("with " + V.GRAPH + " select id, sum(i)::bigint as fan_in, sum(o)::bigint as fan_out from (select src as id, 1 as o, 0 as i from edges union all select dst, 0, 1 from edges) group by 1")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siftworks.operators.extract import extract_facts
+from siftworks.operators import relate
+from siftworks.operators.extract import extract_facts, header_facts
 from siftworks.plans import views as V
 from siftworks.plans.registry import query
 from siftworks.sources import corpus, tables
@@ -45,15 +47,62 @@ def s5_capture_inputs(spark, d):
     return corpus.capture_inputs(corpus.documents_from_table(docs, "path", "text"), names)
 
 
-@query("with " + V.REVISIONS + " select path, hash as version_id from revs where revision = 1996")
-def s7_pinned_read(spark, d):
-    """Two revisions published one after the other; the pin reads the second whole."""
+@query("with " + V.WORDS + " select word as symbol, count(*) as n from wd group by 1")
+def s4_imported_facts(spark, d):
+    """Every word as an imported fact in UTF-16 units; its range is turned into bytes and its text checked there."""
+    out = f"{tables.shared_dir(spark)}/facts-{uuid.uuid4().hex}"
+    docs = V.documents(spark, d).select("path", "text")
+    units = lambda c: (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("long")
+    before = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    flat = docs.select("path", F.posexplode(F.split("text", "[ \n]")).alias("i", "word"))
+    at = F.coalesce(F.sum(units(F.col("word")) + 1).over(before), F.lit(0))
+    facts = flat.withColumn("at", at).filter("word <> ''").select("path", F.array("at", F.col("at") + units(F.col("word"))).alias("range"), F.lit("utf16").alias("encoding"), F.col("word").alias("symbol"), F.lit("read").alias("role"))
+    facts.select(F.to_json(F.struct(*facts.columns))).write.text(out)
+    read = corpus.read_facts(spark, out)
+    ends = read.select("symbol", "path", "encoding", F.concat_ws("@", "path", F.col("range")[0].cast("string")).alias("row_id"), F.posexplode("range").alias("side", "at"))
+    byte = relate.to_byte_offsets(ends.select(F.concat_ws("@", "row_id", F.col("side").cast("string")).alias("fact_id"), "path", "encoding", "at"), docs)
+    named = ends.select("row_id", "path", "symbol", "side", F.concat_ws("@", "row_id", F.col("side").cast("string")).alias("fact_id")).join(byte, "fact_id")
+    rows = named.groupBy("row_id", "path", F.col("symbol").alias("claimed")).agg(F.min("byte_at").alias("start"), F.max("byte_at").alias("end")).withColumns({"owner_start": F.lit(0), "owner_end": F.lit(2**62)})
+    ok = relate.verify_witness(rows, docs).filter("ok").select("row_id")
+    return rows.join(ok, "row_id").groupBy(F.col("claimed").alias("symbol")).agg(F.count("*").alias("n"))
+
+
+def _published(spark, d):
+    """Two revisions, with a writer that comes too late and retries in between, and a third of the same versions."""
     out = f"{tables.shared_dir(spark)}/published-{uuid.uuid4().hex}"
     r = V.revisions(spark, d).withColumnRenamed("hash", "version_id")
-    for before, year in ((None, 1995), ("1995", 1996)):
+    lost = 0
+    for before, year in ((None, 1995), (None, 1996), ("1995", 1996), ("1995", 1996)):
         one = r.filter(F.col("revision") == year)
-        tables.publish(one.select("version_id").distinct(), one.select("path", "version_id"), out, str(year), before)
-    return tables.at_pin(spark, out, "1996").select("path", "version_id")
+        try:
+            tables.publish(one.select("version_id").distinct(), one.select("path", "version_id"), out, str(year), before)
+        except tables.StaleHead:
+            lost += 1
+    tables.publish_unchanged(spark, out, "1997", "1996")
+    return out, lost
+
+
+@query("with " + V.REVISIONS + " select path, hash as version_id from revs where revision = 1996")
+def s7_pinned_read(spark, d):
+    """The pin reads the second revision whole, though a third came after."""
+    return tables.at_pin(spark, _published(spark, d)[0], "1996").select("path", "version_id")
+
+
+@query("with " + V.REVISIONS + " select revision::varchar as revision_id, count(*) as paths, count(distinct hash) as versions, 1::bigint as lost, (select count(distinct hash) from revs where revision in (1995, 1996)) as stored from revs where revision in (1995, 1996) group by 1 union all select '1997', count(*), count(distinct hash), 1, (select count(distinct hash) from revs where revision in (1995, 1996)) from revs where revision = 1996")
+def s6_publish(spark, d):
+    """What readers of each revision see, how many writers lost, and how many versions are stored."""
+    out, lost = _published(spark, d)
+    every = None
+    for r in ("1995", "1996", "1997"):
+        one = tables.at_pin(spark, out, r).agg(F.count("*").alias("paths"), F.count_distinct("version_id").alias("versions")).select(F.lit(r).alias("revision_id"), "*")
+        every = one if every is None else every.unionByName(one)
+    stored = spark.read.parquet(f"{out}/versions").agg(F.count("*").alias("stored"))
+    return every.withColumn("lost", F.lit(lost).cast("long")).crossJoin(stored)  # one row
+
+
+@query("with " + V.REVISIONS + " select path, hash as version_id from revs where revision = 1996")
+def s8_publish_unchanged(spark, d):
+    return tables.at_pin(spark, _published(spark, d)[0], "1997").select("path", "version_id")
 
 
 @query("with " + V.REVISIONS + " select path, language, hash from revs a where revision = 1996 and not exists (select 1 from revs b where b.revision < 1996 and b.path = a.path and b.language = a.language and b.hash = a.hash)")
@@ -62,16 +111,37 @@ def s10_new_versions(spark, d):
     return corpus.new_versions(r.filter("revision = 1996"), r.filter("revision < 1996"), ("path", "language", "hash")).select("path", "language", "hash")
 
 
-_PY = "case when doc_id % 7 = 0 then 'def f(:' else 'def f' || doc_id || '(a, b):' || chr(10) || '    if a:' || chr(10) || '        return g(h(a), b)' || chr(10) end"
+_SRC = """src as (select path, doc_id, language = 'de' as other, list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_extract(l, '[a-z]+')), lambda w: w <> '') as ws from docs),
+fn as (select path, doc_id, unnest(ws) as w from src where not other and len(ws) > 0)"""
 
 
-@query("with e as (select doc_id, doc_id % 7 = 0 as bad, doc_id % 5 = 0 as other from documents) select tag, kind, sum(n)::bigint as n from (select 'coverage' as tag, case when other then 'unsupported' when bad then 'failed' else 'complete' end as kind, count(*) as n from e group by 2 union all select 'declaration', 'function', count(*) from e where not bad and not other union all select 'call', 'call', 2 * count(*) from e where not bad and not other union all select 'region', 'branch', count(*) from e where not bad and not other) group by 1, 2")
+def _sources(spark, d):
+    """Each document as a source file: a class with two methods, and a function for each line, named by the line's first
+    lower-case word. Those without such a word don't parse, German ones are in another language."""
+    docs = V.documents(spark, d)
+    names = F.filter(F.transform(F.split("text", "\n"), lambda l: F.regexp_extract(l, "[a-z]+", 0)), lambda w: w != "")  # noqa: E741
+    one = F.transform(names, lambda w: F.concat(F.lit("def w_"), w, F.lit("(a, /, b: int, *rest, k=0, **more) -> str:\n    def Inner(): pass\n    if a:\n        return g(h(a), b)\n")))
+    head = F.concat(F.lit("class k"), F.col("doc_id").cast("string"), F.lit("(Base, metaclass=M):\n    @p.q\n    async def run(self, *args): pass\n    def stop[T](self): pass\n"))
+    src = F.when(F.size(names) == 0, "def f(:").otherwise(F.concat(head, F.array_join(one, "\n")))
+    return docs.select("path", F.when(F.col("language") == "de", "rust").otherwise("python").alias("language"), F.encode(src, "UTF-8").alias("bytes"))
+
+
+@query("with " + V.DOCS + ", " + _SRC + """, r as (select 'coverage' as tag, case when other then 'unsupported' when len(ws) = 0 then 'failed' else 'complete' end as kind, null as name, count(*) as n from src group by all
+union all select 'declaration', 'function', 'w_' || w, count(*) from fn group by all union all select 'declaration', 'function', 'Inner', count(*) from fn
+union all select 'declaration', 'class', 'k' || doc_id, 1 from (select distinct doc_id from fn) union all select 'declaration', 'method', m, count(distinct doc_id) from fn, unnest(['run', 'stop']) t(m) group by all
+union all select 'call', 'call', c, count(*) from fn, unnest(['g', 'h']) t(c) group by all union all select 'region', 'branch', null, count(*) from fn)
+select tag, kind, name, sum(n)::bigint as n from r where n > 0 group by all""")
 def e1_extract_facts(spark, d):
-    """Facts of one small Python file for each document; some don't parse, some are in another language."""
-    good = F.concat(F.lit("def f"), F.col("doc_id").cast("string"), F.lit("(a, b):\n    if a:\n        return g(h(a), b)\n"))
-    src = F.when(F.col("doc_id") % 7 == 0, "def f(:").otherwise(good)
-    docs = V.documents(spark, d).select("path", F.when(F.col("doc_id") % 5 == 0, "rust").otherwise("python").alias("language"), F.encode(src, "UTF-8").alias("bytes"))
-    return extract_facts(docs).groupBy("tag", "kind").agg(F.count("*").alias("n"))
+    return extract_facts(_sources(spark, d)).groupBy("tag", "kind", "name").agg(F.count("*").alias("n"))
+
+
+@query("with " + V.DOCS + ", " + _SRC + """, h as (select 'class' as kind, '' as modifiers, '' as type_parameters, '' as parameters, null as result, 'Base,metaclass=M' as bases, count(distinct doc_id) as n from fn
+union all select 'method', 'p.q,async', '', 'self plain,args variadic', null, '', count(distinct doc_id) from fn union all select 'method', '', 'T', 'self plain', null, '', count(distinct doc_id) from fn
+union all select 'function', '', '', 'a positional,b plain,rest variadic,k keyword,more keywords', 'str', '', count(*) from fn union all select 'function', '', '', '', null, '', count(*) from fn) select * from h where n > 0""")
+def e3_header_facts(spark, d):
+    h = header_facts(extract_facts(_sources(spark, d)))
+    flat = h.select("kind", *[F.array_join(c, ",").alias(c) for c in ("modifiers", "type_parameters", "bases")], F.array_join(F.transform("parameters", lambda p: F.concat_ws(" ", p["name"], p["kind"])), ",").alias("parameters"), "result")
+    return flat.groupBy(*flat.columns).agg(F.count("*").alias("n"))
 
 
 @query("select count(*) as segments, sum(n)::bigint as n_words from (with " + V.WORDS + " select path, line_no, count(*) as n from wd group by 1, 2)")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,52 +41,92 @@ class ExpiredPin(RuntimeError):
     """The pinned revision isn't published any more, or never was."""
 
 
-def head(spark: SparkSession, out: str) -> str | None:
-    """The published revision, from the last head file; None before the first publication."""
+def _heads(spark: SparkSession, out: str) -> list:
+    """(seq, revision_id, before, attempt) of all head files, in order: a row for each publication."""
     try:
-        rows = spark.read.schema("seq long, revision_id string").json(f"{out}/head").orderBy(F.col("seq").desc()).limit(1).collect()
+        rows = spark.read.schema("seq long, revision_id string, before string, attempt string").json(f"{out}/head").filter("seq is not null").collect()
     except Exception as e:  # noqa: BLE001  the folder isn't there yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return None
-    return rows[0]["revision_id"] if rows else None
+        return []
+    return sorted(rows, key=lambda r: r["seq"])
+
+
+def head(spark: SparkSession, out: str) -> str | None:
+    """The published revision, from the last head file; None before the first publication."""
+    rows = _heads(spark, out)
+    return rows[-1]["revision_id"] if rows else None
+
+
+def _create(spark: SparkSession, path: str, text: str) -> None:
+    """A new file; fails if there is one, so that of two writers one loses."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        stream = files.create(place, False)
+    except Exception as e:  # noqa: BLE001  the JVM's exception is wrapped
+        if "FileAlreadyExists" in str(e) or "already exists" in str(e):
+            raise StaleHead(path) from e
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def _publish(spark: SparkSession, versions: DataFrame | None, manifest: DataFrame, out: str, revision_id: str, expected_head: str | None) -> None:
+    heads = _heads(spark, out)
+    now = heads[-1]["revision_id"] if heads else None
+    if now == revision_id and heads[-1]["before"] == expected_head:
+        return  # a retry of what was published after all
+    if now != expected_head:
+        raise StaleHead(f"the head of {out} isn't {expected_head}")
+    if versions is not None:
+        new = versions.dropDuplicates(["version_id"])
+        if heads:
+            new = new.join(spark.read.parquet(f"{out}/versions").select("version_id"), "version_id", "left_anti")
+        new.write.mode("append").parquet(f"{out}/versions")
+    # what a lost or broken attempt leaves behind is under another attempt, which no head names
+    attempt = uuid.uuid4().hex
+    manifest.withColumns({"revision_id": F.lit(revision_id), "attempt": F.lit(attempt)}).write.mode("append").partitionBy("revision_id", "attempt").parquet(f"{out}/manifest")
+    seq = heads[-1]["seq"] + 1 if heads else 0
+    _create(spark, f"{out}/head/{seq:012d}.json", json.dumps({"seq": seq, "revision_id": revision_id, "before": expected_head, "attempt": attempt}))
 
 
 def publish(versions: DataFrame, manifest: DataFrame, out: str, revision_id: str, expected_head: str | None) -> None:
     """Append new versions (version_id, ...) and the manifest of a revision (path, version_id), and then move the head.
 
     Readers go from the head to the manifest to the versions, so they see the old revision or the new one whole. The
-    head must be expected_head; otherwise nothing is published. Versions that are stored already are not written again.
+    head must be expected_head, and the new head is a file that only one writer can create; otherwise StaleHead is
+    raised and nothing is published. Versions that are stored already are not written again. A publication may be
+    tried again after any failure: if it had gone through, nothing happens.
     """
-    spark = versions.sparkSession
-    if head(spark, out) != expected_head:
-        raise StaleHead(f"the head of {out} isn't {expected_head}")
-    new = versions
-    if expected_head is not None:
-        new = versions.join(spark.read.parquet(f"{out}/versions").select("version_id"), "version_id", "left_anti")
-    new.write.mode("append").parquet(f"{out}/versions")
-    manifest.withColumn("revision_id", F.lit(revision_id)).write.mode("append").partitionBy("revision_id").parquet(f"{out}/manifest")
-    seq = 0 if expected_head is None else spark.read.schema("seq long").json(f"{out}/head").agg(F.max("seq")).first()[0] + 1
-    spark.createDataFrame([(seq, revision_id)], "seq long, revision_id string").coalesce(1).write.mode("append").json(f"{out}/head")
+    _publish(versions.sparkSession, versions, manifest, out, revision_id, expected_head)
 
 
 def publish_unchanged(spark: SparkSession, out: str, revision_id: str, expected_head: str) -> None:
     """A new revision of the same versions: a manifest and a head, and no version rows."""
-    if head(spark, out) != expected_head:
-        raise StaleHead(f"the head of {out} isn't {expected_head}")
-    old = spark.read.parquet(f"{out}/manifest").filter(F.col("revision_id") == expected_head).drop("revision_id")
-    publish(spark.read.parquet(f"{out}/versions").limit(0), old, out, revision_id, expected_head)
+    if expected_head not in {r["revision_id"] for r in _heads(spark, out)}:
+        raise StaleHead(f"{expected_head} was never published to {out}")
+    _publish(spark, None, _manifest(spark, out, expected_head), out, revision_id, expected_head)
 
 
-def at_pin(spark: SparkSession, out: str, revision_id: str) -> DataFrame:
-    """Versions of one revision, by its manifest partition alone; ExpiredPin if it isn't there."""
-    m = spark.read.parquet(f"{out}/manifest").filter(F.col("revision_id") == revision_id)
-    if not m.limit(1).count():
+def _manifest(spark: SparkSession, out: str, revision_id: str) -> DataFrame:
+    """path, version_id of a published revision; ExpiredPin if it isn't one."""
+    attempts = [r["attempt"] for r in _heads(spark, out) if r["revision_id"] == revision_id]
+    if not attempts:
         raise ExpiredPin(revision_id)
-    return spark.read.parquet(f"{out}/versions").join(m.drop("revision_id"), "version_id")
+    m = spark.read.parquet(f"{out}/manifest").filter((F.col("revision_id") == revision_id) & (F.col("attempt") == attempts[-1]))
+    return m.drop("revision_id", "attempt")
+
+
+def at_pin(spark: SparkSession, out: str, revision_id: str) -> DataFrame:
+    """Versions of one revision, by its manifest partition alone; ExpiredPin if it isn't there. Versions that two writers
+    stored at the same time count once."""
+    return spark.read.parquet(f"{out}/versions").dropDuplicates(["version_id"]).join(_manifest(spark, out, revision_id), "version_id")
 
 
 def release(spark: SparkSession, out: str, keep: list[str]) -> DataFrame:
     """Versions that no kept revision names: what may be removed."""
-    m = spark.read.parquet(f"{out}/manifest").filter(F.col("revision_id").isin(keep)).select("version_id").distinct()
-    return spark.read.parquet(f"{out}/versions").join(m, "version_id", "left_anti").select("version_id").distinct()
+    kept = [_manifest(spark, out, r).select("version_id") for r in keep]
+    versions = spark.read.parquet(f"{out}/versions").select("version_id").distinct()
+    return versions.join(reduce(DataFrame.union, kept).distinct(), "version_id", "left_anti") if kept else versions

@@ -134,9 +134,87 @@ def test_capture_inputs_of_many_names(spark, tmp_path):
     text = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("t"), F.col("doc_id").cast("string")))
     spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang")).withColumn("text", text).write.parquet(str(tmp_path / "documents.parquet"))
     got = s5_capture_inputs(spark, str(tmp_path)).collect()
-    assert sorted(r.name for r in got) == sorted(["absent.lock", *(f"s/en/{i}.txt" for i in range(0, n, 50))])
+    assert sorted(r.name for r in got) == sorted(["absent.lock", *(f"s/en/{i}.txt" for i in range(n))])
     assert [r.name for r in got if not r.present] == ["absent.lock"]
     docs = documents(spark, str(tmp_path))
     names = docs.select(F.col("path").alias("name")).union(spark.range(1).select(F.lit("absent.lock")))
     every = corpus.capture_inputs(corpus.documents_from_table(docs, "path", "text"), names)
     assert every.agg(F.count("*"), F.count_if("present"), F.count("content_hash"), F.countDistinct("name")).first() == (n + 1, n, n, n + 1)
+
+
+def test_lookup_keys_of_escapes(spark):
+    import unicodedata
+
+    rows = [("java", r"\u0061b"), ("java", r"\uuu0061b"), ("javascript", r"\u{61}b"), ("javascript", r"\u{1F600}"), ("java", r"\uD83D\uDE00"), ("java", r"\uD83D"), ("javascript", r"\u{110000}"), ("rust", "r#e\u0301"), ("rust", r"\u0061"), ("python", "\ufb01x"), ("python", "ab"), ("java", "\ufb01"), ("java", None)]
+    got = spark.createDataFrame(rows, "language string, spelling string").select(lookup_key(F.col("language"), F.col("spelling")).alias("k")).collect()
+    assert [r.k for r in got] == ["ab", "ab", "ab", "\U0001f600", "\U0001f600", r"\uD83D", r"\u{110000}", "\u00e9", r"\u0061", "fix", "ab", "\ufb01", None]
+    assert unicodedata.normalize("NFKC", "\ufb01x") == "fix"
+
+
+def test_python_lookup_keys_of_all_words(spark, sf_dir):
+    import unicodedata
+
+    from siftworks.plans.q_text import f1_lookup_key_python
+
+    got = f1_lookup_key_python(spark, sf_dir).collect()
+    assert len(got) > 300 and all(r.lookup_key == unicodedata.normalize("NFKC", r.spelling) for r in got)
+
+
+def test_publication_of_broken_and_lost_attempts(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    v = spark.createDataFrame([("a", 1), ("b", 2)], "version_id string, x int")
+    m = v.select(F.col("version_id").alias("path"), "version_id")
+    create = tables._create
+    monkeypatch.setattr(tables, "_create", lambda *_: (_ for _ in ()).throw(OSError("lost before the head")))
+    with pytest.raises(OSError):
+        tables.publish(v, m, out, "r1", None)
+    assert tables.head(spark, out) is None
+    with pytest.raises(tables.ExpiredPin):
+        tables.at_pin(spark, out, "r1")
+    monkeypatch.setattr(tables, "_create", create)
+    for _ in range(2):  # the retry, and one more that finds it done
+        tables.publish(v, m, out, "r1", None)
+        assert sorted((r.version_id, r.path) for r in tables.at_pin(spark, out, "r1").collect()) == [("a", "a"), ("b", "b")]
+    heads = tables._heads(spark, out)
+    assert len(heads) == 1
+    # a writer that read the same head, but creates the next file second
+    monkeypatch.setattr(tables, "_heads", lambda *_: heads)
+    tables.publish(v.limit(1), m.limit(1), out, "r2", "r1")
+    with pytest.raises(tables.StaleHead):
+        tables.publish(v, m, out, "r3", "r1")
+    monkeypatch.undo()
+    assert tables.head(spark, out) == "r2" and tables.at_pin(spark, out, "r2").count() == 1
+
+
+def test_chunks_keep_to_the_budget(spark):
+    from siftworks.operators.retrieval import chunks
+
+    rng = random.Random(3)
+    rows = [("p", 1, "x" * 600), ("p", 2, "y" * 399), ("p", 3, "z" * 5000), ("p", 4, "w")]
+    rows += [(f"q{k}", i, "v" * rng.choice([0, 3, 40, 900, 2500])) for k in range(20) for i in range(1, rng.randrange(2, 30))]
+    got = chunks(spark.createDataFrame(rows, "path string, line_no long, line string"), 1000).collect()
+    assert max(r.n_bytes for r in got) <= 1000
+    assert sorted((r.chunk, r["first"], r["last"], r.n_bytes) for r in got if r.path == "p") == [(0, 1, 1, 601), (1, 2, 2, 400), *((2 + k, 3, 3, 1000) for k in range(5)), (7, 3, 3, 1), (8, 4, 4, 2)]
+    for path in {p for p, _, _ in rows}:
+        own = sorted((r for r in got if r.path == path), key=lambda r: r.chunk)
+        assert [r.chunk for r in own] == list(range(len(own)))
+        assert sum(r.n_bytes for r in own) == sum(len(t) + 1 for p, _, t in rows if p == path)
+        for a, b in zip(own, own[1:], strict=False):  # neighbours that would have fitted are merged
+            assert b["first"] in (a["last"], a["last"] + 1) and (a.n_bytes + b.n_bytes > 1000 or a["last"] == b["first"] or a["first"] == a["last"] or b["first"] == b["last"])
+
+
+def test_methods_by_node_type(spark):
+    src = b"class foo(A, metaclass=M):\n    def m[T](self, *a, **k): pass\ndef Foo(x, /, y, *, z) -> int:\n    def inner(): pass\n    class C:\n        async def n(self): pass\n"
+    docs = spark.createDataFrame([("a.py", "python", bytearray(src))], "path string, language string, bytes binary")
+    got = {r.name: r for r in extract_facts(docs).filter("tag = 'declaration'").collect()}
+    assert {n: r.kind for n, r in got.items()} == {"foo": "class", "m": "method", "Foo": "function", "inner": "function", "C": "class", "n": "method"}
+    assert got["foo"].header.bases == ["A", "metaclass=M"] and got["m"].header.type_parameters == ["T"] and got["n"].header.modifiers == ["async"] and got["Foo"].header.result == "int"
+    assert [(p.name, p.kind) for p in got["Foo"].header.parameters] == [("x", "positional"), ("y", "plain"), ("z", "keyword")]
+    assert [(p.name, p.kind) for p in got["m"].header.parameters] == [("self", "plain"), ("a", "variadic"), ("k", "keywords")]
+
+
+def test_offsets_inside_characters(spark):
+    docs = spark.createDataFrame([("p", "a\u00e9\U0001f600b")], "path string, text string")
+    want = {("scalar", 0): 0, ("scalar", 3): 7, ("scalar", 4): 8, ("scalar", 5): None, ("utf8", 2): None, ("utf8", 3): 3, ("utf8", 8): 8, ("utf8", 9): None, ("utf16", 2): 3, ("utf16", 3): None, ("utf16", 4): 7, ("utf16", 5): 8, ("utf16", 6): None, ("utf16", -1): None, ("utf16", 0): 0}
+    facts = spark.createDataFrame([(f"{e}{n}", "p", e, n) for e, n in want], "fact_id string, path string, encoding string, at long")
+    assert {r.fact_id: r.byte_at for r in R.to_byte_offsets(facts, docs).collect()} == {f"{e}{n}": v for (e, n), v in want.items()}
