@@ -227,22 +227,32 @@ def read_lines(requests: DataFrame, docs: DataFrame) -> DataFrame:
     return one.select("request_id", F.try_validate_utf8(raw.cast("string")).alias("slice"), F.is_valid_utf8(raw.cast("string")).alias("valid"))
 
 
-def to_byte_offsets(facts: DataFrame, docs: DataFrame) -> DataFrame:
+def to_byte_offsets(facts: DataFrame, docs: DataFrame, width: int = 4096) -> DataFrame:
     """fact_id, byte_at of offsets in utf8, utf16 or scalar units (column encoding); null (invalid range) where an
-    offset doesn't stand between two characters. The prefix up to the offset is cut in its own unit and measured in
-    bytes, once for each fact, and no table of characters is made."""
-    j = facts.join(docs.select("path", "text"), "path")
-    at, text = F.col("at").cast("int"), F.col("text")
+    offset doesn't stand between two characters.
+
+    Documents are cut into lines, whose starts are known in all three units; an offset is binned and meets its own line
+    alone, of which the prefix up to the offset is cut in its unit and measured in bytes."""
+    lines = F.split("text", "\n")
+    cut = docs.select("path", (F.size(lines) - 1).alias("_k"), F.posexplode(lines).alias("_i", "_t"))
+    cut = cut.withColumn("_end", F.col("_i") == F.col("_k")).withColumn("_t", F.when(F.col("_end"), F.col("_t")).otherwise(F.concat("_t", F.lit("\n"))))
+    sizes = {"utf8": F.octet_length("_t"), "utf16": F.octet_length(F.encode("_t", "UTF-16BE")) / 2, "scalar": F.length("_t")}
+    before = Window.partitionBy("path").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    sized = cut.withColumns({f"_n_{u}": n.cast("long") for u, n in sizes.items()})
+    placed = sized.withColumns({f"_s_{u}": F.coalesce(F.sum(f"_n_{u}").over(before), F.lit(0)) for u in sizes})
+    units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(f"_s_{u}").alias("lo"), (F.col(f"_s_{u}") + F.col(f"_n_{u}") - F.when(F.col("_end"), 0).otherwise(1)).alias("hi")) for u in sizes]))
+    flat = placed.select(F.col("path").alias("_path"), "_t", F.col("_s_utf8").alias("_base"), units.alias("_u")).select("_path", "_t", "_base", "_u.*")
+    binned = flat.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    j = facts.join(binned, (F.col("path") == F.col("_path")) & (F.col("encoding") == F.col("unit")) & (F.floor(F.col("at") / width) == F.col("_bin")) & F.col("at").between(F.col("lo"), F.col("hi")), "left")
+    at, text = (F.col("at") - F.col("lo")).cast("int"), F.col("_t")
     # a prefix that ends inside of a character isn't valid, or has a lone half of a surrogate pair
     utf8 = F.substring(F.encode(text, "UTF-8"), F.lit(1), at)
     utf16 = F.substring(F.encode(text, "UTF-16BE"), F.lit(1), at * 2)
     half = F.conv(F.hex(F.substring(utf16, -2, 2)), 16, 10).cast("int").between(0xD800, 0xDBFF)
-    inside = lambda n: (at >= 0) & (at <= n)
-    scalar = F.when(inside(F.length(text)), F.octet_length(F.left(text, at)))
-    eight = F.when(inside(F.octet_length(text)) & F.is_valid_utf8(utf8.cast("string")), at)
-    sixteen = F.when(inside(F.octet_length(F.encode(text, "UTF-16BE")) / 2) & F.when(at == 0, True).otherwise(~half), F.octet_length(F.decode(utf16, "UTF-16BE")))
-    unit = F.col("encoding")
-    return j.select("fact_id", F.when(unit == "scalar", scalar).when(unit == "utf8", eight).when(unit == "utf16", sixteen).cast("long").alias("byte_at"))
+    eight = F.when(F.is_valid_utf8(utf8.cast("string")), at)
+    sixteen = F.when(F.when(at == 0, True).otherwise(~half), F.octet_length(F.decode(utf16, "UTF-16BE")))
+    local = F.when(F.col("unit") == "scalar", F.octet_length(F.left(text, at))).when(F.col("unit") == "utf8", eight).when(F.col("unit") == "utf16", sixteen)
+    return j.select("fact_id", (F.col("_base") + local).cast("long").alias("byte_at"))
 
 
 def verify_witness(rows: DataFrame, docs: DataFrame, width: int = 4096) -> DataFrame:
