@@ -141,7 +141,7 @@ def symbol_contains(name: Column, qualified: Column, query: Column) -> Column:
 def focus_terms(question: Column, given: Column) -> Column:
     """Given terms, trimmed and lower-cased; without any, the question's distinct words, sorted: letters, digits and _,
     more than two bytes, without stop words."""
-    words = F.filter(F.split(F.lower(question), r"[^\p{IsAlphabetic}\p{N}_]+"), lambda w: (F.octet_length(w) > 2) & ~w.isin(STOP_WORDS))
+    words = F.filter(F.split(F.lower(question), r"[^\p{IsAlphabetic}\p{N}_]+"), lambda w: (F.octet_length(w) > 2) & ~w.isin(*STOP_WORDS))
     return F.when(F.size(given) > 0, F.transform(given, lambda t: F.lower(F.trim(t)))).otherwise(F.array_sort(F.array_distinct(words)))
 
 
