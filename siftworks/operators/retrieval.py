@@ -57,7 +57,7 @@ def trivial(decls: DataFrame, calls: DataFrame, regions: DataFrame, max_statemen
 
 
 def _terms(text: str) -> Column:
-    return F.flatten(F.transform(F.split(text, r"\s+"), identifier_words))
+    return identifier_words(F.col(text))
 
 
 #: Distinct terms of queries up to which they are sent to every task; more are met by a join on the term.
