@@ -12,16 +12,22 @@ GRACE_SECONDS = 15 * 60
 
 
 def classify_change(diff: DataFrame, options: Column | None = None, inputs: Column | None = None, unproved: Column | None = None) -> DataFrame:
-    """class, reason, inv, changed, files of a diff (path, change): full for other options, inputs, inventory or
-    languages, several changed documents or an unproved one, in that order; else unchanged or documentLocal."""
-    n = diff.agg(F.count_if(F.col("change").isin("added", "removed")).alias("inv"), F.count_if(F.col("change") == "languageChanged").alias("lang"), F.count_if(F.col("change") == "changed").alias("changed"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("change") == "changed", F.col("path")))), ",").alias("files"))
+    """class, reason, inv, changed, document of a diff (path, change): full for other options, inputs, inventory or
+    languages, several changed documents or an unproved one, in that order; else unchanged or documentLocal. document
+    is the changed one where there is one alone; the paths of many are the diff's own rows (changed_files)."""
+    n = diff.agg(F.count_if(F.col("change").isin("added", "removed")).alias("inv"), F.count_if(F.col("change") == "languageChanged").alias("lang"), F.count_if(F.col("change") == "changed").alias("changed"), F.max(F.when(F.col("change") == "changed", F.col("path"))).alias("last"))
     no = F.lit(False)
     reason = (
         F.when(options if options is not None else no, "options").when(inputs if inputs is not None else no, "inputs").when(F.col("inv") > 0, "inventory").when(F.col("lang") > 0, "language")
         .when(F.col("changed") > 1, "severalChanged").when((F.col("changed") == 1) & (unproved if unproved is not None else no), "unproved")
     )
     cls = F.when(reason.isNotNull(), "full").when(F.col("changed") == 0, "unchanged").otherwise("documentLocal")
-    return n.select(cls.alias("class"), reason.alias("reason"), "inv", "changed", F.nullif("files", F.lit("")).alias("files"))
+    return n.select(cls.alias("class"), reason.alias("reason"), "inv", "changed", F.when(F.col("changed") == 1, F.col("last")).alias("document"))
+
+
+def changed_files(diff: DataFrame) -> DataFrame:
+    """path of each changed document of a diff (path, change)."""
+    return diff.filter("change = 'changed'").select("path")
 
 
 def surface_equal(prev: DataFrame, cur: DataFrame, key: str, surface: list[str]) -> DataFrame:

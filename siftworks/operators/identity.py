@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siftworks.functions.text import content_hash, domain_digest, json_array, json_bool, json_number, json_object, json_string
 
+from .stats import numbered
+
 #: Domains of the digests; whoever needs the identities of another system passes its domains.
 SYNTAX_DOMAIN, OCCURRENCE_DOMAIN, CONTEXT_DOMAIN = "siftworks.syntax.v1", "siftworks.occurrence.v1", "siftworks.extraction-context.v1"
 SIBLINGS_DOMAIN, HEADER_DOMAIN, PROVENANCE_DOMAIN = "siftworks.siblings.v1", "siftworks.header.v1", "siftworks.provenance.v1"
@@ -110,13 +112,12 @@ def catalog_id(packages: DataFrame, sources: DataFrame, fingerprints: DataFrame,
     return j.select(key, F.concat(F.lit("catalog:"), F.sha2(text, 256)).alias("catalog_id"))
 
 
-def manifest_hashes(docs: DataFrame, data: str = "text") -> DataFrame:
-    """source_set_id, files, manifest_hash: SHA-256 over the lines 'path:hash' of the files in order of path, joined by LF.
-    One hash over a whole list is one row for each source set: paths and hashes alone, about 100 bytes a file."""
-    one = docs.select("source_set_id", "path", content_hash(F.encode(F.col(data), "UTF-8")).alias("h"))
-    listed = one.groupBy("source_set_id").agg(F.array_sort(F.collect_list(F.struct("path", "h"))).alias("m"))
-    text = F.array_join(F.transform("m", lambda s: F.concat(s["path"], F.lit(":"), s["h"])), "\n")
-    return listed.select("source_set_id", F.size("m").cast("long").alias("files"), F.sha2(text, 256).alias("manifest_hash"))
+def manifest_hashes(docs: DataFrame, data: str = "text", buckets: int = 1 << 14) -> DataFrame:
+    """source_set_id, files, manifest_hash: a digest of each source set's paths and content hashes, equal if and only if
+    the manifests are. Taken over buckets as keyed_digest() does: no row holds a whole manifest."""
+    one = docs.select("source_set_id", "path", content_hash(F.encode(F.col(data), "UTF-8")).alias("hash"))
+    files = one.groupBy("source_set_id").agg(F.count("*").alias("files"))
+    return files.join(keyed_digest(one, "source_set_id", ["hash", "path"], "manifest_hash", buckets), "source_set_id")
 
 
 def document_witness(facts: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -136,5 +137,4 @@ def canonical_rows(tables: dict[str, DataFrame]) -> DataFrame:
         cols = sorted(df.columns)
         one = df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("payload"))
         out = one if out is None else out.unionByName(one)
-    by = Window.partitionBy("kind").orderBy("payload")
-    return out.withColumn("row_key", (F.row_number().over(by) - 1).cast("long")).select("kind", "row_key", "payload")
+    return numbered(out, ["kind"], ["payload"], "row_key").select("kind", (F.col("row_key") - 1).alias("row_key"), "payload")

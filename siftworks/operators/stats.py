@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,23 +82,45 @@ def classify_age(df: DataFrame, now: Column, at: str, day: int = 86_400) -> Data
 # --- budgets ---------------------------------------------------------------------------------------------------------
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], **sums: str) -> DataFrame:
-    """Adds running sums in order within the keys."""
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({name: F.sum(col).over(by) for name, col in sums.items()})
+def ranges(df: DataFrame, keys: list[str], order: list[str | Column], parts: int | None = None) -> DataFrame:
+    """df in ranges of keys and order, with the range's number as _p: a hot key is dealt out over many of them.
+
+    Written, so that whatever reads it sees the same ranges even if tasks are run again."""
+    by = [*keys, *order]
+    dealt = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    return stored(dealt.withColumn("_p", F.spark_partition_id()), "ranged")
+
+
+def with_earlier(ranged: DataFrame, keys: list[str], fold: Callable[[Column], Column], **of: str) -> DataFrame:
+    """ranged with columns that hold fold (a sum or a maximum) of a key's rows in all earlier ranges; null without any.
+
+    Only the first key of a range can have begun in an earlier one, so a row for each range is broadcast, no more."""
+    w = Window.partitionBy(*keys).orderBy("_p")
+    per = ranged.groupBy(*keys, "_p").agg(*[fold(F.col(c)).alias(n) for n, c in of.items()])
+    before = {n: fold(F.col(n)).over(w.rowsBetween(Window.unboundedPreceding, -1)) for n in of}
+    first = per.withColumns({"_n": F.row_number().over(w), **before}).filter("_n > 1")
+    base = first.select(F.col("_p").alias("_bp"), *[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], *of)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)], F.col("_p") == F.col("_bp"))
+    return ranged.join(F.broadcast(base), same, "left").drop("_bp", *[f"_b{i}" for i in range(len(keys))])
+
+
+def running(df: DataFrame, keys: list[str], order: list[str | Column], parts: int | None = None, **sums: str) -> DataFrame:
+    """Adds running sums in order within the keys, over keys of any size: each range of a key sums up by itself, and
+    what its earlier ranges sum up to is added."""
+    ranged = with_earlier(ranges(df, keys, order, parts), keys, F.sum, **{f"_e_{n}": c for n, c in sums.items()})
+    by = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = {n: F.coalesce(F.sum(c).over(by) + F.coalesce(f"_e_{n}", F.lit(0)), f"_e_{n}") for n, c in sums.items()}
+    return ranged.withColumns(here).drop("_p", *[f"_e_{n}" for n in sums])
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: str) -> DataFrame:
+    """Adds the place of each row in order within the keys, from 1; a key's rows are never in one task."""
+    return running(df.withColumn("_one", F.lit(1).cast("long")), keys, order, **{name: "_one"}).drop("_one")
 
 
 def running_giant(df: DataFrame, order: str, value: str, parts: int = 64) -> DataFrame:
-    """Adds running: the sum of value up to each row in order, over one table of any size without keys.
-
-    Ranges of the order are dealt out, each sums up by itself, and their totals (one row for each range) are scanned.
-    """
-    # written, so that the totals and the rows see the same ranges even if tasks are run again
-    ranged = stored(df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id()), "ranged")
-    totals = ranged.groupBy("_p").agg(F.sum(value).alias("_t"), F.min(order).alias("_o"))
-    base = totals.withColumn("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    by = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranged.withColumn("_s", F.sum(value).over(by)).join(F.broadcast(base), "_p").withColumn("running", F.col("_s") + F.col("_b")).drop("_p", "_s", "_b")
+    """Adds running: the sum of value up to each row in order, over one table of any size without keys."""
+    return running(df, [], [order], parts, running=value)
 
 
 def admit_by_budget(files: DataFrame, keys: list[str], path: str, **limits: int) -> DataFrame:

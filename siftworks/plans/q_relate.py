@@ -308,7 +308,7 @@ def u1_union_evidence(spark, d):
     return S.union_evidence(a, b, key=["k"])
 
 
-@query("with " + _DIFF + ", n as (select count(*) filter (change in ('added', 'removed')) as inv, count(*) filter (change = 'languageChanged') as lang, count(*) filter (change = 'changed') as changed, string_agg(path, ',' order by path) filter (change = 'changed') as files from diff) select case when inv > 0 then 'full' when lang > 0 then 'full' when changed = 0 then 'unchanged' when changed > 1 then 'full' else 'documentLocal' end as class, case when inv > 0 then 'inventory' when lang > 0 then 'language' when changed > 1 then 'severalChanged' end as reason, inv, changed, files from n")
+@query("with " + _DIFF + ", n as (select count(*) filter (change in ('added', 'removed')) as inv, count(*) filter (change = 'languageChanged') as lang, count(*) filter (change = 'changed') as changed, max(path) filter (change = 'changed') as last from diff) select case when inv > 0 then 'full' when lang > 0 then 'full' when changed = 0 then 'unchanged' when changed > 1 then 'full' else 'documentLocal' end as class, case when inv > 0 then 'inventory' when lang > 0 then 'language' when changed > 1 then 'severalChanged' end as reason, inv, changed, case when changed = 1 then last end as document from n")
 def c1_change_class(spark, d):
     from siftworks.operators.changes import classify_change
 

@@ -109,9 +109,9 @@ def a24_composition(spark, d):
     return p.withColumn("repeated_percent", F.round(100 * (1 - F.col("shapes") / F.col("words")), 6))
 
 
-@query("with " + _diff.__globals__["_DIFF"] + " select string_agg(path, ',' order by path) as files from diff where change = 'changed'")
+@query("with " + _diff.__globals__["_DIFF"] + " select path from diff where change = 'changed'")
 def a17_changed_files(spark, d):
-    return _diff(spark, d).filter("change = 'changed'").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("files"))
+    return C.changed_files(_diff(spark, d))
 
 
 @query("select source, count(*) filter (quality = 1) as supporting, count(*) filter (toxic = 1) as uncertain, count(*) filter (quality is null) as omitted from documents left join labels using (doc_id) group by 1")
@@ -136,10 +136,7 @@ def w4_admit_details(spark, d):
 def w5_search_rank(spark, d):
     p = V.table(spark, d, "part").filter(T.literal_contains(F.col("p_name"), F.lit("a")))
     rank = F.when(F.col("p_name") == "x", 0).when(F.col("p_name").startswith("P"), 1).otherwise(2)
-    from pyspark.sql import Window
-
-    # one search is one group; the result is ranked whole, as a report
-    return p.withColumn("g", F.lit(1)).withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(rank, F.col("p_name").asc_nulls_first(), "p_partkey"))).select("p_partkey", F.col("rank").cast("long").alias("rank"))
+    return S.numbered(p.withColumn("match", rank), [], ["match", F.col("p_name").asc_nulls_first(), "p_partkey"], "rank").select("p_partkey", "rank")
 
 
 @query("""with j as (select p_brand, p_partkey, '{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '"}' as t from part), r as (select *, sum(strlen(t)) over (partition by p_brand order by p_partkey) as s from j) select p_brand, p_partkey from r where s <= 200""")

@@ -268,7 +268,12 @@ def j23_anchor_audit(spark, d):
     return I.audit_anchors(anchors, now, ["path", "line_no"])
 
 
-@query("with " + V.DOCS + ", m as (select source_set_id, count(*) as files, sha256(string_agg(path || ':' || sha256(text), chr(10) order by path)) as manifest_hash from docs group by 1) select * from m")
+def _keyed_sql(rows: str, columns: str, name: str, buckets: int = 1024) -> str:
+    """keyed_digest() of rows (k, columns), as a table expression."""
+    return f"""{name} as (select k, sha256(string_agg(d, '' order by b)) as {name} from (select k, b, sha256(string_agg(h, '' order by h)) as d from (select *, ('0x' || h[1:8])::bigint % {buckets} as b from (select k, sha256(concat_ws(chr(31), {columns})) as h from ({rows}))) group by 1, 2) group by 1)"""
+
+
+@query("with " + V.DOCS + ", " + _keyed_sql("select source_set_id as k, sha256(text) as hash, path from docs", "hash, path", "manifest_hash", 1 << 14) + ", n as (select source_set_id, count(*) as files from docs group by 1) select source_set_id, files, manifest_hash from n join manifest_hash on k = source_set_id")
 def a9_manifest_hash(spark, d):
     return I.manifest_hashes(V.documents(spark, d))
 
@@ -296,11 +301,6 @@ def a8_table_digest(spark, d):
     return I.table_digest(V.table(spark, d, "orders"), ["o_orderkey", "o_orderstatus"])
 
 
-def _keyed_sql(rows: str, columns: str, name: str) -> str:
-    """keyed_digest() of rows (k, columns), as a table expression."""
-    return f"""{name} as (select k, sha256(string_agg(d, '' order by b)) as {name} from (select k, b, sha256(string_agg(h, '' order by h)) as d from (select *, ('0x' || h[1:8])::bigint % 1024 as b from (select k, sha256(concat_ws(chr(31), {columns})) as h from ({rows}))) group by 1, 2) group by 1)"""
-
-
 @query("with " + V.DOCS + ", " + ", ".join([_keyed_sql("select distinct source_set_id as k, language from docs", "language", "p"), _keyed_sql("select source_set_id as k, sha256(text) as hash, path from docs", "hash, path", "s"), _keyed_sql("select source_set_id as k, language, count(*)::varchar as n from docs group by 1, 2", "language, n", "f")]) + " select k as source_set_id, 'catalog:' || sha256(concat_ws(chr(10), 'p1', 'g1', '7', p, s, f)) as catalog_id from p join s using (k) join f using (k)")
 def i13_catalog_id(spark, d):
     docs = V.documents(spark, d)

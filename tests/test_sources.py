@@ -10,6 +10,7 @@ from siftworks.functions import text as T
 from siftworks.functions.names import lookup_key
 from siftworks.operators import identity as I
 from siftworks.operators import relate as R
+from siftworks.operators import stats
 from siftworks.operators.extract import extract_facts
 from siftworks.sources import corpus, tables
 from siftworks.streaming import signals as S
@@ -218,3 +219,35 @@ def test_offsets_inside_characters(spark):
     want = {("scalar", 0): 0, ("scalar", 3): 7, ("scalar", 4): 8, ("scalar", 5): None, ("utf8", 2): None, ("utf8", 3): 3, ("utf8", 8): 8, ("utf8", 9): None, ("utf16", 2): 3, ("utf16", 3): None, ("utf16", 4): 7, ("utf16", 5): 8, ("utf16", 6): None, ("utf16", -1): None, ("utf16", 0): 0}
     facts = spark.createDataFrame([(f"{e}{n}", "p", e, n) for e, n in want], "fact_id string, path string, encoding string, at long")
     assert {r.fact_id: r.byte_at for r in R.to_byte_offsets(facts, docs).collect()} == {f"{e}{n}": v for (e, n), v in want.items()}
+
+
+def test_running_sums_over_ranges(spark):
+    """Keys of one row, of a third of all rows, of null; a range holds many keys and a key many ranges."""
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 == 0 else f"k{i % 50}", i // 2 if i % 11 else None, i, None if i % 5 == 0 else i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, at long, id long, v long")
+    want, total = {}, {}
+    for k, at, i, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2])):
+        n, t = total.get(k, (0, None))
+        total[k] = n + 1, t if v is None else (t or 0) + v
+        want[i] = total[k]
+    got = stats.numbered(stats.running(df, ["k"], ["at", "id"], 16, s="v"), ["k"], ["at", "id"], "n")
+    assert {r.id: (r.n, r.s) for r in got.collect()} == want
+    assert stats.running(df.limit(0), ["k"], ["id"], s="v").count() == 0
+
+
+def test_signals_of_a_hot_source(spark):
+    """Stretches are batched apart with the same result as one loop over the whole source set."""
+    rng = random.Random(5)
+    rows, at = [], 0
+    for i in range(3000):
+        at += rng.choice([0, 5, 30, 74, 75, 76, 300])
+        rows.append(("hot" if i % 3 else f"s{i % 4}", at, rng.choice(["modify", "modify", "modify", "urgent", "create"]), f"p{i % 40:02}"))
+    got = sorted(tuple(r) for r in S.batch_signals(spark.createDataFrame(rows, "source_set_id string, at_ms long, event_kind string, path string").repartition(7)).collect())
+    want = []
+    for key in {r[0] for r in rows}:
+        mine = sorted(r[1:] for r in rows if r[0] == key)
+        out, open_, generation = S._step([], mine, key, 0, S.QUIET_MS, S.LONGEST_MS)
+        want += out
+        if open_:
+            want.append(S._close(open_, key, generation, min(open_[-1][0] + S.QUIET_MS, open_[0][0] + S.LONGEST_MS)))
+    assert got == sorted(want)
