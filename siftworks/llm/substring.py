@@ -10,9 +10,13 @@ chosen halves need to be compared. Only a half that repeats is extended. Level t
   its single windows, and these are compared by themselves.
 
 Nothing survives to be doubled again: a longer repeat is a union of repeated full windows. The earliest copy of a
-window always lies in a first cell, so the rows compared at the second level are enough. Equal keys are first reduced
-within a slice of text, so a passage that a third of all documents share gives one row for each slice, not for each
-copy, and equal rows are met in sorted order by a scan that holds one row.
+window always lies in a first cell, so the rows compared at the second level are enough.
+
+A passage may stand in a third of all documents. Equal cells are reduced within a slice of text before the shuffle.
+A half that a task has met often already, in different stretches, has all further cells extended at once: two
+stretches of it are in the shuffle, which has all their first cells extended too, so nothing is missed and no task is
+sent a row for each document. Single windows are reduced to the first of their kind by an aggregation with partial
+sums, and joined with it from written tables, where Spark can split a hot window's rows.
 """
 
 from __future__ import annotations
@@ -30,6 +34,10 @@ from .common import WHITE, Powers, WordHasher, doc_text, grams, long, mix, slice
 
 _U = np.uint64
 _ODD, _ODD2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+#: Cells of one half that a task sends to be compared, about; further ones are extended without.
+OFTEN = 64
+#: Kinds of cells: to be compared, settled, to be extended without comparison.
+_COMPARE, _SETTLED, _EXTEND = 0, 1, 2
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -57,11 +65,46 @@ def _first_of(keys: list[np.ndarray], docs: np.ndarray, at: np.ndarray) -> tuple
     return order, new
 
 
-def _cells(length: int):
-    """Rows h, s, doc_id, at of cells; at = start << 9 | flag << 8 | windows << 4 | offset of the half. flag: settled."""
+class _Often:
+    """Halves that a task meets often: how many of their cells it sent to be compared, and whether in more than one
+    stretch. Of bounded size: when it is full, all counts fall until rare halves give way."""
+
+    SIZE = 1 << 16
+
+    def __init__(self, most: int):
+        self.most = most
+        self.h, self.s, self.n, self.several = np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def extend(self, h: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Which of the cells (halves h, stretches s) need no comparison; the others are counted."""
+        if not len(h):
+            return np.zeros(0, bool)
+        known = np.zeros(len(h), bool)
+        if len(self.h):
+            i = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            known = (self.h[i] == h) & (self.n[i] >= self.most) & self.several[i]
+        sent = ~known
+        hs, ss = np.concatenate([self.h, h[sent]]), np.concatenate([self.s, s[sent]])
+        order = np.argsort(hs, kind="stable")
+        hs, ss = hs[order], ss[order]
+        first = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
+        other = ss != np.repeat(ss[first], np.diff(np.append(first, len(hs))))
+        counts = np.concatenate([self.n, np.ones(int(sent.sum()), np.int64)])[order]
+        several = np.concatenate([self.several, np.zeros(int(sent.sum()), bool)])[order]
+        self.h, self.s, self.n, self.several = hs[first], ss[first], np.add.reduceat(counts, first), np.logical_or.reduceat(several | other, first)
+        if len(self.h) > self.SIZE:
+            self.n = self.n - np.partition(self.n, -self.SIZE - 1)[-self.SIZE - 1]
+            keep = self.n > 0
+            self.h, self.s, self.n, self.several = self.h[keep], self.s[keep], self.n[keep], self.several[keep]
+        return known
+
+
+def _cells(length: int, most: int):
+    """Rows h, s, doc_id, at of cells; at = start << 10 | kind << 8 | windows << 4 | offset of the half."""
     half, hasher, powers = length // 2, WordHasher(seed=2), Powers()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = _Often(most)
         for batch in batches:
             for at, count, data, bounds in slices(batch):
                 ids = _ids(batch, at, count)
@@ -93,12 +136,14 @@ def _cells(length: int):
                 place = begin - firsts[:-1][owner[begin]]
                 order, first = _first_of([h, s], doc, place)
                 h, s, doc, place, windows, offset = (x[order] for x in (h, s, doc, place, windows, offset))
-                # later ones of the slice are settled: they go along under keys of their own
+                # later ones of the slice are settled: they go along under keys of their own, like those to extend
                 head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
                 same = ~first & (doc == doc[head]) & (place == place[head])
-                settled = ~first
-                packed = place << 9 | settled.astype(np.int64) << 8 | windows << 4 | offset
-                h = np.where(settled, mix(doc.astype(_U) * _ODD + place.astype(_U)), h)
+                kind = np.where(first, _COMPARE, _SETTLED)
+                rows = np.flatnonzero(first)
+                kind[rows[often.extend(h[rows], s[rows])]] = _EXTEND
+                packed = place << 10 | kind << 8 | windows << 4 | offset
+                h = np.where(kind == _COMPARE, h, mix(doc.astype(_U) * _ODD + place.astype(_U)))
                 keep = ~same
                 yield pa.RecordBatch.from_arrays([long(h[keep]), long(s[keep]), pa.array(doc[keep]), pa.array(packed[keep])], ["h", "s", "doc_id", "at"])
 
@@ -115,13 +160,13 @@ def _settle(length: int):
         classes, held = 0, None  # stretches of its half so far; the only one's first row
         for batch in batches:
             h, s, doc, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            flag = (at >> 8 & 1).astype(bool)
-            flagged = [np.flatnonzero(flag)]
-            rows = np.flatnonzero(~flag)
-            expand: list[np.ndarray] = []
+            kind = at >> 8 & 3
+            flagged = [np.flatnonzero(kind == _SETTLED)]
+            rows = np.flatnonzero(kind == _COMPARE)
+            expand: list[np.ndarray] = [np.flatnonzero(kind == _EXTEND)]
             prior = []
             if len(rows):
-                h_, s_, d_, a_ = h[rows], s[rows], doc[rows], at[rows] >> 9
+                h_, s_, d_, a_ = h[rows], s[rows], doc[rows], at[rows] >> 10
                 new_h = np.ones(len(rows), bool)
                 new_h[1:] = h_[1:] != h_[:-1]
                 new_h[0] = ph is None or h_[0] != ph
@@ -148,14 +193,14 @@ def _settle(length: int):
                     i = rows[np.flatnonzero(new_s & (group == last))[0]]
                     held = (int(doc[i]), int(at[i]))
                 ph, ps, pdoc, pplace = h_[-1], s_[-1], hd[-1], ha[-1]
-            f, e = np.concatenate(flagged), np.concatenate(expand) if expand else np.zeros(0, np.int64)
+            f, e = np.concatenate(flagged), np.concatenate(expand)
             extra = np.array(prior, np.int64).reshape(-1, 2)
             d_out = np.concatenate([doc[f], doc[e], extra[:, 0]])
             a_out = np.concatenate([at[f], at[e], extra[:, 1]])
             windows = np.arange(len(d_out)) >= len(f)
             n = (a_out >> 4 & 15) + np.where(windows, 0, length - 1)
             if len(d_out):
-                yield pa.RecordBatch.from_arrays([pa.array(d_out), pa.array(a_out >> 9), pa.array(n), pa.array(windows)], ["doc_id", "start", "n", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(d_out), pa.array(a_out >> 10), pa.array(n), pa.array(windows)], ["doc_id", "start", "n", "windows"])
 
     return run
 
@@ -197,29 +242,6 @@ def _windows(length: int):
     return run
 
 
-def _later(length: int):
-    """From windows in order of w1, w2, doc_id, start: doc_id, start, n of those that aren't the first of their kind."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            w1, w2, doc, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            if not len(w1):
-                continue
-            new = np.ones(len(w1), bool)
-            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-            new[0] = last is None or (w1[0], w2[0]) != last[:2]
-            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            pd, ps = last[2:] if last else (0, 0)
-            hd, hs = np.where(head >= 0, doc[head], pd), np.where(head >= 0, start[head], ps)
-            hit = ~new & ((doc != hd) | (start != hs))
-            last = (w1[-1], w2[-1], hd[-1], hs[-1])
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(start[hit]), pa.array(np.full(int(hit.sum()), length, np.int64))], ["doc_id", "start", "n"])
-
-    return run
-
-
 def _strip(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = zstandard.ZstdDecompressor()
@@ -251,23 +273,26 @@ def _strip(with_text: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 20, often: int = OFTEN) -> DataFrame:
     """doc_id, start, n: stretches of n words from word `start` that windows repeated from earlier cover."""
     if length % 2 or not 4 <= length <= 28:
         raise ValueError("length must be even and from 4 to 28")
     text = doc_text(docs).filter("doc_id is not null")
-    cells = text.mapInArrow(_cells(length), "h long, s long, doc_id long, at long")
+    cells = text.mapInArrow(_cells(length, often), "h long, s long, doc_id long, at long")
     met = cells.repartition("h").sortWithinPartitions("h", "s", "doc_id", "at")
     settled = stored(met.mapInArrow(_settle(length), "doc_id long, start long, n long, windows boolean"), "cells")
     extend = settled.filter("windows").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("cells"))
     packed = text.mapInArrow(_packed, "doc_id long, z binary")
     single = packed.join(extend, "doc_id").select("doc_id", "z", "cells").mapInArrow(_windows(length), "w1 long, w2 long, doc_id long, start long, later boolean")
-    ordered = single.select("w1", "w2", "doc_id", "start").repartition("w1").sortWithinPartitions("w1", "w2", "doc_id", "start")
-    found = ordered.mapInArrow(_later(length), "doc_id long, start long, n long")
-    return settled.filter("not windows").select("doc_id", "start", "n").unionByName(found)
+    single = stored(single, "windows")
+    rest = single.filter("not later").select("w1", "w2", "doc_id", "start")
+    firsts = stored(rest.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
+    found = rest.join(firsts, ["w1", "w2"]).filter(F.struct("doc_id", "start") > F.col("first"))
+    windows = single.filter("later").select("doc_id", "start").unionByName(found.select("doc_id", "start"))
+    return settled.filter("not windows").select("doc_id", "start", "n").unionByName(windows.withColumn("n", F.lit(length).cast("long")))
 
 
-def drop_repeated_windows(docs: DataFrame, length: int = 20, with_text: bool = False) -> DataFrame:
+def drop_repeated_windows(docs: DataFrame, length: int = 20, with_text: bool = False, often: int = OFTEN) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for each row of docs (doc_id, text, ...).
 
     Words are runs of anything but ASCII white space. A word is removed if a window of `length` words covers it whose
@@ -276,9 +301,10 @@ def drop_repeated_windows(docs: DataFrame, length: int = 20, with_text: bool = F
 
     A null text has no words. A null doc_id takes no part: nothing is removed from it or because of it. Rows that
     share a doc_id are one document: what is removed at a place of one goes at that place of all, and equal places
-    are not earlier than each other. An empty table gives an empty result; other columns are ignored.
+    are not earlier than each other. An empty table gives an empty result; other columns are ignored. often changes how
+    the work is dealt out, never the result.
     """
-    spans = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("cells"))
+    spans = repeated_spans(docs, length, often).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("cells"))
     packed = doc_text(docs).mapInArrow(_packed, "doc_id long, z binary")
     both = packed.join(spans, "doc_id", "left").select("doc_id", "z", "cells")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")

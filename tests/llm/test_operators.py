@@ -63,6 +63,38 @@ def test_substring_low_entropy(spark):
     assert got == brute_windows(rows, 8)
 
 
+@pytest.mark.parametrize("often", [1, 2, 5])
+def test_substring_hot_passage(spark, often):
+    """A passage with other neighbours in each document, and copies of whole documents: tasks extend cells on their own."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(30)]
+    other = lambda: [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(12))]
+    rows = [(i, " ".join(other() + passage[rng.randrange(4) :] + other()), "en", "s", 0) for i in range(120)]
+    rows += [(200 + i, rows[i * 2][1], "en", "s", 0) for i in range(40)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = substring.drop_repeated_windows(frame(spark, rows).repartition(3), 8, often=often)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute_windows(rows, 8)
+
+
+def test_substring_often_is_bounded(monkeypatch):
+    """Rare halves give way, a frequent one in several stretches is told; one in a single stretch is always compared."""
+    monkeypatch.setattr(substring._Often, "SIZE", 50)
+    often, rng = substring._Often(20), np.random.default_rng(1)
+    told = 0
+    for i in range(40):
+        h = np.concatenate([rng.integers(10, 2**63, 90, np.uint64), np.full(5, 1, np.uint64), np.full(5, 2, np.uint64)])
+        known = often.extend(h, np.concatenate([np.zeros(90, np.uint64), np.arange(5 * i, 5 * i + 5, dtype=np.uint64), np.zeros(5, np.uint64)]))
+        assert not known[:90].any() and not known[95:].any() and len(often.h) <= 50
+        told += known[90:95].sum()
+    # at most 20 are sent before it counts as frequent, those of one slice, and what a full list takes from the count
+    assert 200 - 20 - 5 - 40 * 100 / 51 <= told < 200
+
+
 def test_substring_odd(none, odd):
     assert substring.drop_repeated_windows(none).count() == 0
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.drop_repeated_windows(odd, 4).collect())
