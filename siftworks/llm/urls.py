@@ -39,7 +39,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
         cond = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         one = F.struct(F.lit(verdict).alias("verdict"), F.lit(h + p).alias("rule"))
         fits = F.when(cond, one) if fits is None else fits.when(cond, one)
-    return fits
+    return F.lit(None).cast("struct<verdict:string,rule:string>") if fits is None else fits
 
 
 def _grams(host: Column, path: Column) -> Column:

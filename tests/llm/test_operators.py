@@ -549,6 +549,32 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_parts_and_rules_against_sql(spark, duck, sf_dir):
+    """Host, path, rule and ruled verdict of every page."""
+    from conftest import same_rows
+
+    values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
+    sql = f"""with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+    s as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+    r(v, h, p) as (values {values}), f as (select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as verdict from s join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by 1)
+    select page_id, host, path, rule, verdict from s left join f using (page_id)"""
+    got = urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    same_rows(got.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict")), duck, sql)
+
+
+def test_url_model_on_held_out_urls(spark):
+    """Fitted on half of the URLs that the rules decide, the model alone judges the other half better than by the larger
+    class; how well depends on the number of URLs (README)."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").filter("url is not null")
+    half = pages.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(2)))
+    truth = urls.judge_urls(half).filter("rule is not null").select("page_id", (F.col("verdict") == "block").alias("blocked"))
+    known = half.filter("fold = 0").join(truth, "page_id").select("url", F.col("blocked").cast("int").alias("blocked"))
+    alone = urls.judge_urls(half.filter("fold = 1"), known, rules=()).join(truth, "page_id")
+    n, right, blocked = alone.agg(F.count("*"), F.count_if((F.col("verdict") == "block") == F.col("blocked")), F.count_if("blocked")).first()
+    print("held-out URLs", n, "right", right, "blocked", blocked)
+    assert n > 100 and n - right < 0.5 * min(blocked, n - blocked)
+
+
 # --- 7 toxicity ------------------------------------------------------------------------------------------------------
 
 
