@@ -35,6 +35,31 @@ def g2_frontier(spark, d):
     return G.graph_answers(_requests(spark, d), _calls(spark, d))[2]
 
 
+def _one_level(spark, d):
+    """Answers one call deep for each order, at most four calls and three nodes."""
+    o = V.table(spark, d, "orders").select("o_orderkey").distinct()
+    key = F.col("o_orderkey").cast("string")
+    return G.graph_answers(o.select(F.concat(F.lit("o"), key).alias("request_id"), F.concat(F.lit("order:"), key).alias("root_id"), F.lit(1).alias("depth"), F.lit(3).alias("max_nodes"), F.lit(4).alias("max_calls")), _calls(spark, d))
+
+
+_LEVEL = V.GRAPH + """, c as (select 'o' || o_orderkey as request_id, call_id, dst, ordinal, row_number() over (partition by src order by ordinal, call_id) - 1 as pos, count(*) over (partition by src) as n,
+  case when regexp_matches(dst, '^part:.*[05]$') then 'external' when regexp_matches(dst, '^part:.*7$') then 'ambiguous' else 'none' end as why from edges join (select distinct o_orderkey from orders) on src = 'order:' || o_orderkey)"""
+
+
+@query("with " + _LEVEL + """, f as (select *, row_number() over (partition by request_id, dst order by pos) = 1 as first from c where pos < 4),
+p as (select *, sum(case when first and why = 'none' then 1 else 0 end) over (partition by request_id order by pos) as seen from f), q as (select *, max(case when first then seen end) over (partition by request_id, dst) as place from p)
+select request_id, call_id, case when why <> 'none' then 'boundary' when place > 2 then 'boundary' when first then 'new' else 'seen' end as visit, case when why = 'none' and place > 2 then 'nodeLimit' else why end as reason from q""")
+def w9_first_discovery(spark, d):
+    """The first call that reaches a node discovers it, as long as the node budget lasts."""
+    return _one_level(spark, d)[1].select("request_id", "call_id", "visit", "reason")
+
+
+@query("with " + _LEVEL + " select request_id, ordinal as next_ordinal, n - 4 as omitted_calls from c where pos = 4")
+def w10_call_budget(spark, d):
+    """Where the call budget cut an answer, and how many calls it left out."""
+    return _one_level(spark, d)[2].filter("kind = 'callLimit'").select("request_id", "next_ordinal", "omitted_calls")
+
+
 _FOLLOW = V.GRAPH + """, f as (select src, dst from edges where not regexp_matches(dst, '^part:.*[057]$'))"""
 
 

@@ -268,6 +268,24 @@ def j23_anchor_audit(spark, d):
     return I.audit_anchors(anchors, now, ["path", "line_no"])
 
 
+@query("with " + _SID + """, h as (select path, coalesce(ln.name, '') as name, syntax_id, line_no, start, "end", sha256(line) as was, case when line_no % 7 = 0 then null when line_no % 10 = 0 then sha256(line || 'x') else sha256(line) end as now from sid join ln using (path, line_no)),
+a as (select *, list(was) over g as was_all, count(*) over (partition by path, name, was) as was_same from h window g as (partition by path, name order by start rows between unbounded preceding and unbounded following)),
+b as (select syntax_id, list(now) over g as now_all, count(*) over (partition by path, name, now) as now_same from h where now is not null window g as (partition by path, name order by start rows between unbounded preceding and unbounded following)),
+r as (select syntax_id, case when now is null then 'missing' when now <> was then 'headerMismatch' when (was_same > 1 or now_same > 1) and (was_all <> now_all or was_same <> now_same) then 'groupChanged' when was_same > 1 or now_same > 1 then 'unprovenContinuity' end as reason from a left join b using (syntax_id))
+select syntax_id, case when reason is null then 'attached' else 'orphaned' end as state, reason from r""")
+def i9_anchor_states(spark, d):
+    """Anchors of all lines, siblings being a document's lines of one name, against a revision without every seventh line
+    and with every tenth changed, where nothing proves that the others stayed."""
+    decls = I.with_syntax_id(_decls(spark, d)).withColumn("name", F.coalesce("name", F.lit(""))).withColumn("header_hash", F.sha2("line", 256))
+    now = decls.filter("line_no % 7 <> 0").withColumn("header_hash", F.when(F.col("line_no") % 10 == 0, F.sha2(F.concat("line", F.lit("x")), 256)).otherwise(F.col("header_hash")))
+    return I.audit_anchors(I.capture_anchors(decls, ["path", "name"]), now, ["path", "name"], "unknown")
+
+
+@query("select doc_id, sha256(encode('siftworks.test.v1') || '\\x00'::blob || encode(coalesce(text, ''))) as digest from documents")
+def i3_domain_digest(spark, d):
+    return V.documents(spark, d).select("doc_id", T.domain_digest("siftworks.test.v1", F.col("text")).alias("digest"))
+
+
 def _keyed_sql(rows: str, columns: str, name: str, buckets: int = 1024) -> str:
     """keyed_digest() of rows (k, columns), as a table expression."""
     return f"""{name} as (select k, sha256(string_agg(d, '' order by b)) as {name} from (select k, b, sha256(string_agg(h, '' order by h)) as d from (select *, ('0x' || h[1:8])::bigint % {buckets} as b from (select k, sha256(concat_ws(chr(31), {columns})) as h from ({rows}))) group by 1, 2) group by 1)"""
