@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chat_digests, chat_sql
+from .codes import codes_sql, vector_codes
 from .common import stored
 from .decontaminate import contaminated
 from .lines import drop_repeated_lines
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import judged, quality_sql
+from .repair import repair_sql, repaired_digests
 from .secrets import scan_secrets, secrets_sql
 from .substring import drop_repeated_windows
 from .tokens import flat_token_files, token_counts
@@ -75,11 +78,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(stored(flat_token_files(table(spark, sf_dir, "documents")), "flat"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of all conversations after the damage, and the cheapest edits that repair each."""
+    return repaired_digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's code of four codebook indexes, with its error."""
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as marked text with a loss mask, read back."""
+    return chat_digests(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_secret_scans, op2_substring_dedup, op3_benchmark_decontamination, op4_line_dedup, op5_best_fit_packing, op6_quality_rules, op7_toxicity, op8_url_filters, op9_minhash_near_dedup, op10_token_counts)
+    ops = (op1_secret_scans, op2_substring_dedup, op3_benchmark_decontamination, op4_line_dedup, op5_best_fit_packing, op6_quality_rules, op7_toxicity, op8_url_filters, op9_minhash_near_dedup, op10_token_counts, op11_conversation_repair, op12_vector_codes, op13_chat_formatting)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the whole result; tests/llm holds the others against brute force."""
-    return {"op1_secret_scans": secrets_sql(), "op6_quality_rules": quality_sql()}
+    return {"op1_secret_scans": secrets_sql(), "op6_quality_rules": quality_sql(), "op11_conversation_repair": repair_sql(), "op12_vector_codes": codes_sql(), "op13_chat_formatting": chat_sql()}
