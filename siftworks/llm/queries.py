@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .chat import chat_digests, chat_sql
 from .codes import codes_sql, vector_codes
-from .common import stored
 from .decontaminate import contaminated
 from .lines import drop_repeated_lines
 from .minhash import near_duplicates
@@ -18,7 +17,7 @@ from .quality import judged, quality_sql
 from .repair import repair_sql, repaired_digests
 from .secrets import scan_secrets, secrets_sql
 from .substring import drop_repeated_windows
-from .tokens import flat_token_files, token_counts
+from .tokens import document_tokens
 from .toxicity import score_toxicity
 from .urls import judge_urls
 
@@ -75,7 +74,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from flat token files of them that are written first."""
-    return token_counts(stored(flat_token_files(table(spark, sf_dir, "documents")), "flat"))
+    return document_tokens(table(spark, sf_dir, "documents"))
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -358,41 +358,54 @@ def test_bin_completion_finds_the_fewest(monkeypatch):
         assert packing.lower_bound(have, 20) <= sum(n for _, n in got) == fewest(sizes, 20)
 
 
-def test_token_counts(spark, docs, none, odd):
-    bpe = tokens.ByteBpe()
-    want = sorted(len(bpe.ids(r[1] or "")) for r in ROWS)
-    for size in (7, 100, 1 << 17):
-        got = tokens.token_counts(tokens.flat_token_files(docs, block_ids=size)).collect()
-        assert sorted(r.n_tokens for r in got) == want
-        for f in {r.file for r in got}:
-            own = sorted((r.document, r.start, r.n_tokens) for r in got if r.file == f)
-            assert [d for d, _, _ in own] == list(range(len(own)))
-            assert all(b[1] == a[1] + a[2] + 1 for a, b in zip(own, own[1:], strict=False))
-    assert tokens.token_counts(tokens.flat_token_files(none)).count() == 0
-    pack = lambda *x: np.array(x, "<u2").tobytes()
-    blocks = spark.createDataFrame([("f", 0, bytearray(pack(5, 6))), ("f", 1, bytearray(pack(7, tokens.END_ID))), ("f", 2, bytearray(pack(tokens.END_ID, 9))), ("g", 0, None), ("g", 1, bytearray(pack(1)))], "file string, block long, ids binary")
-    got = sorted((r.file, r.document, r.start, r.n_tokens) for r in tokens.token_counts(blocks).collect())
-    assert got == [("f", 0, 0, 3), ("f", 1, 4, 0), ("f", 2, 5, 1), ("g", 0, 0, 1)]
-
-
-def test_token_files_on_disk(spark, tmp_path):
-    ids = np.array([1, 2, tokens.END_ID, 3, tokens.END_ID, 4, 5, 6], "<u2")
-    (tmp_path / "a.bin").write_bytes(ids.tobytes())
-    (tmp_path / "empty.bin").write_bytes(b"")
-    raw = spark.read.format("binaryFile").load(str(tmp_path))
-    got = sorted((r.document, r.start, r.n_tokens) for r in tokens.token_counts(tokens.read_flat_files(raw, 3)).collect())
-    assert got == [(0, 0, 2), (1, 3, 1), (2, 5, 3)]
+def plain_counts(texts):
+    """With `tokenizers` alone, the special token's string taken as text."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+
+
+def test_document_tokens(spark, docs, none):
+    rows = [(r[0], r[1]) for r in ROWS] + [(900, "alpha<|endoftext|>beta gamma"), (901, "<|endoftext|>"), (None, "x y"), (900, "alpha<|endoftext|>beta gamma")]
+    want = sorted(zip([r[0] or 0 for r in rows], plain_counts([r[1] for r in rows]), strict=True))
+    assert plain_counts(["alpha<|endoftext|>beta gamma"])[0] > 5
+    for parts in (1, 4, 9):
+        df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, file string, document string").repartition(parts)
+        assert sorted((r.doc_id or 0, r.n_tokens) for r in tokens.document_tokens(df).collect()) == want
+    assert tokens.document_tokens(none).count() == 0
+
+
+@pytest.mark.parametrize("block_ids", [1, 3, 7, 1 << 17])
+def test_flat_files_by_byte_ranges(spark, tmp_path, block_ids):
+    """Files of any origin, in blocks that cut documents anywhere."""
+    rng, want = np.random.default_rng(block_ids), []
+    for f in range(6):
+        ids = np.where(rng.random(rng.integers(0, 60)) < 0.3, tokens.END_ID, 7).astype("<u2") if f else np.zeros(0, "<u2")
+        (tmp_path / f"{f}.bin").write_bytes(ids.tobytes())
+        ends = [*np.flatnonzero(ids == tokens.END_ID).tolist(), *([len(ids)] if len(ids) and ids[-1] != tokens.END_ID else [])]
+        want += [(f"{f}.bin", k, s, e - s) for k, (s, e) in enumerate(zip([0, *[e + 1 for e in ends]], ends, strict=False))]
+    files = tokens.flat_files(spark, str(tmp_path))
+    twice = files.unionByName(files).unionByName(spark.createDataFrame([(None, 4)], "file string, n_bytes long"))
+    got = sorted((r.file.rpartition("/")[2], r.document, r.start, r.n_tokens) for r in tokens.token_counts(twice, block_ids=block_ids).collect())
+    assert got == want
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole number"):
+        tokens.token_counts(tokens.flat_files(spark, str(tmp_path))).collect()
 
 
 def test_both_tokenizers_agree():
-    bpe = tokens.ByteBpe()
     rng = random.Random(6)
-    chars = "aB é\n\t  '’ß😀1٣漢\u00a0\u3000\u2028\u1680\r\x0b\x0c.,-_" + "\x1c\x85\u200b\ufeff"
-    for _ in range(400):
-        t = "".join(rng.choice(chars) for _ in range(rng.randrange(40)))
+    chars = "aB é\n\t  '’ß😀1٣漢 　  \r\x0b\x0c.,-_" + "\x1c\x85​﻿"
+    for plain in (False, True):
+        bpe = tokens.ByteBpe(plain=plain)
+        for _ in range(400):
+            t = "".join(rng.choice(chars) for _ in range(rng.randrange(40)))
+            assert bpe.ids(t).tolist() == bpe.exact.encode(t, add_special_tokens=False).ids
+        t = "a<|endoftext|>b"
         assert bpe.ids(t).tolist() == bpe.exact.encode(t, add_special_tokens=False).ids
-    t = "a<|endoftext|>b"
-    assert bpe.ids(t).tolist() == bpe.exact.encode(t, add_special_tokens=False).ids
+        assert (tokens.END_ID in bpe.ids(t)) != plain
 
 
 # --- 9 near-duplicates -----------------------------------------------------------------------------------------------
