@@ -92,11 +92,14 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(measures: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, rules: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
     """lang and a column for each rule: its strictest admitted cutoff, null if none is.
 
-    One row for each stratum. Only documents that the base rules keep are counted, once for each label row of quality 1.
+    One row for each stratum. A trial is a text that the base rules keep and that is labelled good: each once, however
+    often its rows or its labels repeat, as a copy is no further evidence. A doc_id that is labelled both good and poor
+    is no evidence at all, and neither is a null label. Near copies that differ in their text are trials of their own.
     """
     rules = rules or RULES
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    held = measures.filter("not base_failed").join(good, "doc_id")
+    settled = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("worst"), F.max("quality").alias("best"))
+    good = settled.filter("worst = 1 and best = 1").select("doc_id")
+    held = measures.filter("not base_failed").join(good, "doc_id").groupBy("lang", "h").agg(*[F.first(r).alias(r) for r in rules])
     tests = [(r, c, i) for r, cs in rules.items() for i, c in enumerate(cs)]
     counts = held.groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, c, i in tests])
     strata = counts.crossJoin(counts.agg(F.count("*").alias("strata")))  # one row
@@ -112,7 +115,8 @@ def cutoffs(measures: DataFrame, labels: DataFrame, alpha: float = 0.01, delta:
 
 
 def judged(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, rules: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
-    """doc_id, h, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept: a row for each of docs.
+    """doc_id, h, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the cutoff of each
+    rule in the document's stratum (max_*, null where none is proved): a row for each of docs.
 
     A null text counts as empty (no words, so base_failed). A null or missing lang is a stratum of its own. A null
     doc_id has no label. Repeated rows are judged alike, each once. Without labels every cutoff is open and only the
@@ -125,7 +129,7 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float
     over = F.lit(False)
     for r in rules:
         over = over | F.coalesce(F.col(r) > F.col(f"max_{r}"), F.lit(False))
-    return both.select("doc_id", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"))
+    return both.select("doc_id", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"), *[f"max_{r}" for r in rules])
 
 
 def _small(strata: DataFrame, most: int = 10_000) -> bool:
@@ -142,12 +146,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 QUALITY_SQL = """
 with d as (select doc_id, lang, coalesce(text, '') as text from documents),
+good as (select doc_id from labels where quality is not null and doc_id is not null group by 1 having min(quality) = 1 and max(quality) = 1),
 w as (select doc_id, lang, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as ws,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
 win as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w)),
 rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from win) where n > 1),
 cov as (select doc_id, sum(least(8, coalesce(nxt - i, 8)))::bigint as r from (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt from rep) group by 1),
-m as (select w.doc_id, lang, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
+m as (select w.doc_id, lang, sha256(text) as h, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
         coalesce(r, 0)::bigint as n_repeat_words, length(regexp_replace(text, '[^\\p{Lu}]', '', 'g'))::bigint as n_upper, len(ls)::bigint as n_lines
       from w left join cov using (doc_id)),
@@ -155,22 +160,24 @@ f as (select *, coalesce(n_symbols / nullif(word_chars, 0), 0.0) as symbol_share
         coalesce(n_dup_lines / nullif(n_lines, 0), 0.0) as dup_line_share, coalesce(n_repeat_words / nullif(n_words, 0), 0.0) as repeat_share,
         n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m),
 grid as (@GRID@),
-held as (select f.* from f join labels l on l.doc_id = f.doc_id and l.quality = 1 where not base_failed),
+held as (select distinct f.lang, f.h, symbol_share, upper_share, dup_line_share, repeat_share from f join good using (doc_id) where not base_failed),
 size as (select lang, count(*) as n, count(*) over () as strata from held group by lang),
 fails as (select h.lang, g.rule, g.pos, g.cut, count(*) filter (case g.rule when 'symbol_share' then symbol_share when 'upper_share' then upper_share when 'dup_line_share' then dup_line_share else repeat_share end > g.cut) as k
       from held h cross join grid g group by all),
-tail as (select lang, rule, pos, cut, case when k >= n * @P@ then 1.0 else
+tail as (select f.lang, rule, pos, cut, case when k >= n * @P@ then 1.0 else
         list_sum(list_transform(range(0, k + 1), lambda j: exp((case when n = 0 then 0 else lgamma(n + 1) end) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(@P@) + (n - j) * ln(1 - @P@)))) end <= @D@ / strata as ok
-      from fails join size using (lang)),
-best as (select lang, rule, min(cut) as cut from tail t where not exists (select 1 from tail u where u.lang = t.lang and u.rule = t.rule and u.pos <= t.pos and not u.ok) group by 1, 2)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      from fails f join size s on s.lang is not distinct from f.lang),
+best as (select lang, rule, min(cut) as cut from tail t where not exists (select 1 from tail u where u.lang is not distinct from t.lang and u.rule = t.rule and u.pos <= t.pos and not u.ok) group by 1, 2),
+wide as (select lang, @WIDE@ from best group by 1)
+select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not exists (select 1 from best b where b.lang is not distinct from f.lang and
-    case b.rule when 'symbol_share' then symbol_share when 'upper_share' then upper_share when 'dup_line_share' then dup_line_share else repeat_share end > b.cut) as kept
-from f
+    case b.rule when 'symbol_share' then symbol_share when 'upper_share' then upper_share when 'dup_line_share' then dup_line_share else repeat_share end > b.cut) as kept, @CUTS@
+from f left join wide on wide.lang is not distinct from f.lang
 """
 
 
 def quality_sql(alpha: float = 0.01, delta: float = 0.05) -> str:
     """judged() over the tables documents and labels, for DuckDB."""
     grid = " union all ".join(f"select '{r}' as rule, {i} as pos, {c!r}::double as cut" for r, cs in RULES.items() for i, c in enumerate(cs))
-    return QUALITY_SQL.replace("@GRID@", grid).replace("@P@", f"{alpha / len(RULES)!r}::double").replace("@D@", f"{delta / len(RULES)!r}::double")
+    wide, cuts = ", ".join(f"max(cut) filter (rule = '{r}') as max_{r}" for r in RULES), ", ".join(f"max_{r}" for r in RULES)
+    return QUALITY_SQL.replace("@WIDE@", wide).replace("@CUTS@", cuts).replace("@GRID@", grid).replace("@P@", f"{alpha / len(RULES)!r}::double").replace("@D@", f"{delta / len(RULES)!r}::double")

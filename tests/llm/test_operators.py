@@ -541,6 +541,26 @@ def test_quality(spark, docs, none, odd, duck, sf_dir):
     assert quality.keep_good(docs, nothing).columns == docs.columns
 
 
+def test_repeated_labels_are_no_evidence(spark, duck, sf_dir):
+    import duckdb
+    from conftest import same_rows
+
+    docs = [(i, f"unlike {i} " + " ".join(f"w{j}" for j in range(25)), "en" if i % 2 else None, "s", 0) for i in range(5000)]
+    few = [(i, 1, 0) for i in range(40)]
+    for labels, proved in ((few, False), (few * 100, False), ([(i, 1, 0) for i in range(5000)], True), ([(i, q, 0) for i in range(5000) for q in ((0, 1) if i > 60 else (1, 1))], False)):
+        d, l = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")  # noqa: E741
+        df = quality.judged(d, l).drop("h")
+        assert {(r.max_symbol_share, r.max_repeat_share) for r in df.select("max_symbol_share", "max_repeat_share").distinct().collect()} == ({(0.05, 0.14)} if proved else {(None, None)})
+        con = duckdb.connect()
+        tables = {"documents": d.toArrow(), "labels": l.toArrow()}
+        for name, t in tables.items():
+            con.register(name, t)
+        same_rows(df, con, quality.quality_sql())
+    # copies of one text under other ids are one trial
+    copies = [(i, docs[0][1], "en", "s", 0) for i in range(5000)]
+    assert quality.judged(frame(spark, copies), l.limit(0).union(spark.createDataFrame([(i, 1, 0) for i in range(5000)], l.schema))).filter("max_symbol_share is not null").count() == 0
+
+
 def test_binomial_bound(spark):
     from math import comb
 
