@@ -201,15 +201,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, **options) -> DataFrame:
     """The rows of docs whose document near_duplicates() keeps, with all their columns: of each group one document,
     the one of smallest doc_id. Rows that share a doc_id are one document and stay or go together, but of rows that
-    repeat both doc_id and text one stays. Rows with a null doc_id and texts without words stay."""
+    repeat both doc_id and text one stays, the first by its columns as JSON. Rows with a null doc_id and texts without
+    words stay."""
     gone = near_duplicates(docs, words, percent, **options).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
     left = boxed(docs).join(gone, F.col("row.doc_id").cast("long") == F.col("id"), "left_anti")
-    key = F.when(F.col("row.doc_id").isNotNull() & (F.trim(F.coalesce("row.text", F.lit(""))) != ""), F.struct(F.col("row.doc_id").cast("long").alias("d"), F.xxhash64("row.text").alias("h")))
+    key = F.when(F.col("row.doc_id").isNotNull() & F.coalesce("row.text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.struct(F.col("row.doc_id").cast("long").alias("d"), F.xxhash64("row.text").alias("h")))
     several = left.groupBy(key.alias("k")).agg(F.count("*").alias("n")).filter("k is not null and n > 1").select("k")
     if not several.limit(1).count():
         return left.select("row.*")
     tagged = left.withColumn("key", key)
-    one = tagged.join(several, F.col("key") == F.col("k"), "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row")
+    one = tagged.join(several, F.col("key") == F.col("k"), "left_semi").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
     return tagged.join(several, F.col("key") == F.col("k"), "left_anti").select("row").unionByName(one).select("row.*")
 
 

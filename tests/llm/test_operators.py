@@ -463,6 +463,14 @@ def test_near_duplicates_odd(none, odd):
     assert got == [(0, None, True), (1, 1, True), (1, 1, True), (2, 2, True)]
 
 
+def test_near_dedup_of_repeated_rows(spark):
+    rows = [(1, "\n\t", "b"), (1, "\n\t", "a"), (2, "some words", "z"), (2, "some words", "c"), (None, "x", "a"), (None, "x", "a")]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string, extra string").repartition(parts)
+        got = sorted((r.doc_id or 0, r.text, r.extra) for r in minhash.without_near_duplicates(df).collect())
+        assert got == [(0, "x", "a"), (0, "x", "a"), (1, "\n\t", "a"), (1, "\n\t", "b"), (2, "some words", "c")]
+
+
 # --- 1 secrets, 6 quality, 8 URLs ------------------------------------------------------------------------------------
 
 
