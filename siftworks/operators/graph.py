@@ -155,6 +155,23 @@ def distances(seeds: DataFrame, edges: DataFrame, most: int | None = None, allow
     return found
 
 
+def distances_by_kind(seeds: DataFrame, calls: DataFrame, callbacks: DataFrame, most: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """id, kind, distance: as distances() over calls and callback arguments, by how a node is reached: `called` over calls
+    alone, `referenced` over paths with at least one callback argument, which is a reference and no executed call. A
+    node may be both, with a distance each. calls: src, dst, resolution (only internal ones lead on); callbacks: src, dst.
+
+    It is one fixpoint over pairs of node and kind, in which a callback argument leads from either kind to referenced."""
+    if allowed is not None:
+        ok = allowed.select(F.col("id").alias("dst"))
+        calls, callbacks = calls.join(ok, "dst", "left_semi"), callbacks.join(ok, "dst", "left_semi")
+    at = lambda c, kind: F.struct(F.col(c).alias("id"), F.lit(kind).alias("kind"))
+    step = lambda df, a, b: df.select(at("src", a).alias("src"), at("dst", b).alias("dst"))
+    inner = calls.filter("resolution = 'internal'")
+    both = step(inner, "called", "called").unionByName(step(inner, "referenced", "referenced")).unionByName(step(callbacks, "called", "referenced")).unionByName(step(callbacks, "referenced", "referenced"))
+    found = distances(seeds.select(at("id", "called").alias("id")), both, most)
+    return found.select("id.id", "id.kind", "distance")
+
+
 def closure(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """seed, id, distance of all nodes that each seed reaches, itself at 0; each level drops what the seed has. Up to
     `most` edges if given, else until no step finds a node."""

@@ -42,9 +42,44 @@ def qualification(outcomes: DataFrame, keys: list[str], correct: Column, floor:
 
 
 def latency_summary(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Nearest-rank median, p95 and p99, and the count."""
-    rank = lambda q: F.expr(f"percentile_disc({q}) within group (order by {value})")
-    return samples.groupBy(*keys).agg(F.count(value).alias("n"), rank(0.5).alias("median"), rank(0.95).alias("p95"), rank(0.99).alias("p99"))
+    """Nearest-rank median, p95 and p99, and the count of values; null where a key has none."""
+    places = {"median": 50, "p95": 95, "p99": 99}
+    counts = samples.groupBy(*keys).agg(F.count(value).alias("n"))
+    found = exact_percentiles(samples.filter(F.col(value).isNotNull()), keys, value, list(places.values()))
+    wide = found.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*[F.max(F.when(F.col("percent") == p, F.col("value"))).alias(c) for c, p in places.items()])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return counts.join(wide, same, "left").select(*keys, "n", *places)
+
+
+def located(ranged: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _p, _before, _here, _all: of each range of a key how many of its rows are in earlier ranges, in this one, and
+    in all; a row for each range."""
+    per = ranged.groupBy(*keys, "_p").agg(F.count("*").alias("_here"))
+    w = Window.partitionBy(*keys)
+    before = F.sum("_here").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    return per.withColumns({"_before": F.coalesce(before, F.lit(0).cast("long")), "_all": F.sum("_here").over(w)})
+
+
+def _in_ranges(ranged: DataFrame, hits: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows of the ranges in hits, with the columns of hits."""
+    named = hits.select(F.col("_p").alias("_hp"), *[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], *[c for c in hits.columns if c not in (*keys, "_p")])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)], F.col("_p") == F.col("_hp"))
+    joined = ranged.join(named, same, how)
+    return joined if how == "left_semi" else joined.drop("_hp", *[f"_h{i}" for i in range(len(keys))])
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, percents: list[int], parts: int | None = None) -> DataFrame:
+    """keys, percent, value: the value of nearest rank, the least that at least `percent` of 100 of a key's rows reach.
+
+    Values are dealt out in sorted ranges. The ranges' sizes tell which of them holds a rank, and only those are sorted
+    and numbered, each by itself, so no task holds a key's rows, and of a hot key a few ranges are read again."""
+    ranged = ranges(df.select(*keys, value), keys, [value], parts)
+    ranks = F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.greatest(F.floor((F.col("_all") * p + 99) / 100), F.lit(1)).alias("rank")) for p in percents]))
+    hits = located(ranged, keys).select(*keys, "_p", "_before", "_here", ranks.alias("_r")).filter("_r.rank > _before and _r.rank <= _before + _here")
+    hits = stored(hits.select(*keys, "_p", F.col("_r.percent").alias("percent"), (F.col("_r.rank") - F.col("_before")).alias("_local")), "percentile-ranges")
+    rows = _in_ranges(ranged, hits.select(*keys, "_p").distinct(), keys, "left_semi")
+    placed = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(value)))
+    return _in_ranges(placed, hits, keys).filter("_n = _local").select(*keys, "percent", F.col(value).alias("value"))
 
 
 #: Metric kinds and by how much they may change: positive for at most, negative for at least.
@@ -165,13 +200,18 @@ def aliases(df: DataFrame, keys: list[str], order: list[Column | str], prefix: s
 
 
 def page(df: DataFrame, keys: list[str], order: list[str], offset: int, limit: int) -> DataFrame:
-    """Rows offset .. offset + limit - 1 of each key in order, with next_offset where more rows exist."""
+    """Rows offset .. offset + limit - 1 of each key in order, with next_offset where more rows exist.
+
+    Rows are dealt out in sorted ranges, whose sizes tell which of them a page overlaps; only those are numbered, so
+    an offset deep in a key of very many rows reads its own ranges and no task holds the key."""
     if not 1 <= limit <= 200 or offset < 0:
         raise ValueError("limit must be from 1 to 200, offset not negative")
-    w = Window.partitionBy(*keys)
-    one = df.withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
-    more = F.when(F.col("_n") > offset + limit, F.lit(offset + limit).cast("long"))
-    return one.filter((F.col("_r") > offset) & (F.col("_r") <= offset + limit)).withColumn("next_offset", more).drop("_r", "_n")
+    ranged = ranges(df, keys, order)
+    hits = located(ranged, keys).filter((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_here") > offset)).drop("_here")
+    one = _in_ranges(ranged, stored(hits, "page-ranges"), keys)
+    placed = one.withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order)))
+    more = F.when(F.col("_all") > offset + limit, F.lit(offset + limit).cast("long"))
+    return placed.filter((F.col("_r") > offset) & (F.col("_r") <= offset + limit)).withColumn("next_offset", more).drop("_r", "_p", "_before", "_all")
 
 
 def limited(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

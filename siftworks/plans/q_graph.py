@@ -109,6 +109,18 @@ def g4_distances(spark, d):
     return G.distances(seeds.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id")), V.edges(spark, d))
 
 
+@query("with recursive " + V.GRAPH + """, e as (select src, dst, src like 'part:%' as callback from edges where not (dst like 'supplier:%' and ends_with(dst, '3')) and (src not like 'order:%' or ordinal <> 2)),
+reach as (select 'customer:' || c_custkey as id, 'called' as kind, 0 as distance from customer where c_mktsegment = 'BUILDING' union select dst, case when callback then 'referenced' else kind end, distance + 1 from reach join e on src = id) select id, kind, min(distance) as distance from reach group by 1, 2""")
+def g4_distances_by_kind(spark, d):
+    """A part's suppliers as its callback arguments, suppliers whose id ends in 3 aren't allowed, and the second lines of
+    orders aren't internal."""
+    seeds = V.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
+    e = V.edges(spark, d)
+    calls = e.filter("src not like 'part:%'").withColumn("resolution", F.when(F.col("src").startswith("order:") & (F.col("ordinal") == 2), "external").otherwise("internal"))
+    allowed = V.nodes(spark, d).filter("not (id like 'supplier:%3')").select("id")
+    return G.distances_by_kind(seeds, calls, e.filter("src like 'part:%'"), allowed=allowed)
+
+
 _HIER = "rel as (select 'supplier:' || s_suppkey as s, 'nation:' || s_nationkey as t from supplier union all select 'nation:' || n_nationkey, 'region:' || n_regionkey from nation)"
 
 

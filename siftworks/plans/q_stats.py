@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftworks.functions import text as T
 from siftworks.operators import changes as C
 from siftworks.operators import stats as S
+from siftworks.operators.segments import segment_lines, segment_words
 from siftworks.plans import views as V
 from siftworks.plans.q_relate import _COV, _coverage, _diff
 from siftworks.plans.registry import query
@@ -267,3 +269,32 @@ def w3_running_giant(spark, d):
 def f14_wilson(spark, d):
     o = V.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("k"))
     return o.select("o_custkey", F.round(T.wilson_lower(F.col("k"), F.col("n")), 6).alias("lower"))
+
+
+_NEW_LINES = """case when doc_id % 6 = 3 then old_lines || ['extra line of words'] else [case when doc_id % 6 = 1 and i = 2 then l || ' grown body é' when doc_id % 6 = 2 and i = 2 then 'x' || l when doc_id % 6 = 4 and i in (1, 2) then l || ' more' when doc_id % 6 = 5 and i = 3 then '' else l end for l, i in old_lines] end"""
+
+
+@query("with " + V.DOCS + f""", l as (select path, doc_id, string_split(text, chr(10)) as old_lines from docs), e as (select path, old_lines, {_NEW_LINES} as new_lines from l),
+d as (select path, len(old_lines) = len(new_lines) as same_length, [i for i in range(1, len(old_lines) + 1) if old_lines[i] <> new_lines[i]] as diff, old_lines, new_lines from e where array_to_string(old_lines, chr(10)) <> array_to_string(new_lines, chr(10)))
+select path, same_length and len(diff) = 1 and nullif(string_split(old_lines[diff[1]], ' ')[1], '') is not null and string_split(old_lines[diff[1]], ' ')[1] = string_split(new_lines[diff[1]], ' ')[1] as proved,
+case when same_length and len(diff) = 1 and nullif(string_split(old_lines[diff[1]], ' ')[1], '') is not null and string_split(old_lines[diff[1]], ' ')[1] = string_split(new_lines[diff[1]], ' ')[1] then strlen(new_lines[diff[1]]) - strlen(old_lines[diff[1]]) end::bigint as growth from d""")
+def c2_body_only(spark, d):
+    """Each document and an edited one: a line is a declaration of its first word, the rest of it its body."""
+    docs = V.documents(spark, d)
+
+    def edited(l, i):  # noqa: E741
+        k = F.col("doc_id") % 6
+        return F.when((k == 1) & (i == 1), F.concat(l, F.lit(" grown body é"))).when((k == 2) & (i == 1), F.concat(F.lit("x"), l)).when((k == 4) & (i < 2), F.concat(l, F.lit(" more"))).when((k == 5) & (i == 2), "").otherwise(l)
+
+    lines = F.split("text", "\n")
+    new = docs.withColumn("text", F.array_join(F.when(F.col("doc_id") % 6 == 3, F.concat(lines, F.array(F.lit("extra line of words")))).otherwise(F.transform(lines, edited)), "\n"))
+
+    def facts(frame):
+        segments = segment_lines(frame)
+        named = segments.filter("name is not null").withColumn("n", F.row_number().over(Window.partitionBy("path", "name").orderBy("line_no")))
+        decls = named.select("path", F.concat_ws("#", "name", F.col("n").cast("string")).alias("key"), F.lit("function").alias("kind"), F.col("name").alias("header"), "start", "end", (F.col("start") + F.octet_length("name")).alias("body_start"), F.col("end").alias("body_end"))
+        words = segment_words(segments).select("path", F.col("word").alias("fact"), "start", "end")
+        return frame.select("path", "language", F.encode("text", "UTF-8").alias("bytes")), decls, words
+
+    (d0, n0, f0), (d1, n1, f1) = facts(docs), facts(new)
+    return C.body_only(d0, d1, n0, n1, f0, f1).select("path", "proved", F.col("growth").cast("long").alias("growth"))

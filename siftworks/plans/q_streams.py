@@ -170,12 +170,67 @@ def r1_batch_signals(spark, d):
     return R.batch_signals(R.relevant_signals(_signals(spark, d)), 3_600_000, 10**15)
 
 
-@query()
+_EVENTS = """e0 as (select (user_id % 20)::varchar as s, floor(epoch_us(ts) / 1000)::bigint as t, event_id::varchar as p, case when event_id % 17 = 0 then 'urgent' when event_id % 11 = 0 then 'create' when event_id % 5 = 0 then 'access' else 'modify' end as k from events where user_id is not null and ts is not null),
+e as (select *, row_number() over (partition by s order by t, k, p) as pos, lag(t) over (partition by s order by t, k, p) as prior from e0 where k <> 'access')"""
+#: Batches with a longest wait, walked from one to the next.
+_WAITED = _EVENTS + """, firsts as (select s, t, min(pos) as pos from e group by 1, 2), later as (select e.s, e.pos, min(f.pos) as nxt from e join firsts f on e.s = f.s and f.t >= e.t + 7200000 group by 1, 2),
+ends as (select s, pos, min(case when k = 'urgent' then pos + 1 end) over (partition by s order by pos rows between current row and unbounded following) as u, min(case when t >= prior + 3600000 then pos end) over (partition by s order by pos rows between 1 following and unbounded following) as g from e),
+nx as (select s, pos, least(nxt, u, g) as nxt from ends left join later using (s, pos)), walk as (select s, 1::bigint as pos, 0::bigint as generation from e group by 1 union all select w.s, nx.nxt, generation + 1 from walk w join nx using (s, pos) join e on e.s = w.s and e.pos = nx.nxt),
+begun as (select *, lead(pos) over (partition by s order by pos) as stop from walk), batched as (select e.*, w.generation from e join begun w on e.s = w.s and e.pos >= w.pos and (w.stop is null or e.pos < w.stop)),
+b as (select s as source_set_id, generation, min(t) as opened_ms, case when bool_or(k = 'urgent') then max(t) else least(max(t) + 3600000, min(t) + 7200000) end as closed_ms, count(*) as signals, count(distinct p) as paths, bool_or(k = 'create') or count(distinct p) > 256 as "full" from batched group by 1, 2)"""
+
+
+@query("with recursive " + _WAITED + " select * from b")
 def r2_batches_with_wait(spark, d):
     return R.batch_signals(R.relevant_signals(_signals(spark, d)), 3_600_000, 7_200_000)
 
 
-@query()
+@query("with recursive " + _WAITED + " select source_set_id, generation, (select max(t) from e where e.s = b.source_set_id) <= closed_ms as cleared from b")
 def r3_acknowledge(spark, d):
     s = R.relevant_signals(_signals(spark, d))
     return R.acknowledge(R.batch_signals(s, 3_600_000, 7_200_000), s)
+
+
+def _streamed(spark, stream, name: str):
+    """The rows of a stream over what is there, from a table that it writes."""
+    out = f"{tables.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    R.replay(spark, stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint"))
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+@query("with recursive " + _WAITED + " select * from b")
+def r1_batch_signal_stream(spark, d):
+    """The same batches from a stream with processing-time timers."""
+    folder = f"{tables.shared_dir(spark)}/signals-{uuid.uuid4().hex}"
+    s = R.relevant_signals(_signals(spark, d)).select("source_set_id", F.timestamp_millis("at_ms").alias("received_at"), "event_kind", "path")
+    s.write.parquet(folder)
+    return _streamed(spark, R.batch_signal_stream(spark.readStream.schema(s.schema).parquet(folder), 3_600_000, 7_200_000), "batches")
+
+
+_SUPERSEDED = "r as (select o_custkey || '/' || o_orderkey as revision_id, epoch_ms(lead(o_orderdate::timestamp) over (partition by o_custkey order by o_orderdate, o_orderkey)) as ms from orders)"
+
+
+@query("with " + _SUPERSEDED + " select revision_id, ms as superseded_ms, ms + 900000 as due_ms from r where ms is not null")
+def r5_release_stream(spark, d):
+    """Each order of a customer is a revision that the next one supersedes; all but the heads are released."""
+    o = V.table(spark, d, "orders")
+    lead = F.lead(F.col("o_orderdate").cast("timestamp")).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    r = o.select(F.concat_ws("/", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("revision_id"), lead.alias("superseded_at"))
+    folder = f"{tables.shared_dir(spark)}/superseded-{uuid.uuid4().hex}"
+    r.write.parquet(folder)
+    return _streamed(spark, R.release_stream(spark.readStream.schema(r.schema).parquet(folder)), "released")
+
+
+@query("with " + V.REVISIONS + " select path, hash as version_id from revs where revision = 1997")
+def r6_incremental_publish(spark, d):
+    """A micro-batch of changed paths for each year, after a first one of all: the last revision is the year's own."""
+    root = f"{tables.shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    revs, years = tables.stored(V.revisions(spark, d).filter("revision between 1995 and 1997"), "revisions"), (1995, 1996, 1997)
+    of = lambda y: revs.filter(F.col("revision") == y).select("path", "language", "hash")
+    for before, year in zip((None, *years), years, strict=False):
+        diff = of(year).select("path") if before is None else relate.diff_revisions(of(before), of(year)).filter("change <> 'unchanged'").select("path")
+        diff.withColumn("full", F.lit(False)).coalesce(1).write.mode("append").parquet(f"{root}/signals")
+    stream = spark.readStream.schema("path string, full boolean").option("maxFilesPerTrigger", 1).parquet(f"{root}/signals")
+    derive = lambda docs: docs.select("path", F.col("hash").alias("version_id"), "language")
+    R.replay(spark, R.apply_changes(stream, lambda batch: of(years[batch]), derive, f"{root}/out", f"{root}/checkpoint"))
+    return tables.at_pin(spark, f"{root}/out", f"batch-{len(years) - 1:012d}").select("path", "version_id")

@@ -41,54 +41,76 @@ class ExpiredPin(RuntimeError):
     """The pinned revision isn't published any more, or never was."""
 
 
-def _heads(spark: SparkSession, out: str) -> list:
-    """(seq, revision_id, before, attempt) of all head files, in order: a row for each publication."""
-    try:
-        rows = spark.read.schema("seq long, revision_id string, before string, attempt string").json(f"{out}/head").filter("seq is not null").collect()
-    except Exception as e:  # noqa: BLE001  the folder isn't there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+HEAD = "seq long, revision_id string, before string, attempt string"
+
+
+def _files(spark: SparkSession, path: str):
+    """The file context of a path, and the path; for what Spark's readers and writers can't do."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.getFileSystem(conf).getUri(), conf), place
+
+
+def _numbers(spark: SparkSession, out: str) -> list[int]:
+    """The numbers of all head files, read or not, falling."""
+    files, place = _files(spark, f"{out}/head")
+    if not files.util().exists(place):
         return []
-    return sorted(rows, key=lambda r: r["seq"])
+    names = [f.getPath().getName() for f in files.util().listStatus(place)]
+    return sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
+
+
+def _last(spark: SparkSession, out: str, numbers: list[int]):
+    """The newest head that can be read: one row, or None. One that is empty is what a writer left that was lost."""
+    for n in numbers:
+        rows = spark.read.schema(HEAD).json(f"{out}/head/{n:012d}.json").filter("seq is not null and revision_id is not null").collect()
+        if rows:
+            return rows[0]
+    return None
 
 
 def head(spark: SparkSession, out: str) -> str | None:
     """The published revision, from the last head file; None before the first publication."""
-    rows = _heads(spark, out)
-    return rows[-1]["revision_id"] if rows else None
+    row = _last(spark, out, _numbers(spark, out))
+    return row["revision_id"] if row else None
 
 
 def _create(spark: SparkSession, path: str, text: str) -> None:
-    """A new file; fails if there is one, so that of two writers one loses."""
+    """A new file with its whole content, or StaleHead if there is one: it is written under a name of its own and then
+    renamed without overwriting, so that of two writers one loses and a lost one leaves no half-written head."""
+    folder, _, name = path.rpartition("/")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(draft := f"{folder}/_draft-{uuid.uuid4().hex}")
+    files, place = _files(spark, draft)
+    part = next(f.getPath() for f in files.util().listStatus(place) if f.getPath().getName().startswith("part-"))
     jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    never = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
     try:
-        stream = files.create(place, False)
+        files.rename(part, jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), never)
     except Exception as e:  # noqa: BLE001  the JVM's exception is wrapped
         if "FileAlreadyExists" in str(e) or "already exists" in str(e):
             raise StaleHead(path) from e
         raise
-    stream.write(bytearray(text.encode()))
-    stream.close()
+    files.delete(place, True)
 
 
 def _publish(spark: SparkSession, versions: DataFrame | None, manifest: DataFrame, out: str, revision_id: str, expected_head: str | None) -> None:
-    heads = _heads(spark, out)
-    now = heads[-1]["revision_id"] if heads else None
-    if now == revision_id and heads[-1]["before"] == expected_head:
+    numbers = _numbers(spark, out)
+    last = _last(spark, out, numbers)
+    now = last["revision_id"] if last else None
+    if now == revision_id and last["before"] == expected_head:
         return  # a retry of what was published after all
     if now != expected_head:
         raise StaleHead(f"the head of {out} isn't {expected_head}")
     if versions is not None:
         new = versions.dropDuplicates(["version_id"])
-        if heads:
+        if last:
             new = new.join(spark.read.parquet(f"{out}/versions").select("version_id"), "version_id", "left_anti")
         new.write.mode("append").parquet(f"{out}/versions")
     # what a lost or broken attempt leaves behind is under another attempt, which no head names
     attempt = uuid.uuid4().hex
     manifest.withColumns({"revision_id": F.lit(revision_id), "attempt": F.lit(attempt)}).write.mode("append").partitionBy("revision_id", "attempt").parquet(f"{out}/manifest")
-    seq = heads[-1]["seq"] + 1 if heads else 0
+    seq = numbers[0] + 1 if numbers else 0
     _create(spark, f"{out}/head/{seq:012d}.json", json.dumps({"seq": seq, "revision_id": revision_id, "before": expected_head, "attempt": attempt}))
 
 
@@ -96,8 +118,10 @@ def publish(versions: DataFrame, manifest: DataFrame, out: str, revision_id: str
     """Append new versions (version_id, ...) and the manifest of a revision (path, version_id), and then move the head.
 
     Readers go from the head to the manifest to the versions, so they see the old revision or the new one whole. The
-    head must be expected_head, and the new head is a file that only one writer can create; otherwise StaleHead is
-    raised and nothing is published. Versions that are stored already are not written again. A publication may be
+    head must be expected_head, and the new head is a file that appears whole and that only one writer can name; else
+    StaleHead is raised and nothing is published. (The file system must refuse to rename onto a file that exists, in one
+    step where writers race; the local one checks first.) A head file that can't be read counts as absent, and its
+    number isn't used again. Versions that are stored already are not written again. A publication may be
     tried again after any failure: if it had gone through, nothing happens.
     """
     _publish(versions.sparkSession, versions, manifest, out, revision_id, expected_head)
@@ -105,28 +129,38 @@ def publish(versions: DataFrame, manifest: DataFrame, out: str, revision_id: str
 
 def publish_unchanged(spark: SparkSession, out: str, revision_id: str, expected_head: str) -> None:
     """A new revision of the same versions: a manifest and a head, and no version rows."""
-    if expected_head not in {r["revision_id"] for r in _heads(spark, out)}:
+    if _attempt(spark, out, expected_head) is None:
         raise StaleHead(f"{expected_head} was never published to {out}")
-    _publish(spark, None, _manifest(spark, out, expected_head), out, revision_id, expected_head)
+    _publish(spark, None, manifest_of(spark, out, expected_head), out, revision_id, expected_head)
+
+
+def _attempt(spark: SparkSession, out: str, revision_id: str) -> str | None:
+    """The attempt by which a revision was published last."""
+    if not _numbers(spark, out):
+        return None
+    found = spark.read.schema(HEAD).json(f"{out}/head").filter(F.col("revision_id") == revision_id).agg(F.max_by("attempt", "seq").alias("a"))
+    return found.collect()[0]["a"]
 
 
-def _manifest(spark: SparkSession, out: str, revision_id: str) -> DataFrame:
+def manifest_of(spark: SparkSession, out: str, revision_id: str) -> DataFrame:
     """path, version_id of a published revision; ExpiredPin if it isn't one."""
-    attempts = [r["attempt"] for r in _heads(spark, out) if r["revision_id"] == revision_id]
-    if not attempts:
+    attempt = _attempt(spark, out, revision_id)
+    if attempt is None:
         raise ExpiredPin(revision_id)
-    m = spark.read.parquet(f"{out}/manifest").filter((F.col("revision_id") == revision_id) & (F.col("attempt") == attempts[-1]))
+    m = spark.read.parquet(f"{out}/manifest").filter((F.col("revision_id") == revision_id) & (F.col("attempt") == attempt))
     return m.drop("revision_id", "attempt")
 
 
 def at_pin(spark: SparkSession, out: str, revision_id: str) -> DataFrame:
     """Versions of one revision, by its manifest partition alone; ExpiredPin if it isn't there. Versions that two writers
     stored at the same time count once."""
-    return spark.read.parquet(f"{out}/versions").dropDuplicates(["version_id"]).join(_manifest(spark, out, revision_id), "version_id")
+    manifest = manifest_of(spark, out, revision_id)
+    wanted = spark.read.parquet(f"{out}/versions").join(manifest.select("version_id").distinct(), "version_id", "left_semi")
+    return wanted.dropDuplicates(["version_id"]).join(manifest, "version_id")
 
 
 def release(spark: SparkSession, out: str, keep: list[str]) -> DataFrame:
     """Versions that no kept revision names: what may be removed."""
-    kept = [_manifest(spark, out, r).select("version_id") for r in keep]
+    kept = [manifest_of(spark, out, r).select("version_id") for r in keep]
     versions = spark.read.parquet(f"{out}/versions").select("version_id").distinct()
     return versions.join(reduce(DataFrame.union, kept).distinct(), "version_id", "left_anti") if kept else versions

@@ -2,6 +2,8 @@
 
 import datetime
 import random
+import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,17 +71,152 @@ def test_signal_batches_and_stream(spark, tmp_path):
     got = S.batch_signals(spark.createDataFrame(flat, "source_set_id string, at_ms long, event_kind string, path string")).collect()
     for s, rs in rows.items():
         assert sorted((r.generation, r.opened_ms, r.closed_ms, r.signals) for r in got if r.source_set_id == s) == loop(rs, 75, 250)
-    # the same from a stream of files in order of time, closed by a last signal far later
+    # the same from a stream, which closes what was due long ago without another signal
     timed = [(s, datetime.datetime.fromtimestamp(t / 1000, datetime.UTC).replace(tzinfo=None), k, p) for s, t, k, p in flat]
-    timed += [(s, datetime.datetime(2030, 1, 1), "modify", "end") for s in rows]
     schema = "source_set_id string, received_at timestamp, event_kind string, path string"
     spark.createDataFrame(timed, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = S.batch_signal_stream(stream).writeStream.format("memory").queryName("signal_batches").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    closed = spark.sql("select * from signal_batches").collect()
+    closed = streamed(spark, S.batch_signal_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), tmp_path / "cp")
     for s, rs in rows.items():
-        assert sorted((r.generation, r.opened_ms, r.closed_ms, r.signals) for r in closed if r.source_set_id == s and r.opened_ms < 1_800_000_000_000) == loop(rs, 75, 250)
+        assert sorted((r.generation, r.opened_ms, r.closed_ms, r.signals) for r in closed if r.source_set_id == s) == loop(rs, 75, 250)
+
+
+def streamed(spark, df, checkpoint, **trigger):
+    """The rows of a stream over what is there; with a trigger the running query and a function for its rows so far."""
+    name = f"t{uuid.uuid4().hex}"
+    writer = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(checkpoint))
+    if trigger:
+        return writer.trigger(**trigger).start(), lambda: spark.sql(f"select * from {name}").collect()
+    S.replay(spark, writer)
+    return spark.sql(f"select * from {name}").collect()
+
+
+def until(rows, n, seconds=90):
+    end = time.time() + seconds
+    while len(rows()) < n and time.time() < end:
+        time.sleep(0.3)
+    return rows()
+
+
+def one_file_each(spark, rows, schema, folder):
+    """A file for each row, to be read in this order."""
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").json(str(folder))
+        time.sleep(0.05)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+
+
+def test_late_signals_are_in_a_batch(spark, tmp_path):
+    """Arrivals at 100, 200 and 50 seconds, one in each micro-batch, and two that share a time."""
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [("s", at(100), "modify", "a"), ("s", at(200), "modify", "b"), ("s", at(50), "create", "c"), ("s", at(50), "modify", "d")]
+    stream = one_file_each(spark, rows, "source_set_id string, received_at timestamp, event_kind string, path string", tmp_path / "in")
+    got = streamed(spark, S.batch_signal_stream(stream), tmp_path / "cp")
+    assert sum(r.signals for r in got) == 4 and sorted(r.generation for r in got) == list(range(len(got)))
+    assert any(r.full for r in got) and [r.opened_ms for r in sorted(got, key=lambda r: r.generation)] == sorted(r.opened_ms for r in got)
+
+
+def test_open_batch_closes_by_the_clock(spark, tmp_path):
+    """A signal of now, with a gap of thirty seconds: its batch comes out when they are over, though nothing follows."""
+    schema = "source_set_id string, received_at timestamp, event_kind string, path string"
+    now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+    stream = one_file_each(spark, [("s", now, "modify", "a"), ("s", now, "modify", "b")], schema, tmp_path / "in")
+    q, rows = streamed(spark, S.batch_signal_stream(stream, 30_000, 60_000), tmp_path / "cp", processingTime="0 seconds")
+    try:
+        assert [(r.signals, r.paths, r.closed_ms - r.opened_ms) for r in until(rows, 1)] == [(2, 2, 30_000)]
+    finally:
+        q.stop()
+
+
+def test_release_by_the_clock(spark, tmp_path):
+    """A revision superseded long ago comes out at once, one superseded now after its grace without any other row, the
+    head never, and a replayed one no second time."""
+    schema = "revision_id string, superseded_at timestamp"
+    now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+    old = datetime.datetime(2024, 1, 1)
+    rows = [("r1", old), ("r2", now), ("r3", None), ("r1", old), ("r4", old + datetime.timedelta(days=40_000)), ("r4", None), (None, old)]
+    stream = one_file_each(spark, rows, schema, tmp_path / "in")
+    q, got = streamed(spark, S.release_stream(stream, grace_ms=30_000), tmp_path / "cp", processingTime="0 seconds")
+    try:
+        found = until(got, 2)
+        time.sleep(3)
+        assert [r.revision_id for r in got()] == ["r1", "r2"] and found[1].due_ms - found[1].superseded_ms == 30_000
+    finally:
+        q.stop()
+
+
+def test_incremental_publication_is_a_cold_build(spark, tmp_path):
+    """Documents that come, change and go over four micro-batches; a failure between publication and commit."""
+    out, cold = str(tmp_path / "out"), str(tmp_path / "cold")
+    states = [{"a": "1", "b": "1", "c": "1"}, {"a": "2", "b": "1", "d": "1"}, {"b": "1", "d": "1", "a": "1"}, {"b": "3", "d": "1"}]
+    schema = "path string, full boolean"
+    batches = [[("a", False)], [("a", False), ("c", False), ("d", False)], [("a", False), ("zz", None)], [("b", True)]]
+    folder = tmp_path / "in"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(folder))
+        time.sleep(0.05)
+    asked = []
+
+    def documents(batch):
+        asked.append(batch)
+        return spark.createDataFrame(list(states[batch].items()), "path string, text string")
+
+    derive = lambda docs: docs.select("path", F.sha2("text", 256).alias("version_id"), F.length("text").alias("n"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+    run = lambda: S.apply_changes(stream(), documents, derive, out, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+    run()
+    digest = lambda o, r: sorted(map(tuple, tables.at_pin(spark, o, r).select("path", "version_id", "n").collect()))
+    for i, state in enumerate(states):
+        tables.publish(*[(v := derive(spark.createDataFrame(list(state.items()), "path string, text string"))).drop("path"), v.select("path", "version_id")], f"{cold}{i}", "r", None)
+        assert digest(out, f"batch-{i:012d}") == digest(f"{cold}{i}", "r")
+    # the last batch is run again, as after a failure before its commit: nothing is published twice
+    (tmp_path / "cp" / "commits" / "3").unlink()
+    for crc in (tmp_path / "cp" / "commits").glob(".3.crc"):
+        crc.unlink()
+    heads = sorted(p.name for p in (tmp_path / "out" / "head").glob("*.json"))
+    run()
+    assert sorted(p.name for p in (tmp_path / "out" / "head").glob("*.json")) == heads and len(heads) == 4
+    assert asked == [0, 1, 2, 3]
+
+
+def test_lost_writer_blocks_nothing(spark, tmp_path):
+    """An empty head file, as of a writer that was lost, doesn't stop the next publication; a stale one still fails."""
+    out = str(tmp_path / "out")
+    v = spark.createDataFrame([("a", "1")], "path string, version_id string")
+    tables.publish(v.select("version_id"), v, out, "r1", None)
+    (tmp_path / "out" / "head" / "000000000001.json").write_bytes(b"")
+    tables.publish(v.select("version_id"), v, out, "r2", "r1")
+    assert tables.head(spark, out) == "r2" and tables.at_pin(spark, out, "r2").count() == 1
+    with pytest.raises(tables.StaleHead):
+        tables.publish(v.select("version_id"), v, out, "r3", "r1")
+    with pytest.raises(tables.StaleHead):
+        tables._create(spark, f"{out}/head/000000000002.json", "{}")
+    with pytest.raises(tables.ExpiredPin):
+        tables.at_pin(spark, out, "r3")
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_batches_by_pointer_doubling(spark, seed):
+    """One stretch without a gap, of hundreds of batches, and random ones, with random waits and urgent signals."""
+    rng = random.Random(seed)
+    quiet, longest = rng.choice([(75, 250), (40, 41), (500, 90), (60, 10**15)])
+    rows, at = [], 0
+    for i in range(4000):
+        at += rng.choice([0, 1, 20, 39]) if i < 3500 else rng.choice([0, 30, 80, 600])
+        rows.append(("hot" if i % 9 else rng.choice(["b", None]), at, "urgent" if rng.random() < 0.02 else rng.choice(["modify", "create"]), f"p{rng.randrange(60):02}"))
+    df = spark.createDataFrame(rows, "source_set_id string, at_ms long, event_kind string, path string").repartition(9)
+    got = [tuple(r) for r in S.batch_signals(df, quiet, longest).collect()]
+    want = []
+    for key in {r[0] for r in rows}:
+        out, open_, generation = S._step([], sorted(r[1:] for r in rows if r[0] == key), key, 0, quiet, longest)
+        want += out + ([S._close(open_, key, generation, min(open_[-1][0] + quiet, open_[0][0] + longest))] if open_ else [])
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert S.batch_signals(df.limit(0)).count() == 0
+
+
+def test_acknowledge(spark):
+    batches = spark.createDataFrame([("a", 0, 100), ("a", 1, 300), ("b", 0, 50), ("c", 0, 10)], "source_set_id string, generation long, closed_ms long")
+    signals = spark.createDataFrame([("a", 90), ("a", 300), ("b", 51)], "source_set_id string, at_ms long")
+    assert sorted(tuple(r) for r in S.acknowledge(batches, signals).collect()) == [("a", 0, False), ("a", 1, True), ("b", 0, False), ("c", 0, True)]
 
 
 def test_full_rescan(spark):
