@@ -130,11 +130,14 @@ def display_labels(facts: DataFrame, decls: DataFrame, keys: list[str], label: s
 
 
 def check_citations(citations: DataFrame, docs: DataFrame) -> DataFrame:
-    """citation_id, valid: whether lines first..last (from 1) of the document are the quoted text."""
-    lines = docs.select("path", F.split("text", "\n").alias("_l"))
-    have = F.array_join(F.slice("_l", F.col("first").cast("int"), (F.col("last") - F.col("first") + 1).cast("int")), "\n")
-    ok = (F.col("first") >= 1) & (F.col("last") >= F.col("first")) & (F.col("last") <= F.size("_l"))
-    return citations.join(lines, "path", "left").select("citation_id", F.coalesce(F.when(ok, have == F.col("quote")), F.lit(False)).alias("valid"))
+    """citation_id, valid: whether lines first..last (from 1) of the document are the quoted text, and it has them all.
+    A quote is cut into lines too, and each is compared with its own line of the document."""
+    lines = docs.select("path", F.posexplode(F.split("text", "\n")).alias("_i", "_t")).select("path", (F.col("_i") + 1).alias("_no"), "_t")
+    quoted = citations.select("citation_id", "path", "first", "last", F.split("quote", "\n").alias("_q"))
+    whole = (F.col("first") >= 1) & (F.col("last") >= F.col("first")) & (F.size("_q") == F.col("last") - F.col("first") + 1)
+    flat = quoted.select("citation_id", "path", whole.alias("_whole"), "first", F.posexplode_outer("_q").alias("_i", "_c")).withColumn("_no", (F.col("first") + F.col("_i")).cast("int"))
+    same = F.coalesce(F.col("_whole") & (F.col("_c") == F.col("_t")), F.lit(False))
+    return flat.join(lines, ["path", "_no"], "left").groupBy("citation_id").agg(F.bool_and(same).alias("valid"))
 
 
 def edges_within(edges: DataFrame, chosen: DataFrame, src: str = "src", dst: str = "dst", node: str = "id") -> DataFrame:
@@ -219,12 +222,21 @@ def with_line_columns(ranges: DataFrame, lines: DataFrame, at: str = "at") -> Da
 
 def read_lines(requests: DataFrame, docs: DataFrame) -> DataFrame:
     """request_id, slice, valid: the bytes of lines first..last as text; a closing line feed adds no line. A slice that
-    isn't valid UTF-8 is null, and only that row fails. docs: path, bytes (binary)."""
-    one = requests.join(docs.select("path", "bytes"), "path")
-    hexes = F.split(F.regexp_replace(F.hex("bytes"), "(..)", "$1 "), "0A ")  # byte-aligned search for line feeds
-    part = F.array_join(F.slice(hexes, F.col("first").cast("int"), (F.col("last") - F.col("first") + 1).cast("int")), "0A ")
-    raw = F.unhex(F.replace(part, F.lit(" ")))
-    return one.select("request_id", F.try_validate_utf8(raw.cast("string")).alias("slice"), F.is_valid_utf8(raw.cast("string")).alias("valid"))
+    isn't valid UTF-8 is null, and only that row fails. Of a range that goes beyond the document the lines that it has
+    are read; a reversed one, and one without any line, is null and not valid. docs: path, bytes (binary).
+
+    Documents are cut into lines once, and a request meets its own lines by number, never a whole text."""
+    # a byte is a character of this encoding, so any bytes can be cut at their line feeds
+    cut = docs.select("path", F.split(F.decode("bytes", "ISO-8859-1"), "\n").alias("_l"))
+    lines = cut.select("path", F.posexplode("_l").alias("_i", "_t")).select("path", (F.col("_i") + 1).alias("_no"), "_t")
+    size = cut.select("path", F.size("_l").alias("_k"))
+    first, last = F.greatest(F.col("first").cast("int"), F.lit(1)), F.least(F.col("last").cast("int"), F.col("_k"))
+    wanted = requests.join(size, "path").select("request_id", "path", F.explode(F.when((F.col("first") <= F.col("last")) & (first <= last), F.sequence(first, last)).otherwise(F.array(F.lit(0)))).alias("_no"))
+    # the bytes of a slice are what is asked for
+    found = wanted.join(lines, ["path", "_no"], "left").groupBy("request_id").agg(F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_no", "_t")))).alias("_s"))
+    raw = F.encode(F.array_join(F.transform("_s", lambda x: x["_t"]), "\n"), "ISO-8859-1").cast("string")
+    ok = (F.size("_s") > 0) & F.is_valid_utf8(raw)
+    return found.select("request_id", F.when(ok, raw).alias("slice"), ok.alias("valid"))
 
 
 def to_byte_offsets(facts: DataFrame, docs: DataFrame, width: int = 4096) -> DataFrame:

@@ -64,25 +64,79 @@ def _terms(text: str) -> Column:
 SMALL_TERMS = 100_000
 
 
+#: Documents of a query, for each of the k wanted, whose whole scores set its threshold.
+PROBES = 4
+#: Scores are rounded to nine digits; bounds leave more room than that.
+_SLACK = 1e-7
+#: Shares of the threshold down to which weak terms are added before a document is judged again.
+_STEPS = (0.6, 0.35, 0.15)
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, score, rank: the k best documents of each query over split identifiers.
 
     queries: query_id, text. docs: id, text; id is unique. Lengths are counted in place, and only postings of the
-    queries' terms go on, so nothing else of a document is shuffled."""
+    queries' terms go on, so nothing else of a document is shuffled.
+
+    Exact, without scoring every document that shares a term (MaxScore). A term's bound is its largest weight in any
+    document. A query's strongest terms find a few documents, whose whole scores give it a threshold: its k-th best
+    document has at least that. Its weakest terms, whose bounds together don't reach the threshold, can't bring a
+    document in by themselves, so only postings of the others are joined with the query. Of the documents that these
+    find, those that can't reach the threshold with all weak terms added go; the others are looked up by term and id, the
+    stronger of the weak terms first, and judged again after each step."""
+    ranked, _ = _bm25(queries, docs, k, k1, b)
+    return ranked
+
+
+def bm25_work(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """One row: pairs of query and document whose whole score was computed, and all pairs there are."""
+    _, scored = _bm25(queries, docs, k, k1, b)
+    n = queries.select("query_id").distinct().agg(F.count("*").alias("q")).crossJoin(docs.agg(F.count("*").alias("d")))  # one row each
+    return scored.agg(F.count("*").alias("scored")).crossJoin(n).select("scored", (F.col("q") * F.col("d")).alias("pairs"))
+
+
+def _bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
     q = stored(queries.select("query_id", F.explode(_terms("text")).alias("term")).distinct(), "query-terms")
-    wanted = q.select("term").distinct()
+    wanted = q.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
     bag = docs.select("id", _terms("text").alias("terms")).withColumn("dl", F.size("terms").cast("long"))
-    stats = bag.filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
-    if wanted.limit(SMALL_TERMS + 1).count() <= SMALL_TERMS:
+    if few := wanted.limit(SMALL_TERMS + 1).count() <= SMALL_TERMS:
         wanted = F.broadcast(wanted)
-    every = bag.select("id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    tf = stored(every.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    # one more term, an empty one, stands for the document itself, so that texts are cut into terms once
+    every = bag.select("id", "dl", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term")).join(wanted, "term", "left_semi")
+    counted = stored(every.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "term-counts")
+    stats = counted.filter("term = '' and dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
+    tf = counted.filter("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hit = q.join(df, "term").join(tf, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
-    score = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
-    return top(score, k)
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
+    known = tf.join(F.broadcast(df) if few else df, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    postings = stored(known.select("term", "id", weight.alias("w")), "postings")
+    bounds = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("most"))
+    strong = Window.partitionBy("query_id").orderBy(F.desc("most"), "term")
+    earlier, on = strong.rowsBetween(Window.unboundedPreceding, -1), strong.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    terms = stored(q.join(bounds, "term").select("query_id", "term", "most", F.coalesce(F.sum("df").over(earlier), F.lit(0)).alias("found"), F.sum("most").over(on).alias("rest")), "bounded-terms")
+
+    def looked_up(pairs: DataFrame, which: DataFrame) -> DataFrame:
+        """query_id, id, w of the pairs' postings of these terms of the query."""
+        return pairs.select("query_id", "id").join(which.select("query_id", "term"), "query_id").join(postings, ["term", "id"]).select("query_id", "id", "w")
+
+    first = terms.filter(F.col("found") < PROBES * k).join(postings, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    probes = stored(top(first, PROBES * k), "probes")
+    whole = looked_up(probes, terms).groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    least = top(whole, k).filter(F.col("rank") == k).select("query_id", (F.col("score") - _SLACK).alias("least"))
+    ruled = stored(terms.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("weak", F.col("rest") < F.col("least")), "ruled-terms")
+    # weak terms in steps, the stronger ones first: what all later ones can still add falls from step to step
+    step = F.when(~F.col("weak"), 0)
+    for i, share in enumerate(_STEPS):
+        step = step.when(F.col("rest") >= share * F.col("least"), i + 1)
+    steps = stored(ruled.select("query_id", "term", "most", "least", step.otherwise(len(_STEPS) + 1).alias("step")), "term-steps")
+    scored = steps.filter("step = 0").join(postings, "term").groupBy("query_id", "id").agg(F.sum("w").alias("part"))
+    for i in range(len(_STEPS) + 1):
+        tail = steps.groupBy("query_id").agg(F.sum(F.when(F.col("step") > i, F.col("most")).otherwise(0.0)).alias("tail"), F.max("least").alias("least"))
+        scored = stored(scored.join(tail, "query_id").filter("part + tail >= least").select("query_id", "id", "part"), "candidates")
+        more = scored.select("query_id", "id", F.col("part").alias("w")).unionByName(looked_up(scored, steps.filter(F.col("step") == i + 1)))
+        whole, scored = scored, more.groupBy("query_id", "id").agg(F.sum("w").alias("part"))
+    return top(scored.select("query_id", "id", F.round("part", 9).alias("score")), k), whole
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

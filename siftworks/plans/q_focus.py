@@ -58,10 +58,10 @@ def q2_preview(spark, d):
     return _candidates(spark, d).select("packet_id", "call_id", "relevance")
 
 
-@query("with c as (select doc_id from documents where doc_id % 2 = 0), dd as (select doc_id, (quality + case when doc_id % 50 = 1 then 1 else 0 end)::double as s from labels), g as (select doc_id, count(*) as n from dd group by 1) select coalesce(c.doc_id, g.doc_id) as doc_id, case when c.doc_id is null then 'unknown' when n is null then 'missing' else 'duplicate' end as problem from c full join g on c.doc_id = g.doc_id where c.doc_id is null or n is null or n > 1 union all select distinct doc_id, 'score' from dd where s > 1")
+@query("with c as (select doc_id from documents), dd as (select case when toxic = 1 then -1 - doc_id else doc_id end as doc_id, (quality + case when doc_id % 50 = 1 then 1 else 0 end)::double as s from labels), g as (select doc_id, count(*) as n from dd group by 1) select coalesce(c.doc_id, g.doc_id) as doc_id, case when c.doc_id is null then 'unknown' when n is null then 'missing' else 'duplicate' end as problem from c full join g on c.doc_id = g.doc_id where c.doc_id is null or n is null or n > 1 union all select distinct doc_id, 'score' from dd where s > 1")
 def q3_decision_problems(spark, d):
-    dec = V.table(spark, d, "labels").select("doc_id", (F.col("quality") + F.when(F.col("doc_id") % 50 == 1, 1).otherwise(0)).cast("double").alias("display_score"))
-    return Q.decision_problems(V.table(spark, d, "documents").filter("doc_id % 2 = 0"), dec, ["doc_id"])
+    dec = V.table(spark, d, "labels").select(F.when(F.col("toxic") == 1, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), (F.col("quality") + F.when(F.col("doc_id") % 50 == 1, 1).otherwise(0)).cast("double").alias("display_score"))
+    return Q.decision_problems(V.table(spark, d, "documents"), dec, ["doc_id"])
 
 
 _VIEW = _CAND + """, e as (select *, row_number() over (partition by packet_id order by not direct, display_score desc, start, "end" desc, call_id) as r from cand where relevance = 'essential' and (direct or deeper)), vis as (select *, row_number() over (partition by packet_id order by start, "end" desc, call_id) as place from e where r <= 2)"""

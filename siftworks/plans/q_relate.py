@@ -22,11 +22,23 @@ def p5_line_columns(spark, d):
     return R.with_line_columns(pts, V.lines(spark, d)).select("path", "at", "line", "column")
 
 
-@query("with " + V.DOCS + " select doc_id as request_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) as slice, true as valid from docs where len(string_split(text, chr(10))) >= 4")
+#: Ranges of lines of a document of n lines: the first, the last, the middle third, all, beyond the end, reversed, none.
+_RANGES = ("1, 1", "n, n", "n // 3 + 1, 2 * n // 3 + 1", "1, n", "n, n + 5", "3, 2", "n + 1, n + 2")
+_RANGED = "l as (select path, string_split(text, chr(10)) as ls from docs), n as (select path, ls, len(ls) as n from l), r as (" + " union all ".join(f"select {i} as k, path, ls, n, a, z from (select *, {x.partition(', ')[0]} as a, {x.partition(', ')[2]} as z from n)" for i, x in enumerate(_RANGES)) + ")"
+
+
+def _ranged(docs):
+    """request_id, path, first, last of all documents' ranges, and n."""
+    n = docs.select("path", F.size(F.split("text", "\n")).alias("n"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.expr(x.partition(", ")[0].replace("//", "div")).cast("int").alias("first"), F.expr(x.partition(", ")[2].replace("//", "div")).cast("int").alias("last")) for i, x in enumerate(_RANGES)])
+    return n.select("path", "n", F.inline(pairs)).withColumn("request_id", F.concat_ws("#", "path", F.col("k").cast("string")))
+
+
+@query("with " + V.DOCS + ", " + _RANGED + " select path || '#' || k as request_id, case when a <= z and a <= n then array_to_string(ls[a:z], chr(10)) end as slice, a <= z and a <= n as valid from r")
 def p6_source_slice(spark, d):
-    docs = V.documents(spark, d).filter(T.line_count(F.col("text")) >= 4).select("doc_id", "path", F.encode("text", "UTF-8").alias("bytes"))
-    req = docs.select(F.col("doc_id").alias("request_id"), "path", F.lit(2).alias("first"), F.lit(4).alias("last"))
-    return R.read_lines(req, docs)
+    """Seven ranges of lines of every document."""
+    docs = V.documents(spark, d)
+    return R.read_lines(_ranged(docs).select("request_id", "path", "first", "last"), docs.select("path", F.encode("text", "UTF-8").alias("bytes")))
 
 
 @query("with " + V.DOCS + " select path || '-' || share as fact_id, strlen(text[1:k])::bigint as byte_at from (select path, text, share, (length(text) * share // 8)::bigint as k from docs, range(9) t(share))")
@@ -169,12 +181,14 @@ def j15_display_labels(spark, d):
     return out.select("decl.*", "label")
 
 
-@query("with " + V.DOCS + " select doc_id as citation_id, doc_id % 3 <> 0 as valid from docs where len(string_split(text, chr(10))) >= 2")
+@query("with " + V.DOCS + ", " + _RANGED + " select path || '#' || k as citation_id, a <= z and z <= n and length(path) % 3 <> k % 3 as valid from r")
 def j16_citations(spark, d):
-    docs = V.documents(spark, d).filter(T.line_count(F.col("text")) >= 2)
-    two = F.array_join(F.slice(F.split("text", "\n"), 1, 2), "\n")
-    cit = docs.select(F.col("doc_id").alias("citation_id"), "path", F.lit(1).alias("first"), F.lit(2).alias("last"), F.when(F.col("doc_id") % 3 == 0, F.concat(two, F.lit("!"))).otherwise(two).alias("quote"))
-    return R.check_citations(cit, docs)
+    """Seven citations of every document, some with a changed last line; ranges that it doesn't have aren't valid."""
+    docs = V.documents(spark, d)
+    r = _ranged(docs).join(docs.select("path", F.split("text", "\n").alias("ls")), "path")
+    quote = F.array_join(F.slice("ls", F.col("first"), F.greatest(F.col("last") - F.col("first") + 1, F.lit(0))), "\n")
+    said = F.when(F.length("path") % 3 == F.col("k") % 3, F.concat(quote, F.lit("!"))).otherwise(quote)
+    return R.check_citations(r.select(F.col("request_id").alias("citation_id"), "path", "first", "last", said.alias("quote")), docs)
 
 
 @query("with " + V.GRAPH + ", c as (select id from nodes where kind in ('supplier', 'nation')) select call_id, src, dst from edges where src in (select id from c) and dst in (select id from c)")
@@ -277,10 +291,11 @@ def u2_same_inventory(spark, d):
     return S.same_inventory(r.filter("revision = 1995"), r.filter("revision = 1996"))
 
 
-@query("with c as (select doc_id from documents where doc_id % 2 = 0), dd as (select doc_id, count(*) as n from (select doc_id from labels union all select doc_id from labels where doc_id % 10 = 0) group by 1) select coalesce(c.doc_id, dd.doc_id) as doc_id, case when c.doc_id is null then 'unknown' when n is null then 'missing' else 'duplicate' end as problem from c full join dd on c.doc_id = dd.doc_id where c.doc_id is null or n is null or n > 1")
+@query("with c as (select doc_id from documents), dd as (select doc_id, count(*) as n from (select doc_id from labels union all select doc_id from labels where quality = 0 union all select -1 - doc_id from labels where toxic = 1) group by 1) select coalesce(c.doc_id, dd.doc_id) as doc_id, case when c.doc_id is null then 'unknown' when n is null then 'missing' else 'duplicate' end as problem from c full join dd on c.doc_id = dd.doc_id where c.doc_id is null or n is null or n > 1")
 def u3_decision_gaps(spark, d):
     lab = V.table(spark, d, "labels").select("doc_id")
-    return S.decision_gaps(V.table(spark, d, "documents").filter("doc_id % 2 = 0"), lab.union(lab.filter("doc_id % 10 = 0")), "doc_id")
+    again, unknown = V.table(spark, d, "labels").filter("quality = 0").select("doc_id"), V.table(spark, d, "labels").filter("toxic = 1").select(-1 - F.col("doc_id"))
+    return S.decision_gaps(V.table(spark, d, "documents"), lab.union(again).union(unknown), "doc_id")
 
 
 @query("with " + V.WORDS + " select distinct path from (select path from ln union all select path from wd)")

@@ -306,10 +306,17 @@ def i14_provenance_id(spark, d):
     return V.table(spark, d, "documents").select("doc_id", I.provenance_id(F.col("source"), F.col("doc_id").cast("string"), F.col("lang")).alias("provenance_id"))
 
 
-@query("""with r as (select 'nation' as kind, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' as payload from nation union all
-select 'region', '{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}' from region) select kind, (row_number() over (partition by kind order by payload) - 1)::bigint as row_key, payload from r""")
+_JSON = "'\"' || replace(replace(replace(replace(coalesce({c}, ''), '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(9), '\\t') || '\"'"
+#: Tables whose rows are exported: integers and texts.
+_EXPORTED = {"nation": ("n_name", "n_nationkey", "n_regionkey"), "region": ("r_name", "r_regionkey"), "labels": ("doc_id", "quality", "toxic"), "conversations": ("conv_id", "role", "text", "turn"), "benchmark": ("item_id", "text"), "documents": ("doc_id", "lang", "n_chars", "source")}
+_TEXTS = {"n_name", "r_name", "role", "text", "lang", "source"}
+_ROWS = " union all ".join(f"select '{t}' as kind, '{{' || " + " || ',' || ".join(f"'\"{c}\":' || " + (f"case when {c} is null then 'null' else {_JSON.format(c=c)} end" if c in _TEXTS else f"coalesce({c}::varchar, 'null')") for c in cs) + f" || '}}' as payload from {t}" for t, cs in _EXPORTED.items())
+
+
+@query("with r as (" + _ROWS + ") select kind, (row_number() over (partition by kind order by payload) - 1)::bigint as row_key, payload from r")
 def s9_canonical_rows(spark, d):
-    return I.canonical_rows({"nation": V.table(spark, d, "nation"), "region": V.table(spark, d, "region")})
+    """All rows of six tables."""
+    return I.canonical_rows({t: V.table(spark, d, t).select(*cs) for t, cs in _EXPORTED.items()})
 
 
 @query("""with r as (select sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') as h from orders),

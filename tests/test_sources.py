@@ -313,7 +313,7 @@ def test_publication_of_broken_and_lost_attempts(spark, tmp_path, monkeypatch):
     for _ in range(2):  # the retry, and one more that finds it done
         tables.publish(v, m, out, "r1", None)
         assert sorted((r.version_id, r.path) for r in tables.at_pin(spark, out, "r1").collect()) == [("a", "a"), ("b", "b")]
-    heads = tables._heads(spark, out)
+    heads = tables._numbers(spark, out)
     assert len(heads) == 1
     # a writer that read the same head, but creates the next file second
     monkeypatch.setattr(tables, "_heads", lambda *_: heads)
