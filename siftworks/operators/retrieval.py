@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,6 +183,39 @@ def hybrid(lexical: DataFrame, vector: DataFrame, k: int, weight: float = 0.5, c
     return top(j.select("query_id", "id", F.round(part("_l", weight) + part("_v", 1 - weight), 9).alias("score")), k)
 
 
+@dataclass(frozen=True)
+class Boosts:
+    """Factors of a fused score: candidates of the caller's own module, public ones, and those that aren't tests."""
+
+    same_module: float = 1.2
+    public: float = 1.1
+    production: float = 1.1
+
+
+def hybrid_search(requests: DataFrame, lexical: DataFrame, vector: DataFrame, candidates: DataFrame, k: int, boosts: Boosts = Boosts(), weight: float = 0.5, c: int = 60) -> DataFrame:
+    """query_id, id, score, rank: the k best candidates that pass a request's filters, by fused rank times boosts.
+
+    requests: query_id, language, path_prefix, kinds (array), module (each null for any), no_tests, no_generated.
+    lexical and vector: query_id, id, rank. candidates: id, language, path, kind, module, public, test, generated.
+
+    Filters apply before the best are taken, so the lists should be as deep as the filters are narrow; a candidate that
+    isn't described passes none. A request without filters keeps all; a null flag is false. Ties go by id."""
+    a = lexical.select("query_id", "id", (F.lit(weight) / (F.col("rank") + c)).alias("s"))
+    b = vector.select("query_id", "id", (F.lit(1 - weight) / (F.col("rank") + c)).alias("s"))
+    fused = a.unionByName(b).groupBy("query_id", "id").agg(F.sum("s").alias("fused"))
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False))
+    wanted = requests.select("query_id", F.col("language").alias("_language"), F.col("path_prefix").alias("_prefix"), F.col("kinds").alias("_kinds"), F.col("module").alias("_module"), flag("no_tests").alias("_no_tests"), flag("no_generated").alias("_no_generated"))
+    known = candidates.select("id", "language", "path", "kind", "module", flag("public").alias("public"), flag("test").alias("test"), flag("generated").alias("generated"))
+    joined = fused.join(wanted, "query_id").join(known, "id")
+    passes = (
+        (F.col("_language").isNull() | (F.col("language") == F.col("_language"))) & (F.col("_prefix").isNull() | F.startswith("path", "_prefix")) & (F.col("_kinds").isNull() | F.array_contains("_kinds", F.col("kind")))
+        & ~(F.col("_no_tests") & F.col("test")) & ~(F.col("_no_generated") & F.col("generated"))
+    )
+    times = lambda cond, by: F.when(cond, F.lit(by)).otherwise(F.lit(1.0))
+    score = F.col("fused") * times(F.col("module") == F.col("_module"), boosts.same_module) * times(F.col("public"), boosts.public) * times(~F.col("test"), boosts.production)
+    return top(joined.filter(passes).select("query_id", "id", F.round(score, 9).alias("score")), k)
+
+
 def vector_status(chunks_: DataFrame, cache: DataFrame) -> DataFrame:
     """model, total, cached, pending: which chunks (model, text_hash) have a vector; the others are lexical only."""
     have = cache.select("model", "text_hash").distinct().withColumn("_h", F.lit(1))

@@ -198,6 +198,28 @@ def x6_hybrid(spark, d):
     return X.hybrid(one("s1"), one("s2"), 100).select("query_id", "id", "score")
 
 
+_SEARCH = """p as (select *, row_number() over (partition by p_brand order by p_size, p_partkey) as a, row_number() over (partition by p_brand order by p_retailprice, p_partkey) as b from part),
+r as (select distinct p_brand as query_id, case when right(p_brand, 1) in ('1', '2') then 'java' end as language, case when right(p_brand, 1) = '3' then 'm1/' end as prefix, right(p_brand, 1) = '4' as kinded, right(p_brand, 1) = '5' as no_tests, 'm' || (length(p_brand) % 4) as module from part),
+c as (select p_partkey as id, case p_partkey % 3 when 0 then 'java' when 1 then 'rust' else 'python' end as language, 'm' || (p_partkey % 4) as module, case p_size % 2 when 0 then 'method' else 'type' end as kind, p_size % 5 = 0 as public, p_partkey % 7 = 0 as test from part),
+s as (select p_brand as query_id, p_partkey as id, coalesce(case when a <= 40 then 0.5::double / (a + 60) end, 0) + coalesce(case when b <= 40 then 0.5::double / (b + 60) end, 0) as fused from p where a <= 40 or b <= 40)"""
+
+
+@query("with " + _SEARCH + """, t as (select query_id, id, round(fused * case when c.module = r.module then 1.2::double else 1 end * case when public then 1.1::double else 1 end * case when not test then 1.1::double else 1 end, 9) as score from s join r using (query_id) join c using (id)
+where (r.language is null or c.language = r.language) and (prefix is null or starts_with(c.module || '/x', prefix)) and (not kinded or kind = 'method') and not (no_tests and test)), k as (select *, row_number() over (partition by query_id order by score desc, id) as rank from t) select query_id, rank, id, round(score, 7) as score from k where rank <= 10""")
+def x6_hybrid_search(spark, d):
+    """Brands as requests with different filters, their parts as candidates of four modules."""
+    p = V.table(spark, d, "part")
+    ranked = p.select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("id"), (-F.col("p_size")).alias("s1"), (-F.col("p_retailprice")).alias("s2"))
+    one = lambda c: X.top(ranked.withColumn("score", F.col(c)), 40)
+    last = F.right("p_brand", F.lit(1))
+    none = F.lit(None).cast("string")
+    requests = p.select("p_brand").distinct().select(F.col("p_brand").alias("query_id"), F.when(last.isin("1", "2"), "java").otherwise(none).alias("language"), F.when(last == "3", "m1/").otherwise(none).alias("path_prefix"), F.when(last == "4", F.array(F.lit("method"))).alias("kinds"), F.concat(F.lit("m"), (F.length("p_brand") % 4).cast("string")).alias("module"), (last == "5").alias("no_tests"), F.lit(False).alias("no_generated"))
+    module = F.concat(F.lit("m"), (F.col("p_partkey") % 4).cast("string"))
+    language = F.element_at(F.array(F.lit("java"), F.lit("rust"), F.lit("python")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    candidates = p.select(F.col("p_partkey").alias("id"), language.alias("language"), F.concat(module, F.lit("/x")).alias("path"), F.when(F.col("p_size") % 2 == 0, "method").otherwise("type").alias("kind"), module.alias("module"), (F.col("p_size") % 5 == 0).alias("public"), (F.col("p_partkey") % 7 == 0).alias("test"), F.lit(False).alias("generated"))
+    return X.hybrid_search(requests, one("s1"), one("s2"), candidates, 10).select("query_id", "rank", "id", F.round("score", 7).alias("score"))
+
+
 @query("select 'm' || (doc_id % 2) as model, count(*) as total, count(*) filter (doc_id % 3 = 0) as cached, count(*) filter (doc_id % 3 <> 0) as pending from documents group by 1")
 def x7_vector_status(spark, d):
     c = V.table(spark, d, "documents").select(F.concat(F.lit("m"), (F.col("doc_id") % 2).cast("string")).alias("model"), F.col("doc_id").alias("text_hash"))
