@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftworks.functions.text import focus_terms, literal_contains, literal_match, probability_status, symbol_contains
+from siftworks.sources.tables import stored
 
-from .stats import admit_by_budget, admit_details, page
+from .stats import admit_by_budget, admit_details, numbered, page, running
 
 LABELS = ("essential", "supporting", "incidental", "uncertain")
 PACKET_BYTES = 1 << 20
@@ -127,3 +131,65 @@ def package_symbols_page(packages: DataFrame, symbols: DataFrame, query: str, of
     """Symbols of which the name or qualified name holds the query, with their package's name, a page of each package."""
     hit = symbols.filter(symbol_contains(F.col("name"), F.col("qualified_name"), F.lit(query))).join(packages, "package_id")
     return page(hit, ["package_id"], ["qualified_name", "symbol_id"], offset, limit)
+
+
+@dataclass(frozen=True)
+class CatalogLimits:
+    """What a catalog of one source set holds at most."""
+
+    files: int = 100_000
+    symbols: int = 1_000_000
+    source_bytes: int = 256 << 20
+    registry_text: int = 64 << 20
+    classes: int = 250_000
+    records: int = 250_000
+    text: int = 64 << 20
+
+
+#: Codes of the closing warnings, in the order in which a catalog lists them.
+CATALOG_WARNINGS = ("inputLimit", "sourceLimit", "registryTextLimit", "classLimit", "detailRecordLimit", "detailTextLimit", "extraction", "declaredTypes", "registryIncomplete")
+
+
+def build_catalog(files: DataFrame, classes: DataFrame, items: DataFrame, keys: list[str], limits: CatalogLimits = CatalogLimits()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Classes, details, relations and closing warnings of the catalog of each source set.
+
+    files: keys, path, source_bytes, registry_bytes, symbols, truncated, incomplete (its own registry), warned.
+    classes: keys, path, class_no (in its file), class_id. items: keys, path, class_no, item_no, kind (field, method,
+    relation or scope), item_id, records, text.
+
+    A source set of too many files or symbols has no catalog. Files come in order of path while their source and
+    registry text fit; classes come in order while they are no more than the limit, and the first beyond it ends the
+    catalog; details come in order while records and text fit, and the first that doesn't closes them for good, so
+    that classes with later items are truncated. Relations with an id that an earlier one has go.
+
+    classes: keys, path, class_no, class_id, truncated. details: keys, path, class_no, item_no, kind, item_id, without
+    scopes and relations. relations: keys, path, item_id. warnings: keys, warning (see CATALOG_WARNINGS): the limits that
+    ended something, `extraction` if an admitted file has a warning of its own, `declaredTypes` with any class, and
+    `registryIncomplete` if a class may be absent. Sums go by ranges, so a source set may be of any size."""
+    first = lambda df, order: df.groupBy(*keys).agg(F.min_by(F.col("_why"), order).alias("warning"))
+    sizes = files.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("symbols").alias("_s"))
+    large = stored(sizes.filter((F.col("_n") > limits.files) | (F.col("_s") > limits.symbols)).select(*keys), "large-inputs")
+    usable = files.join(large, keys, "left_anti")
+    ran = stored(running(usable, keys, ["path"], _source="source_bytes", _registry="registry_bytes").withColumn("_why", F.when(F.col("_source") > limits.source_bytes, "sourceLimit").when(F.col("_registry") > limits.registry_text, "registryTextLimit")), "catalog-files")
+    closed = first(ran.filter("_why is not null"), F.col("path"))
+    admitted = ran.filter("_why is null")
+    counted = stored(numbered(classes.join(admitted.select(*keys, "path"), [*keys, "path"], "left_semi"), keys, ["path", "class_no", "class_id"], "_n"), "catalog-classes")
+    kept = counted.filter(F.col("_n") <= limits.classes)
+    over = counted.filter(F.col("_n") > limits.classes).select(*keys).distinct().withColumn("warning", F.lit("classLimit"))
+    live = items.join(kept.select(*keys, "path", "class_no").distinct(), [*keys, "path", "class_no"], "left_semi")
+    summed = running(live, keys, ["path", "class_no", "item_no"], _r="records", _t="text")
+    judged = stored(summed.withColumn("_why", F.when(F.col("_r") > limits.records, "detailRecordLimit").when(F.col("_t") > limits.text, "detailTextLimit")), "catalog-items")
+    shut = first(judged.filter("_why is not null"), F.struct("path", "class_no", "item_no"))
+    cut = judged.filter("_why is not null").select(*keys, "path", "class_no").distinct().withColumn("truncated", F.lit(True))
+    out = kept.join(cut, [*keys, "path", "class_no"], "left").select(*keys, "path", "class_no", "class_id", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+    fits = judged.filter("_why is null")
+    details = fits.filter("kind in ('field', 'method')").select(*keys, "path", "class_no", "item_no", "kind", "item_id")
+    relations = fits.filter("kind = 'relation'").groupBy(*keys, "item_id").agg(F.min("path").alias("path")).select(*keys, "path", "item_id")
+    # the first class too many ends the catalog: files behind its own aren't looked at
+    last = counted.filter(F.col("_n") > limits.classes).groupBy(*keys).agg(F.min("path").alias("_last"))
+    closed = closed.join(last, keys, "left_anti")
+    own = admitted.filter("warned or incomplete").join(last, keys, "left").filter("_last is null or path <= _last").groupBy(*keys).agg(F.bool_or("warned").alias("_w"), F.bool_or("incomplete").alias("_i"))
+    said = lambda df, code: df.select(*keys).distinct().withColumn("warning", F.lit(code))
+    absent = said(closed.select(*keys).unionByName(over.select(*keys)).unionByName(own.filter("_i").select(*keys)), "registryIncomplete")
+    parts = [said(large, "inputLimit"), closed, over, shut, said(own.filter("_w"), "extraction"), said(kept, "declaredTypes"), absent]
+    return out, details, relations, reduce(DataFrame.unionByName, parts)

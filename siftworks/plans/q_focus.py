@@ -120,6 +120,42 @@ def k1_compose_catalog(spark, d):
     return kept.select("path", F.col("item_no").alias("line_no"), "kept")
 
 
+_CATALOG = "with " + V.WORDS + """, f as (select source_set_id, path, doc_id, sum(strlen(text)) over (partition by source_set_id order by path) as b, sum(strlen(path)) over (partition by source_set_id order by path) as g, count(*) over (partition by source_set_id) as n from docs), big as (select distinct source_set_id from f where n > 1000000),
+u as (select *, case when b > 60000 then 'sourceLimit' when g > 330 then 'registryTextLimit' end as why from f where source_set_id not in (select source_set_id from big)), cl as (select ln.source_set_id, ln.path, line_no, row_number() over (partition by ln.source_set_id order by ln.path, line_no) as n from ln join u on u.path = ln.path and why is null where name is not null),
+it as (select wd.source_set_id, wd.path, wd.line_no, word_no, word, word_no % 4 as kind, count(*) over w as r, sum(strlen(word)) over w as t from wd join cl on cl.path = wd.path and cl.line_no = wd.line_no and cl.n <= 60 window w as (partition by wd.source_set_id order by wd.path, wd.line_no, word_no)),
+ju as (select *, case when r > 1200 then 'detailRecordLimit' when t > 6000 then 'detailTextLimit' end as why from it), ends as (select source_set_id, min(path) as last from cl where n > 60 group by 1)"""
+_LIMITS = Q.CatalogLimits(files=1_000_000, source_bytes=60_000, registry_text=330, classes=60, records=1200, text=6000)
+
+
+def _catalog(spark, d):
+    """Documents as files, their named lines as classes and the words of these as details."""
+    docs, lines, words = V.documents(spark, d), V.lines(spark, d), V.words(spark, d)
+    long = lambda c: c.cast("long")
+    files = docs.select("source_set_id", "path", long(F.octet_length("text")).alias("source_bytes"), long(F.octet_length("path")).alias("registry_bytes"), F.lit(1).alias("symbols"), (F.col("doc_id") % 9 == 0).alias("warned"), (F.col("doc_id") % 11 == 0).alias("incomplete"))
+    classes = lines.filter("name is not null").select("source_set_id", "path", F.col("line_no").alias("class_no"), F.concat_ws("#", "path", F.col("line_no").cast("string")).alias("class_id"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("scope", "field", "method", "relation")]), (F.col("word_no") % 4 + 1).cast("int"))
+    items = words.select("source_set_id", "path", F.col("line_no").alias("class_no"), F.col("word_no").alias("item_no"), kind.alias("kind"), F.col("word").alias("item_id"), F.lit(1).cast("long").alias("records"), long(F.octet_length("word")).alias("text"))
+    return Q.build_catalog(files, classes, items, ["source_set_id"], _LIMITS)
+
+
+@query(_CATALOG + """ select source_set_id, 'class' as what, path || '#' || line_no as id, exists (select 1 from ju where ju.path = cl.path and ju.line_no = cl.line_no and why is not null) as truncated from cl where n <= 60
+union all select source_set_id, case kind when 1 then 'field' else 'method' end, path || '#' || line_no || '#' || word_no, false from ju where why is null and kind in (1, 2) union all select source_set_id, 'relation', word || '@' || min(path), false from ju where why is null and kind = 3 group by source_set_id, word""")
+def k1_catalog(spark, d):
+    """Classes, details and relations of each source set's catalog."""
+    c, items, relations, _ = _catalog(spark, d)
+    no = F.lit(False).alias("truncated")
+    one = c.select("source_set_id", F.lit("class").alias("what"), F.col("class_id").alias("id"), "truncated")
+    one = one.unionByName(items.select("source_set_id", F.col("kind").alias("what"), F.concat_ws("#", "path", F.col("class_no").cast("string"), F.col("item_no").cast("string")).alias("id"), no))
+    return one.unionByName(relations.select("source_set_id", F.lit("relation").alias("what"), F.concat_ws("@", "item_id", "path").alias("id"), no))
+
+
+@query(_CATALOG + """, own as (select u.* from u left join ends using (source_set_id) where why is null and (last is null or path <= last)), stop as (select source_set_id, arg_min(why, path) as w from u where why is not null and source_set_id not in (select source_set_id from ends) group by 1)
+select source_set_id, 'inputLimit' as warning from big union all select source_set_id, w from stop union all select source_set_id, 'classLimit' from ends union all select source_set_id, arg_min(why, r) from ju where why is not null group by 1 union all select distinct source_set_id, 'extraction' from own where doc_id % 9 = 0
+union all select distinct source_set_id, 'declaredTypes' from cl where n <= 60 union all select source_set_id, 'registryIncomplete' from (select source_set_id from stop union select source_set_id from ends union select source_set_id from own where doc_id % 11 = 0)""")
+def k1_catalog_warnings(spark, d):
+    return _catalog(spark, d)[3]
+
+
 @query("with " + V.LINES + ", h as (select source_set_id, path || '#' || lpad(line_no::varchar, 6, '0') as class_id, path from ln where instr(translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'er') > 0), r as (select *, row_number() over (partition by source_set_id order by path, class_id) as r, count(*) over (partition by source_set_id) as n from h) select class_id, case when n > 7 then 7::bigint end as next_offset from r where r > 2 and r <= 7")
 def k2_classes_page(spark, d):
     c = V.lines(spark, d).select("source_set_id", "path", F.concat_ws("#", "path", F.lpad(F.col("line_no").cast("string"), 6, "0")).alias("class_id"), "name", F.lit(None).cast("string").alias("qualified_name"))
