@@ -175,7 +175,7 @@ e as (select *, row_number() over (partition by s order by t, k, p) as pos, lag(
 #: Batches with a longest wait, walked from one to the next.
 _WAITED = _EVENTS + """, firsts as (select s, t, min(pos) as pos from e group by 1, 2), later as (select e.s, e.pos, min(f.pos) as nxt from e join firsts f on e.s = f.s and f.t >= e.t + 7200000 group by 1, 2),
 ends as (select s, pos, min(case when k = 'urgent' then pos + 1 end) over (partition by s order by pos rows between current row and unbounded following) as u, min(case when t >= prior + 3600000 then pos end) over (partition by s order by pos rows between 1 following and unbounded following) as g from e),
-nx as (select s, pos, least(nxt, u, g) as nxt from ends left join later using (s, pos)), walk as (select s, 1::bigint as pos, 0::bigint as generation from e group by 1 union all select w.s, nx.nxt, generation + 1 from walk w join nx using (s, pos) join e on e.s = w.s and e.pos = nx.nxt),
+nx as materialized (select s, pos, nxt from (select s, pos, least(nxt, u, g) as nxt, max(pos) over (partition by s) as n from ends left join later using (s, pos)) where nxt <= n), walk as (select s, 1::bigint as pos, 0::bigint as generation from e group by 1 union all select w.s, nx.nxt, generation + 1 from walk w join nx using (s, pos)),
 begun as (select *, lead(pos) over (partition by s order by pos) as stop from walk), batched as (select e.*, w.generation from e join begun w on e.s = w.s and e.pos >= w.pos and (w.stop is null or e.pos < w.stop)),
 b as (select s as source_set_id, generation, min(t) as opened_ms, case when bool_or(k = 'urgent') then max(t) else least(max(t) + 3600000, min(t) + 7200000) end as closed_ms, count(*) as signals, count(distinct p) as paths, bool_or(k = 'create') or count(distinct p) > 256 as "full" from batched group by 1, 2)"""
 
