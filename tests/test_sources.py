@@ -316,7 +316,7 @@ def test_publication_of_broken_and_lost_attempts(spark, tmp_path, monkeypatch):
     heads = tables._numbers(spark, out)
     assert len(heads) == 1
     # a writer that read the same head, but creates the next file second
-    monkeypatch.setattr(tables, "_heads", lambda *_: heads)
+    monkeypatch.setattr(tables, "_numbers", lambda *_: heads)
     tables.publish(v.limit(1), m.limit(1), out, "r2", "r1")
     with pytest.raises(tables.StaleHead):
         tables.publish(v, m, out, "r3", "r1")
