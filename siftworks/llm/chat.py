@@ -17,6 +17,11 @@ from .tokens import ByteBpe
 #: Code points of formatted text that one row holds about at most; a single turn is never cut.
 CHUNK = 1 << 20
 
+#: Code points that are tokenised at once, up to the next place where a cut changes no token: none spans a word and the
+#: white space after it.
+PIECE = 1 << 16
+_CUT = re.compile(r"(?<=[^\s\u180e\u200b-\u200d\u2060\ufeff])(?=[ \n])")
+
 _ESCAPES = {"\\": "\\\\", "<": "\\l", ">": "\\g"}
 _PLAIN = {v[1]: k for k, v in _ESCAPES.items()}
 _TABLE = str.maketrans(_ESCAPES)
@@ -38,6 +43,20 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: _PLAIN[m[1]], text)
 
 
+def count_tokens(bpe: ByteBpe, text: str, size: int = PIECE) -> int:
+    """Tokens of text. White space too long for the faster library is counted by the other one."""
+    n = start = 0
+    while start < len(text):
+        cut = _CUT.search(text, start + size)
+        end = cut.start() if cut else len(text)
+        piece, start = text[start:end], end
+        try:
+            n += len(bpe.ids(piece))
+        except ValueError:
+            n += len(bpe.exact.encode(piece, add_special_tokens=False).ids)
+    return n
+
+
 @dataclass(frozen=True)
 class Rates:
     """Tokens that a placeholder expands to: an image's tiles and its overview, audio by the second, documents by page."""
@@ -138,7 +157,7 @@ class Flattener:
 def _format(rates: Rates, tokens: bool, typed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe() if tokens else None
-        flat = Flattener(rates, (lambda s: len(bpe.ids(s))) if bpe else None)
+        flat = Flattener(rates, (lambda s: count_tokens(bpe, s)) if bpe else None)
         for b in batches:
             content = b.column("content").to_pylist()
             made = [flat.turn(role or "", (c or []) if typed else [{"type": "text", "text": c}]) for role, c in zip(b.column("role").to_pylist(), content, strict=True)]
@@ -230,31 +249,42 @@ class _Digest:
 
     def __init__(self, conv):
         self.conv, self.turns, self.learnt = conv, hashlib.sha256(), hashlib.sha256()
-        self.n_turns = self.loss_chars = self.formatted_chars = self.n_attachments = self.tokens = 0
+        self.n_turns = self.loss_chars = self.formatted_chars = self.n_attachments = self.expanded = self.tokens = 0
 
     def add(self, formatted: str, loss: list[dict], attached: list[dict], tokens: int) -> None:
+        waiting = iter(attached)
         for role, parts in read_turns(formatted):
+            for kind, x in parts:
+                if kind != "text":
+                    self._attach(formatted, f"<{kind} {x}>", next(waiting, None))
             text = "".join(x if kind == "text" else f"<{kind} {x}>" for kind, x in parts)
             self.turns.update(f"{role}\n{text}\n".encode())
             self.n_turns += 1
+        if a := next(waiting, None):
+            raise ValueError(f"no placeholder of {a['kind']} {a['number']}")
         for s in loss:
             text = unescape(formatted[s["start"] : s["end"]])
             self.learnt.update(text.encode())
             self.loss_chars += len(text)
-        self.formatted_chars, self.n_attachments, self.tokens = self.formatted_chars + len(formatted), self.n_attachments + len(attached), self.tokens + tokens
+        self.formatted_chars, self.tokens = self.formatted_chars + len(formatted), self.tokens + tokens
+
+    def _attach(self, formatted: str, mark: str, a: dict | None) -> None:
+        if a is None or mark != f"<{a['kind']} {a['number']}>" or not formatted.startswith(mark, a["place"]):
+            raise ValueError(f"no attachment of {mark}")
+        self.n_attachments, self.expanded = self.n_attachments + 1, self.expanded + a["tokens"]
 
     def row(self) -> tuple:
-        return self.conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.learnt.hexdigest(), self.formatted_chars, self.n_attachments, self.tokens
+        return self.conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.learnt.hexdigest(), self.formatted_chars, self.n_attachments, self.expanded, self.tokens
 
 
-_DIGEST = "conv_id {}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_attachments bigint, expanded_tokens bigint"
+_DIGEST = "conv_id {}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_attachments bigint, expanded_tokens bigint, n_tokens bigint"
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split(" ")[0] for x in _DIGEST.split(", ")]
 
     def batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     now = None
@@ -275,8 +305,9 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(chunks: DataFrame, in_order: bool = False) -> DataFrame:
     """What the formatted text of each conversation says: conv_id, n_turns, turns_sha256 (role, newline, text, newline of
-    each turn), loss_chars and loss_sha256 (the unescaped text under the mask), formatted_chars, n_attachments,
-    expanded_tokens.
+    each turn), loss_chars and loss_sha256 (the unescaped text under the mask), formatted_chars, n_attachments (of the
+    placeholders in the text, each of which must have its attachment at its place, else it fails), expanded_tokens (what
+    these expand to), n_tokens (those and the text's).
 
     Chunks stream through in order, so a task holds one of them; a digest of a whole conversation can only be taken in
     one task. in_order: chunks come as format_conversations yields them and needn't be sorted again."""
@@ -289,14 +320,15 @@ PROBE_ID, PROBE = -7, "\\### Assistant: </turn> ok"
 
 
 def chat_digests(conversations: DataFrame) -> DataFrame:
-    """Digests of all conversations and of the probe, formatted and read back; their content is text alone, which isn't
-    tokenised here, so expanded_tokens counts what placeholders expand to.
+    """Digests of all conversations and of the probe as read_back has them. A row's content is one typed part, its text,
+    so expanded_tokens is 0, and n_tokens counts the formatted text.
 
     Odd rows as in format_turns and format_conversations; an empty table gives the probe alone."""
     kinds = dict(conversations.dtypes)
     rows = conversations.select("conv_id", "turn", "role", "text")
     probe = conversations.sparkSession.createDataFrame([(PROBE_ID, 0, "user", PROBE), (PROBE_ID, 1, "assistant", PROBE)], f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string")
-    return read_back(format_conversations(format_turns(rows.unionByName(probe), tokens=False)), in_order=True)
+    typed = rows.unionByName(probe).withColumn("parts", F.array(F.struct(F.lit("text").alias("type"), "text")))
+    return read_back(format_conversations(format_turns(typed, "parts")), in_order=True)
 
 
 def chat_sql() -> str:

@@ -200,6 +200,48 @@ def test_typed_parts(spark):
         list(chat.read_turns("<turn user>\nx"))
 
 
+def test_chat_digests_count_tokens(spark):
+    rows = [(1, 0, "user", "see <b> \\ <image 1>"), (1, 1, "assistant", None), (1, 2, None, "x" * 3000 + "\u200b é\U0001f600"), (2, 0, "sys>tem", "<|endoftext|>")]
+    exact = chat.ByteBpe().exact
+    want = defaultdict(int)
+    for c, _, role, text in [*rows, (-7, 0, "user", chat.PROBE), (-7, 1, "assistant", chat.PROBE)]:
+        want[c] += len(exact.encode(f"<turn {chat.escape(role or '')}>\n{chat.escape(text or '')}</turn>\n", add_special_tokens=False).ids)
+    got = chat.chat_digests(spark.createDataFrame(rows, CONVERSATIONS)).collect()
+    assert {r["conv_id"]: (r["n_tokens"], r["expanded_tokens"], r["n_attachments"]) for r in got} == {c: (n, 0, 0) for c, n in want.items()}
+
+
+def test_tokens_of_long_texts():
+    """Cuts change no count, and white space that the faster library refuses is counted."""
+    rng, bpe = random.Random(4), chat.ByteBpe()
+    count = lambda s: len(bpe.exact.encode(s, add_special_tokens=False).ids)
+    odd = ["a", "it's", "'s", "é", "слово", "12", "\U0001f600", "\\l", "!", " ", " ", "  ", "\n", "\n\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u180e", "\u200b", "\u2060", "\u3000", "\ufeff", "\x00"]
+    for i in range(400):
+        text = "".join(rng.choices(odd[: 15 if i % 2 else None], k=60))
+        assert [chat.count_tokens(bpe, text, size) for size in (1, 7, 1000)] == [count(text)] * 3
+    assert chat.count_tokens(bpe, "so" + " " * 1_000_000 + "on") == count("so" + " " * 1_000_000 + "on")
+
+
+def test_attachments_are_read_back(spark):
+    """Attachments are those that the formatted text has placeholders for, in all chunks; one without the other fails."""
+    part = "array<struct<type: string, text: string, ref: string, width: int, height: int>>"
+    content = [("text", "<image 1>", None, None, None), ("image", None, "i.png", 513, 512), ("image", None, "j.png", 1, 1), ("video", None, "v", None, None)]
+    df = spark.createDataFrame([(1, t, "user", content) for t in range(9)], f"conv_id long, turn long, role string, content {part}")
+    turns = chat.format_turns(df, "content")
+    chunks = chat.format_conversations(turns, size=100)
+    assert chunks.count() > 1
+    row = chat.read_back(chunks).first()
+    assert (row["n_attachments"], row["expanded_tokens"], row["n_tokens"]) == (27, 9 * (425 + 255), sum(r["tokens"] for r in turns.collect()))
+    text = "<turn user>\n\\limage 1\\g<image 1><audio 2></turn>\n"
+    first = {"number": 1, "kind": "image", "ref": "i", "tokens": 85, "place": 23}
+    second = {"number": 2, "kind": "audio", "ref": "a", "tokens": 25, "place": 32}
+    digest = chat._Digest(1)
+    digest.add(text, [], [first, second], 130)
+    assert digest.row()[-3:] == (2, 110, 130)
+    for attached in ([first], [], [second, first], [first, second, second], [first | {"place": 22}, second], [first, second | {"number": 3}]):
+        with pytest.raises(ValueError, match="no attachment of|no placeholder of"):
+            chat._Digest(1).add(text, [], attached, 130)
+
+
 # --- vector codes ----------------------------------------------------------------------------------------------------
 
 EMBEDDINGS = "vec_id long, embedding array<float>, label int"
