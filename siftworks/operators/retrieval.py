@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from dataclasses import dataclass
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,18 +156,63 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 256) -> DataFrame:
+def _matrix(vectors: pa.Array, length: int) -> np.ndarray:
+    """Vectors as rows of unit length; NaN where one is null, has nulls or another length, or is zero."""
+    vectors = vectors.cast(pa.large_list(pa.float64()))
+    out = np.full((len(vectors), length), np.nan)
+    fit = pc.fill_null(pc.equal(pc.list_value_length(vectors), length), False)
+    rows = np.flatnonzero(fit.to_numpy(zero_copy_only=False))
+    if len(rows):
+        out[rows] = vectors.filter(fit).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), length)
+    size = np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
+    return np.divide(out, size, out=np.full_like(out, np.nan), where=size > 0)
+
+
+def _nearest(query_ids: pa.Array, by_length: list[tuple[np.ndarray, np.ndarray]], k: int, slice_: int = 4096):
+    """The best k of each slice of vectors for each query; by_length: places of queries of one length, and their matrix."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, slice_):
+                part = batch.slice(at, slice_)
+                part = part.take(pc.sort_indices(part.column("id")))  # ties go by id
+                for places, queries in by_length:
+                    # a query without any component has no score with anything
+                    scores = np.round(queries @ _matrix(part.column("vec"), queries.shape[1]).T, 9) if queries.shape[1] else np.full((len(places), part.num_rows), np.nan)
+                    known = np.where(np.isnan(scores), -np.inf, scores)
+                    n = min(k, known.shape[1])
+                    least = np.partition(known, -n, axis=1)[:, -n]
+                    picked = []
+                    for row, low in zip(known, least, strict=True):
+                        near = np.flatnonzero(row >= low)
+                        picked.append(near[np.argsort(-row[near], kind="stable")][:n])
+                    ids = np.concatenate(picked)
+                    of = np.repeat(np.arange(len(places)), n)
+                    value = pa.array(scores[of, ids], from_pandas=True)
+                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(places[of])), part.column("id").take(pa.array(ids)), value], ["query_id", "id", "score"])
+
+    return found
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """query_id, id, score, rank: exact nearest vectors by cosine, a scan of all vectors for each block of queries.
 
-    queries: query_id, vec. vectors: id, vec. The queries go out in blocks of about `block` rows, so that what is
-    broadcast is bounded; each task keeps the best k for each query before anything is shuffled. Where there are
-    several blocks, each one's answer is written before the next starts, so that no plan grows with the queries."""
+    queries: query_id, vec. vectors: id, vec. The queries go out in blocks of about `block` rows, so that what is sent
+    to tasks is bounded; a task multiplies slices of its vectors with the block as matrices and keeps the best k of each
+    slice for each query before anything is shuffled. Scores of vectors that are null, zero, of another length than the
+    query or that hold nulls are null and come last. Where there are several blocks, each one's answer is written before
+    the next starts, so that no plan grows with the queries."""
     blocks = max(1, -(-queries.count() // block))
     numbered = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
 
     def answer(part: DataFrame) -> DataFrame:
-        one = F.broadcast(part.select("query_id", F.col("vec").alias("_q")))
-        return top(vectors.crossJoin(one).select("query_id", "id", F.round(cosine(F.col("vec"), F.col("_q")), 9).alias("score")), k)
+        one = part.select("query_id", F.col("vec").cast("array<double>").alias("vec")).toArrow().combine_chunks()
+        vecs = one.column("vec").combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(vecs), 0).to_numpy(zero_copy_only=False)
+        by_length = [(at := np.flatnonzero(lengths == n), _matrix(vecs.take(pa.array(at)), int(n))) for n in np.unique(lengths)]
+        scored = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(_nearest(one.column("query_id").combine_chunks(), by_length, k), f"query_id {kinds[0]}, id {kinds[1]}, score double")
+        return top(scored, k)
 
     if blocks == 1:
         return answer(numbered)

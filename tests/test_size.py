@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from siftworks.operators import relate as R
+from siftworks.operators import retrieval as X
 from siftworks.operators.segments import segment_lines, segment_words
 
 
@@ -88,3 +89,29 @@ def test_enclosing_groups_no_points(spark):
     got = {r["id"]: r["range_id"] for r in out.collect()}
     assert got == {k: v[1] for k, v in best.items() if v}
     assert metrics(out)[1] < 200_000  # ranges alone, as these are few enough to be sent to all tasks
+
+
+def test_cosine_pairs_are_no_rows(spark):
+    """Pairs of query and vector are scored as matrices: tasks give the best of each slice, and no join makes a row for a
+    pair. Ties, copies, and vectors that have no score go by id."""
+    row = lambda i: (i, None if i == 40 else [0.0, 0.0] if i == 41 else [1.0] if i == 42 else [1.0, None] if i == 43 else [float(i % 7), float(i % 5) + 0.5])
+    vectors = spark.createDataFrame([row(i) for i in range(300)], "id long, vec array<float>")
+    queries = vectors.filter("id % 10 = 0 and id not in (40)").select(F.col("id").alias("query_id"), "vec").unionByName(spark.createDataFrame([(-1, None), (-2, [3.0])], "query_id long, vec array<float>"))
+    known = {r["id"]: r["vec"] for r in vectors.collect()}
+
+    def score(a, b):
+        if not a or not b or len(a) != len(b) or None in a + b or not any(a) or not any(b):
+            return None
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        return round(dot(a, b) / (dot(a, a) ** 0.5 * dot(b, b) ** 0.5), 9)
+
+    want = set()
+    for q in queries.collect():
+        best = sorted(((s := score(q["vec"], v)) is None, -(s or 0), i) for i, v in known.items())[:4]
+        want |= {(q["query_id"], i, None if none else -s, n) for n, (none, s, i) in enumerate(best, 1)}
+    near = lambda df: {(r["query_id"], r["id"], r["score"], r["rank"]) for r in df.collect()}
+    for block in (2048, 7):
+        got = near(X.cosine_topk(queries, vectors, 4, block))
+        assert {(q, i, n) for q, i, _, n in got} == {(q, i, n) for q, i, _, n in want}
+        assert all((a is None) == (b is None) and abs((a or 0) - (b or 0)) < 1e-8 for (*_, a, _), (*_, b, _) in zip(sorted(got, key=lambda x: (x[0], x[3])), sorted(want, key=lambda x: (x[0], x[3])), strict=True))
+    assert metrics(X.cosine_topk(queries, vectors, 4))[0] == 0
