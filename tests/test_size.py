@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from siftworks.operators import relate as R
 from siftworks.operators import retrieval as X
 from siftworks.operators.segments import segment_lines, segment_words
+from siftworks.plans import all_queries
 
 
 def metrics(df):
@@ -115,3 +116,14 @@ def test_cosine_pairs_are_no_rows(spark):
         assert {(q, i, n) for q, i, _, n in got} == {(q, i, n) for q, i, _, n in want}
         assert all((a is None) == (b is None) and abs((a or 0) - (b or 0)) < 1e-8 for (*_, a, _), (*_, b, _) in zip(sorted(got, key=lambda x: (x[0], x[3])), sorted(want, key=lambda x: (x[0], x[3])), strict=True))
     assert metrics(X.cosine_topk(queries, vectors, 4))[0] == 0
+
+
+def test_imported_facts_keep_their_columns(spark, sf_dir):
+    """Facts go through their offsets and witnesses with what they say, and aren't joined with themselves by id."""
+    facts = spark.createDataFrame([("a", "utf16", 2, "x"), ("a", "utf8", 1, "y")], "path string, encoding string, at long, note string")
+    docs = spark.createDataFrame([("a", "é\n日z")], "path string, text string")
+    assert {tuple(r) for r in R.to_byte_offsets(facts, docs, keep=("note",)).collect()} == {("x", 3), ("y", None)}
+    rows = spark.createDataFrame([(1, "a", 0, 2, "é", 0, 9), (2, "a", 0, 2, "e", 0, 9)], "row_id int, path string, start long, end long, claimed string, owner_start long, owner_end long")
+    assert {tuple(r) for r in R.verify_witness(rows, docs, keep=("claimed",)).collect()} == {(1, "é", True), (2, "e", False)}
+    out = all_queries.QUERIES["s4_imported_facts"](spark, sf_dir)
+    assert metrics(out)[2] <= 5
